@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .secrets import sql as secrets_sql
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -33,6 +35,18 @@ def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(_docs(spark, sf_dir)))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_digests
+
+    return secret_digests(_docs(spark, sf_dir))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(_docs(spark, sf_dir))
+
+
 SQL_OP4 = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -40,5 +54,5 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_bpe, op4_exact_dedup, op6_wavelet_shards)}
-ORACLE = {"op4_exact_dedup": SQL_OP4}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_bpe, op4_exact_dedup, op6_wavelet_shards, op9_secret_scans, op10_sharding)}
+ORACLE = {"op4_exact_dedup": SQL_OP4, "op9_secret_scans": secrets_sql()}
