@@ -35,6 +35,18 @@ def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(_docs(spark, sf_dir)))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge_quality
+
+    return judge_quality(_docs(spark, sf_dir))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_groups
+
+    return jaccard_groups(_docs(spark, sf_dir))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secret_digests
 
@@ -54,5 +66,5 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_bpe, op4_exact_dedup, op6_wavelet_shards, op9_secret_scans, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_bpe, op4_exact_dedup, op5_quality, op6_wavelet_shards, op8_ngram_jaccard, op9_secret_scans, op10_sharding)}
 ORACLE = {"op4_exact_dedup": SQL_OP4, "op9_secret_scans": secrets_sql()}
