@@ -179,3 +179,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 def judge_quality(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Fit on the documents and judge every one of them."""
     return score(docs, fit(docs, train_rows))
+
+
+def keep_good(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs, all columns, that the classifier keeps."""
+    kept = judge_quality(docs, train_rows).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi")

@@ -17,6 +17,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir))
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_digests
 
@@ -41,6 +47,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_docs(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import repeat_removal
+
+    return repeat_removal(_docs(spark, sf_dir)).drop("kept")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_groups
 
@@ -66,5 +78,5 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_bpe, op4_exact_dedup, op5_quality, op6_wavelet_shards, op8_ngram_jaccard, op9_secret_scans, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_neardup, op3_bpe, op4_exact_dedup, op5_quality, op6_wavelet_shards, op7_suffix_dedup, op8_ngram_jaccard, op9_secret_scans, op10_sharding)}
 ORACLE = {"op4_exact_dedup": SQL_OP4, "op9_secret_scans": secrets_sql()}

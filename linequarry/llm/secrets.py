@@ -193,18 +193,20 @@ def spans(text: Column, rule: Rule, place: int) -> Column:
     return F.when(text.rlike(quick), F.aggregate(rows, begin, step)["found"]).otherwise(F.array().cast(_SPAN))
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """One row per input row: doc_id, text, spans (array of start, place of the rule, end, kind) by start, then rule."""
-    docs = documents(docs)
-    known = candidates(docs, rules)
-    joined = docs.join(known, "doc_id", "left")
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, carry: Column | None = None) -> DataFrame:
+    """One row per input row: doc_id, text, spans (array of start, place of the rule, end, kind) by start, then rule;
+    carry: a column of docs that goes along as `carried`."""
+    plain = documents(docs)
+    known = candidates(plain, rules)
+    whole = plain if carry is None else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), carry.alias("carried"))
+    joined = whole.join(known, "doc_id", "left")
     found = []
     for n, r in enumerate(rules):
         if f"may_{r.kind}" in known.columns:
             found.append(F.when(F.col(f"may_{r.kind}"), spans(F.col("text"), r, n)).otherwise(F.array().cast(_SPAN)))
         else:
             found.append(spans(F.col("text"), r, n))
-    return joined.select("doc_id", "text", F.array_sort(F.concat(*found)).cast(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))).alias("spans"))
+    return joined.select("doc_id", "text", *([] if carry is None else ["carried"]), F.array_sort(F.concat(*found)).cast(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))).alias("spans"))
 
 
 def _said(found: Column) -> Column:
@@ -218,8 +220,8 @@ def secret_digests(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Da
     return scan_secrets(docs, rules).select("doc_id", *[count(r.kind) for r in BASE], F.sha2(_said(base), 256).alias("base_sha256"), _said(F.col("spans")).alias("spans"))
 
 
-def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """doc_id, text with every span replaced by its kind in brackets, n_spans. Of overlapping spans the first stands."""
+def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, carry: Column | None = None) -> DataFrame:
+    """doc_id, text with every span replaced by its kind in brackets, n_spans. Overlapping spans are replaced as one, by the first's kind."""
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -230,7 +232,7 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Data
     done = F.aggregate("spans", begin, step)
     rest = lambda d: F.concat(d["out"], F.substring(F.col("text"), (d["at"] + 1).cast("int"), F.length("text")))
     text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.transform(F.array(done), rest)[0])
-    return scan_secrets(docs, rules).select("doc_id", text.alias("text"), F.size("spans").cast("long").alias("n_spans"))
+    return scan_secrets(docs, rules, carry).select("doc_id", text.alias("text"), *([] if carry is None else ["carried"]), F.size("spans").cast("long").alias("n_spans"))
 
 
 def sql(rules: tuple[Rule, ...] = BASE + MORE) -> str:
