@@ -7,9 +7,10 @@ order only steers the cost: any order gives the same pairs. Columns are cut into
 in one task, which accumulates for neighbouring rows of a column their overlap counts and discards pairs whose
 sizes cannot reach the bound. What is left is verified on the whole sets.
 
-Equal sets are one row (node) throughout. Within a column, neighbours in size order are tried first; once their
-links have made components, only columns whose nodes still lie in different components are multiplied out, so
-a large group of near copies costs as many pairs as it has members, and no link between components is missed.
+Equal sets are one row (node) throughout. Within a column, neighbours in size order are tried first, for each node
+those with the largest counts; once their links have made components, the same is done again between components, and
+then columns whose nodes still lie in different components are multiplied out, so a large group of near copies costs
+as many pairs as it has members, and no link between components is missed.
 
 Sets: distinct word shingles; with fewer words the whole sequence; without words empty, linked with nothing. Null
 text counts as empty. Repeated rows are equal sets. Sizes may tie; order then goes by hash. Other columns are ignored.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, documents, saved, ship, slices
@@ -38,7 +39,11 @@ COMMON = 400_000
 OFTEN = 8
 #: N-grams a task counts together.
 COUNTED = 3_000_000
+#: n-gram (24 bits, within its block) and its place among the node's first ones (in 256ths, rounded down), node, size.
 _CELL = np.dtype([("h", "<u4"), ("s", "<i8"), ("n", "<i4")])
+_MEMBER = np.dtype([("s", "<i8"), ("n", "<i4"), ("q", "<i4")])
+#: Partners per node that a round tries before components are looked at anew.
+PARTNERS = 3
 
 
 def signature(shingles: np.ndarray, doc: int) -> int:
@@ -112,7 +117,7 @@ def _cells(words: int, blocks: int, common, number: int, of: int):
                     first = s[:keep]
                 cell = np.empty(keep, np.dtype([("block", "<i4"), ("h", "<u4"), ("s", "<i8"), ("n", "<i4")]))
                 spread = mixed(first)
-                cell["block"], cell["h"], cell["s"], cell["n"] = (spread >> np.uint64(32)) % np.uint64(blocks), spread & np.uint64(0xFFFFFFFF), g, len(s)
+                cell["block"], cell["h"], cell["s"], cell["n"] = (spread >> np.uint64(32)) % np.uint64(blocks), (spread & np.uint64(0xFFFFFF)) << np.uint64(8) | (np.arange(keep) * 256 // keep).astype(np.uint64), g, len(s)
                 parts.append(cell)
             if not parts:
                 continue
@@ -127,6 +132,15 @@ def _cells(words: int, blocks: int, common, number: int, of: int):
     return run
 
 
+def _reach(n, q, m, r, number: int, of: int):
+    """Whether nodes of sizes n and m that share an n-gram at places q and r (of 256) can still reach the threshold:
+    with this as their first common one, what follows it must be enough. Works on numpy arrays and on columns."""
+    share = (of - number) / of / 256.0  # of a node's n-grams that one 256th of its first ones stands for, rounded down
+    left_n, left_m = n * (1.0 - share * q), m * (1.0 - share * r)
+    need = number * (n + m)
+    return (of * m >= number * n) & (of * n >= number * m) & ((number + of) * left_n >= need) & ((number + of) * left_m >= need)
+
+
 def _product(number: int, of: int):
     """A block: overlap counts of size neighbours within its columns (kind 0), and its columns of three nodes or more (kind 1)."""
 
@@ -137,32 +151,37 @@ def _product(number: int, of: int):
                 blocks.setdefault(k, []).append(raw)
         for k in list(blocks):
             cells = np.frombuffer(b"".join(blocks.pop(k)), _CELL)
-            order = np.lexsort((cells["s"], cells["n"], cells["h"]))
-            h, s, n = cells["h"][order], cells["s"][order], cells["n"][order].astype(np.int64)
+            h, q = cells["h"] >> 8, cells["h"] & 255
+            order = np.lexsort((q, cells["s"], cells["n"], h))
+            h, q, s, n = h[order], q[order].astype(np.int64), cells["s"][order], cells["n"][order].astype(np.int64)
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-            h, s, n = h[new], s[new], n[new]
-            same = h[1:] == h[:-1]
-            near = same & (of * n[:-1] >= number * n[1:])
+            h, q, s, n = h[new], q[new], s[new], n[new]
+            near = (h[1:] == h[:-1]) & _reach(n[:-1], q[:-1], n[1:], q[1:], number, of)
             a, c = s[:-1][near], s[1:][near]
             pairs = np.stack([np.minimum(a, c), np.maximum(a, c)], axis=1)
             if len(pairs):
-                pairs = np.unique(pairs, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), np.int8)), pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.nulls(len(pairs), pa.binary())], ["kind", "a", "b", "column"])
+                pairs, counts = np.unique(pairs, axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), np.int8)), pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(counts.astype(np.int64)), pa.nulls(len(pairs), pa.binary())], ["kind", "a", "b", "n", "column"])
             start = np.flatnonzero(np.diff(h.astype(np.int64), prepend=-1, append=-1))
             wide = np.flatnonzero(np.diff(start) > 2)
-            rows: set[bytes] = set()
-            for w in wide.tolist():
-                i, j = start[w], start[w + 1]
-                column = np.empty(j - i, np.dtype([("s", "<i8"), ("n", "<i4")]))
-                column["s"], column["n"] = s[i:j], n[i:j]
-                rows.add(column.tobytes())
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(rows), np.int8)), pa.array([int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) for r in rows], pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array(list(rows), pa.binary())], ["kind", "a", "b", "column"])
+            if len(wide):
+                rows = np.empty(len(h), _MEMBER)
+                rows["s"], rows["n"], rows["q"] = s, n, q
+                raws = [rows[start[w] : start[w + 1]].tobytes() for w in wide.tolist()]
+                names = [int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) for r in raws]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(raws), np.int8)), pa.array(names, pa.int64()), pa.nulls(len(raws), pa.int64()), pa.nulls(len(raws), pa.int64()), pa.array(raws, pa.binary())], ["kind", "a", "b", "n", "column"])
 
     return run
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, n) those among the PARTNERS of one of their nodes with the largest counts."""
+    place = lambda x, y: F.row_number().over(Window.partitionBy(x).orderBy(F.desc("n"), y))
+    ranked = pairs.withColumns({"ra": place("a", "b"), "rb": place("b", "a")})
+    return ranked.where((F.col("ra") <= PARTNERS) | (F.col("rb") <= PARTNERS)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, number: int, of: int) -> DataFrame:
     """Of pairs (a, b) of nodes those that reach the threshold, as links of their smallest doc_ids."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -202,30 +221,53 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, number: int = NUMBER, of
     common = spark.sparkContext.broadcast((grams[order], level[order]))
     blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = docs.mapInArrow(_cells(words, blocks, common, number, of), "block int, cells binary").repartition("block")
-    found = saved(cells.mapInArrow(_product(number, of), "kind byte, a long, b long, column binary"), "jaccard-found")
-    first = saved(found.where("kind = 0").select("a", "b").distinct(), "jaccard-pairs")
-    links = saved(_verified(first, nodes, docs, words, number, of), "jaccard-links")
-    group = components(links)
-    # columns whose nodes are not yet in one component
-    named = saved(nodes.join(group.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("label")), "jaccard-labels")
-    columns = found.where("kind = 1").dropDuplicates(["a"]).select(F.col("a").alias("gram"), "column")
+    found = saved(cells.mapInArrow(_product(number, of), "kind byte, a long, b long, n long, column binary"), "jaccard-found")
+    neighbours = saved(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")), "jaccard-neighbours")
+    tried = saved(_best(neighbours), "jaccard-pairs")
+    links = saved(_verified(tried, nodes, docs, words, number, of), "jaccard-links")
+    named = _labelled(nodes, links)
 
     def unfold(b: pa.RecordBatch) -> pa.RecordBatch:
         raw = b.column("column").to_pylist()
-        kind = np.dtype([("s", "<i8"), ("n", "<i4")])
-        every = np.frombuffer(b"".join(raw), kind)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column("gram")), [len(r) // 12 for r in raw])), pa.array(np.ascontiguousarray(every["s"])), pa.array(np.ascontiguousarray(every["n"]).astype(np.int64))], ["gram", "node", "n"])
-
-    members = arrow_map(columns, unfold, "gram long, node long, n long").join(named.select("node", "label"), "node")
-    members = saved(members, "jaccard-members")
-    split = saved(members.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram"), "jaccard-split")
-    left = members.join(split, "gram")
-    right = left.select("gram", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("olabel"))
-    rest = left.join(right, "gram").where((F.col("node") < F.col("other")) & (F.col("label") != F.col("olabel")) & (of * F.least("n", "m") >= number * F.greatest("n", "m")))
-    rest = saved(rest.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "jaccard-rest")
-    if rest.limit(1).count():
-        more = saved(_verified(rest, nodes, docs, words, number, of), "jaccard-links2")
-        if more.limit(1).count():
-            group = components(links.unionAll(more))
-            named = saved(nodes.join(group.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("label")), "jaccard-labels2")
+        every = np.frombuffer(b"".join(raw), _MEMBER)
+        cols = [np.repeat(np.asarray(b.column("gram")), [len(r) // _MEMBER.itemsize for r in raw]), np.ascontiguousarray(every["s"]), every["n"].astype(np.int64), every["q"].astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "node", "n", "q"])
+
+    columns = found.where("kind = 1").select(F.col("a").alias("gram"), "column")
+    members = saved(arrow_map(columns, unfold, "gram long, node long, n long, q long"), "jaccard-members")
+
+    def unsettled() -> DataFrame:
+        """Members of the columns whose nodes lie in more than one component."""
+        labelled = saved(members.select("gram", "node", "n", "q").join(named.select("node", "label"), "node"), "jaccard-labelled")
+        split = labelled.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
+        return saved(labelled.join(split, "gram"), "jaccard-unsettled")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+
+    for last in (False, True):
+        members = unsettled()
+        if last:  # all pairs of different components that can reach the threshold, from columns and from neighbours
+            other = members.select("gram", F.col("node").alias("other"), F.col("n").alias("m"), F.col("q").alias("r"), F.col("label").alias("olabel"))
+            across = members.join(other, "gram").where((F.col("node") < F.col("other")) & (F.col("label") != F.col("olabel")) & _reach(F.col("n"), F.col("q"), F.col("m"), F.col("r"), number, of))
+            side = lambda x: named.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+            pending = neighbours.join(tried, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").where("la <> lb").select("a", "b")
+            again = ends(across).unionAll(pending).distinct().join(tried, ["a", "b"], "left_anti")
+        else:  # neighbours of different components in size order
+            w = Window.partitionBy("gram").orderBy("n", "node")
+            before = members.withColumns({"other": F.lag("node").over(w), "m": F.lag("n").over(w), "r": F.lag("q").over(w), "olabel": F.lag("label").over(w)})
+            across = before.where((F.col("label") != F.col("olabel")) & _reach(F.col("n"), F.col("q"), F.col("m"), F.col("r"), number, of))
+            again = _best(ends(across).groupBy("a", "b").agg(F.count("*").alias("n")).join(tried, ["a", "b"], "left_anti"))
+        again = saved(again, "jaccard-pairs")
+        if again.limit(1).count():
+            more = saved(_verified(again, nodes, docs, words, number, of), "jaccard-links")
+            tried, links = tried.unionAll(again), links.unionAll(more)
+            if more.limit(1).count():
+                named = _labelled(nodes, links)
     return rows.join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
+
+
+def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """node, rep, label (smallest doc_id of its component)."""
+    group = components(links).withColumnRenamed("id", "rep")
+    return saved(nodes.join(group, "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("label")), "jaccard-labels")
