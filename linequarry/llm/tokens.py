@@ -15,7 +15,7 @@ from pathlib import Path
 import numpy as np
 
 #: Chunks remembered by one Python worker; beyond twice as many the earliest half stays, which holds the commonest.
-CACHE = 450_000
+CACHE = 700_000
 _ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 #: A full stop or comma between a letter and white space is a piece of its own.
 _STOP = re.compile("([.,])(?=[ \\n])(?<=[A-Za-z\xdf-\xf6\xf8-\xff].)")
