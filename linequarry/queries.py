@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import importlib
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans.registry import ORACLE, QUERIES
 
+for _name in ("sources_queries", "review_queries", "search_queries", "layout_queries", "state_queries"):
+    importlib.import_module(f"linequarry.plans.{_name}")
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+flagship = QUERIES["e_review_overlay"]
+
+__all__ = ["ORACLE", "QUERIES", "flagship"]
