@@ -18,17 +18,20 @@ from pyspark.sql import functions as F
 from .common import documents, saved
 
 SHARDS = 16
-ROUNDS = 4
+ROUNDS = 3
 #: Cells of a distributed numbering: a row's number is its place in its cell plus the rows of the cells before it.
 CELLS = 1024
+#: The same where rows are numbered per pair of shards.
+PAIR_CELLS = 16
+_STATE = ["doc_id", "size", "text_crc32", "grp", "spread", "shard"]
 
 
-def numbered(rows: DataFrame, within: list[str], name: str) -> DataFrame:
+def numbered(rows: DataFrame, within: list[str], name: str, cells: int = CELLS) -> DataFrame:
     """Gapless numbers from 0 within each combination of few values; no task sees more than a cell's rows."""
-    rows = rows.withColumn("_cell", F.pmod("spread", F.lit(CELLS)))
+    rows = rows.withColumn("_cell", F.pmod("spread", F.lit(cells)))
     counts = rows.groupBy(*within, "_cell").count()
     before = F.coalesce(F.sum("count").over((Window.partitionBy(*within) if within else Window.partitionBy()).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(*within, "_cell", before.alias("_before"))  # at most CELLS rows per combination
+    offsets = counts.select(*within, "_cell", before.alias("_before"))  # at most `cells` rows per combination
     place = F.row_number().over(Window.partitionBy(*within, "_cell").orderBy("spread", "doc_id"))
     ranked = rows.withColumn("_place", place)
     return ranked.join(F.broadcast(offsets), [*within, "_cell"]).withColumn(name, F.col("_before") + F.col("_place") - 1).drop("_cell", "_before", "_place")
@@ -36,12 +39,12 @@ def numbered(rows: DataFrame, within: list[str], name: str) -> DataFrame:
 
 def _wishes(rows: DataFrame, capacity: int, turn: int, shards: int) -> DataFrame:
     """Each row's target (its own shard if it is content) and whether it is linked."""
-    held = rows.groupBy("grp", "shard").agg(F.count("*").alias("n"))
+    by = F.array(*[F.struct((-F.count_if(F.col("shard") == k)).alias("less"), F.lit(k).alias("shard")) for k in range(shards)])
     liked = (
-        held.groupBy("grp")
-        .agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), F.col("shard")))).alias("by"))
+        rows.groupBy("grp")
+        .agg(F.count("*").alias("total"), F.array_sort(by).alias("by"))
         .where("total > 1")
-        .select("grp", F.transform(F.slice("by", 1, F.ceil(F.col("total") / F.lit(capacity)).cast("int")), lambda s: s["shard"]).alias("liked"))
+        .select("grp", F.transform(F.slice("by", 1, F.least(F.ceil(F.col("total") / F.lit(capacity)), F.lit(shards)).cast("int")), lambda s: s["shard"]).alias("liked"))
     )
     mixed: Column = F.xxhash64("spread", F.lit(turn))
     linked = F.col("liked").isNotNull()
@@ -58,9 +61,11 @@ def _exchange(wished: DataFrame) -> DataFrame:
     ask = wished.where("target <> shard").groupBy("shard", "target").agg(F.count_if("linked").alias("x"), F.count("*").alias("t"))
     back = ask.select(F.col("shard").alias("target"), F.col("target").alias("shard"), F.col("x").alias("bx"), F.col("t").alias("bt"))
     flow = ask.join(F.broadcast(back), ["shard", "target"]).select("shard", "target", "x", F.least("t", "bt", F.greatest("x", "bx")).alias("allowed"))
-    ranked = numbered(wished, ["shard", "target", "linked"], "rank").join(F.broadcast(flow), ["shard", "target"], "left")
+    moving = wished.where("target <> shard")
+    ranked = numbered(moving, ["shard", "target", "linked"], "rank", PAIR_CELLS).join(F.broadcast(flow), ["shard", "target"], "left")
     goes = F.when(F.col("linked"), F.col("rank")).otherwise(F.col("rank") + F.col("x")) < F.col("allowed")
-    return ranked.withColumn("shard", F.when((F.col("target") != F.col("shard")) & F.coalesce(goes, F.lit(False)), F.col("target")).otherwise(F.col("shard")))
+    moved = ranked.withColumn("shard", F.when(F.coalesce(goes, F.lit(False)), F.col("target")).otherwise(F.col("shard")))
+    return wished.where("target = shard").select(*_STATE).unionAll(moved.select(*_STATE))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -70,10 +75,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     rows = saved(rows.withColumn("spread", F.xxhash64("doc_id", "grp", "text_crc32")), "shard-rows")
     capacity = max(1, rows.count() // shards)
     now = saved(numbered(rows, [], "pos").withColumn("shard", F.pmod("pos", F.lit(shards)).cast("int")).drop("pos"), "shard-0")
-    keep = ["doc_id", "size", "text_crc32", "grp", "spread", "shard"]
     for turn in range(1, rounds + 1):
         wished = saved(_wishes(now, capacity, turn, shards), f"shard-wishes-{turn}")
-        now = saved(_exchange(wished).select(*keep), f"shard-{turn}")
+        now = saved(_exchange(wished), f"shard-{turn}")
     return numbered(now, ["shard"], "slot").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "grp")
 
 
