@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Longest query in code points.
 QUERY_LIMIT = 32
@@ -31,7 +32,7 @@ def normalize_query(value: str) -> str:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compose(text: pd.Series) -> pd.Series:
     """NFC of a column; Spark has no such function."""
     return text.str.normalize("NFC")
