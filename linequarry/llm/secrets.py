@@ -189,7 +189,11 @@ def spans(text: Column, rule: Rule, place: int) -> Column:
         one = F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind"))
         return F.struct(end.alias("at"), F.when(r["c"] >= rule.least, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).cast(_SPAN).alias("found"))
 
-    quick = rule.pattern if rule.group or not rule.pattern.endswith("]+") or rule.least == 1 else f"{rule.pattern[:-1]}{{{rule.least - len(re.match('[A-Za-z_]*', rule.pattern)[0])},}}"
+    quick = rule.pattern
+    if not rule.group and rule.least > 1 and rule.pattern.endswith("]+"):  # shorter matches would be dropped anyway
+        low, high = parser.parse(rule.pattern[: rule.pattern.rindex("[")]).getwidth()
+        if low == high < rule.least:
+            quick = f"{rule.pattern[:-1]}{{{rule.least - low},}}"
     return F.when(text.rlike(quick), F.aggregate(rows, begin, step)["found"]).otherwise(F.array().cast(_SPAN))
 
 

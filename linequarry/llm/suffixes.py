@@ -33,7 +33,7 @@ GRAM = 16
 #: Strings whose anchor lies up to so far in go by the block right of it, others by the block left of it.
 TURN = 92
 #: Bytes of contexts in a shard; contexts of one block in a shard.
-SHARD_BYTES, SHARD_CONTEXTS = 4 << 20, 8000
+SHARD_BYTES, SHARD_CONTEXTS = 4 << 20, 1000
 _SPAN = LENGTH - GRAM + 1  # grams in a string
 _CELL = np.dtype([("g", "<u4"), ("c", "<u8"), ("uid", "<i8"), ("at", "<i4"), ("n", "<u2"), ("m", "u1")])
 
