@@ -25,7 +25,7 @@ def normalize_query(value: str) -> str:
     text = unicodedata.normalize("NFC", value.strip(" "))
     if not text:
         raise QueryError("query is empty")
-    if any(c == "﻿" or unicodedata.category(c) in ("Cc", "Cs") for c in text):
+    if any(c == chr(0xFEFF) or unicodedata.category(c) in ("Cc", "Cs") for c in text):
         raise QueryError("query holds a character that is not allowed")
     if len(text) > QUERY_LIMIT:
         raise QueryError(f"query is longer than {QUERY_LIMIT} characters")
@@ -78,7 +78,7 @@ def verification(matched: Column, confidence: Column, secondary: Column) -> Colu
 
 def script_safe(json: Column) -> Column:
     """JSON text that may stand inside a script element."""
-    for char in ("&", "<", ">", " ", " "):
+    for char in ("&", "<", ">", chr(0x2028), chr(0x2029)):
         json = F.replace(json, F.lit(char), F.lit(f"\\u{ord(char):04x}"))
     return json
 
