@@ -38,11 +38,19 @@ def compose(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
 
-def match_starts(text: Column, query: str | Column) -> Column:
-    """0-based starts of every occurrence, overlapping ones too, case-sensitive; none for an empty query."""
-    q = F.lit(query) if isinstance(query, str) else query
-    last = F.length(text) - F.length(q)
-    return F.when((F.length(q) > 0) & (F.instr(text, q) > 0), F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(text, i + 1, F.length(q)) == q)).otherwise(F.array().cast("array<int>"))
+def match_starts(text: Column, query: str) -> Column:
+    """0-based starts of every occurrence, overlapping ones too, case-sensitive; none for an empty query.
+
+    Splitting where the query lies ahead cuts the text before every occurrence; the pieces' lengths give the starts.
+    """
+    if not query:
+        return F.array().cast("array<int>")
+    ahead = "(?=\\Q" + query.replace("\\E", "\\E\\\\E\\Q") + "\\E)"
+    none = F.array().cast("array<int>")
+    pieces = F.transform(F.split(text, ahead, -1), F.length)
+    begin = F.struct(F.lit(0).alias("at"), F.when(F.startswith(text, F.lit(query)), F.array(F.lit(0))).otherwise(none).alias("found"))
+    run = F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["found"], F.array(acc["at"] + n)).alias("found")))
+    return F.when(F.contains(text, F.lit(query)), run["found"]).otherwise(none)
 
 
 def spans(text: Column, query: str) -> Column:

@@ -1,13 +1,16 @@
 """Page layout around a match: line blocks by spatial neighbourhood, the nearest line, and the context of a target.
 
-Blocks are connected components of a page's lines, so they are found per page with numpy inside applyInPandas; a page
+Blocks are connected components of a page's lines, so they are found per page with numpy over sorted partitions; a page
 holds a bounded number of lines. Only pages that have a target are looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,14 +69,35 @@ def blocks(boxes: np.ndarray, vertical: bool) -> np.ndarray:
 def page_blocks(boxed: DataFrame) -> DataFrame:
     """doc_id, page_no, line_no, block (least line_no of the block) for every line."""
 
-    def one(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("line_no")
-        box = page[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        vertical = bool(((box[:, 3] - box[:, 1]) >= (box[:, 2] - box[:, 0])).sum() * 2 > len(box))
-        label = blocks(box, vertical)
-        return pd.DataFrame({"doc_id": page["doc_id"], "page_no": page["page_no"], "line_no": page["line_no"], "block": page["line_no"].to_numpy()[label]})
-
-    return boxed.groupBy("doc_id", "page_no").applyInPandas(one, "doc_id long, page_no int, line_no int, block int")
+    rows = boxed.select("doc_id", "page_no", "line_no", "x0", "y0", "x1", "y1")
+    return rows.repartition("doc_id", "page_no").sortWithinPartitions("doc_id", "page_no", "line_no").mapInArrow(_pages, "doc_id long, page_no int, line_no int, block int")
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of pages that come one after the other; a page cut by the end of a batch waits for the rest."""
+    rest: pa.Table | None = None
+
+    def done(rows: pa.Table) -> pa.RecordBatch:
+        doc, page, line = (rows.column(c).to_numpy() for c in ("doc_id", "page_no", "line_no"))
+        box = np.stack([rows.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")], axis=1)
+        tall = (box[:, 3] - box[:, 1]) >= (box[:, 2] - box[:, 0])
+        cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (page[1:] != page[:-1])))
+        out = np.empty(len(doc), np.int32)
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(doc)]):
+            out[i:j] = line[i:j][blocks(box[i:j], bool(tall[i:j].sum() * 2 > j - i))]
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(page), pa.array(line), pa.array(out)], ["doc_id", "page_no", "line_no", "block"])
+
+    for b in batches:
+        rows = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        if not rows.num_rows:
+            continue
+        doc, page = rows.column("doc_id").to_numpy(), rows.column("page_no").to_numpy()
+        last = int(np.flatnonzero((doc == doc[-1]) & (page == page[-1]))[0])
+        if last:
+            yield done(rows.slice(0, last).combine_chunks())
+        rest = rows.slice(last)
+    if rest is not None and rest.num_rows:
+        yield done(rest.combine_chunks())
 
 
 def layout_contexts(boxed: DataFrame, targets: DataFrame) -> DataFrame:
