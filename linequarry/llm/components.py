@@ -62,7 +62,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
-    least = saved(both.groupBy("a").agg(F.min("b").alias("m")), "star-least")
+    least = both.groupBy("a").agg(F.min("b").alias("m"))
     if large:  # larger neighbours go to the smallest of the node and its neighbours
         tied = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
     else:  # a is the larger end: its smaller neighbours and itself go to the smallest of them
