@@ -7,10 +7,10 @@ order only steers the cost: any order gives the same pairs. Columns are cut into
 in one task, which accumulates for neighbouring rows of a column their overlap counts and discards pairs whose
 sizes cannot reach the bound. What is left is verified on the whole sets.
 
-Equal sets are one row (node) throughout. Within a column, neighbours in size order are tried first, for each node
-those with the largest counts; once their links have made components, the same is done again between components, and
-then columns whose nodes still lie in different components are multiplied out, so a large group of near copies costs
-as many pairs as it has members, and no link between components is missed.
+Equal sets are one row (node) throughout. Within a column, neighbours in several orders are tried first, for each
+node those with the largest counts; once their links have made components, columns whose nodes still lie in different
+components are multiplied out between components (where sizes, places and parity maps allow it), so a large group of near copies costs about as many pairs as it has
+members, and no link between components is missed.
 
 Sets: distinct word shingles; with fewer words the whole sequence; without words empty, linked with nothing. Null
 text counts as empty. Repeated rows are equal sets. Sizes may tie; order then goes by hash. Other columns are ignored.
@@ -39,11 +39,15 @@ COMMON = 400_000
 OFTEN = 8
 #: N-grams a task counts together.
 COUNTED = 3_000_000
+#: Bits of a node's parity map.
+PARITY_BITS = 1024
 #: n-gram (24 bits, within its block) and its place among the node's first ones (in 256ths, rounded down), node, size.
 _CELL = np.dtype([("h", "<u4"), ("s", "<i8"), ("n", "<i4")])
 _MEMBER = np.dtype([("s", "<i8"), ("n", "<i4"), ("q", "<i4")])
 #: Partners per node that a round tries before components are looked at anew.
-PARTNERS = 3
+PARTNERS = 8
+#: Orders in which a column's nodes are paired with their neighbours.
+ORDERS = 6
 
 
 def signature(shingles: np.ndarray, doc: int) -> int:
@@ -55,6 +59,12 @@ def signature(shingles: np.ndarray, doc: int) -> int:
     return int(mixed(np.array([total & (2**64 - 1)], np.uint64)).view(np.int64)[0])
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits, each the parity of the shingles that fall on it: two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((mixed(shingles) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def _survey(words: int):
     """Pass 1: per document its node and size (kind 0); n-grams that recur among the distinct sets of a task (kind 1)."""
 
@@ -67,7 +77,7 @@ def _survey(words: int):
         def recurring() -> pa.RecordBatch:
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
             grams, counts = grams[counts > 1].view(np.int64), counts[counts > 1]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((np.ones(len(grams), np.int8), grams, np.zeros(len(grams), np.int64), counts), kinds)], ["kind", "a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((np.ones(len(grams), np.int8), grams, np.zeros(len(grams), np.int64), counts), kinds)] + [pa.nulls(len(grams), pa.list_(pa.int64()))], ["kind", "a", "b", "n", "bits"])
 
         for b in slices(batches):
             docs = b.column("doc_id").to_pylist()
@@ -78,7 +88,8 @@ def _survey(words: int):
                     seen.add(g)
                     held.append(s)
                     n += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([0] * len(docs), docs, signs, [len(s) for s in sets]), kinds)], ["kind", "a", "b", "n"])
+            parity = pa.array([_parity(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(([0] * len(docs), docs, signs, [len(s) for s in sets]), kinds)), parity], ["kind", "a", "b", "n", "bits"])
             if n > COUNTED:
                 yield recurring()
                 held, seen, n = [], set(), 0
@@ -142,7 +153,7 @@ def _reach(n, q, m, r, number: int, of: int):
 
 
 def _product(number: int, of: int):
-    """A block: overlap counts of size neighbours within its columns (kind 0), and its columns of three nodes or more (kind 1)."""
+    """A block: overlap counts of neighbours within its columns (kind 0), and its columns of three nodes or more (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, list[bytes]] = {}
@@ -157,9 +168,14 @@ def _product(number: int, of: int):
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
             h, q, s, n = h[new], q[new], s[new], n[new]
-            near = (h[1:] == h[:-1]) & _reach(n[:-1], q[:-1], n[1:], q[1:], number, of)
-            a, c = s[:-1][near], s[1:][near]
-            pairs = np.stack([np.minimum(a, c), np.maximum(a, c)], axis=1)
+            pairs = []
+            for turn in range(ORDERS):  # size order, then orders by hash: each pairs a node with other ones of its columns
+                o = np.arange(len(h)) if not turn else np.lexsort((mixed(s.view(np.uint64) + np.uint64(turn)), h))
+                i, j = o[:-1], o[1:]
+                near = (h[i] == h[j]) & _reach(n[i], q[i], n[j], q[j], number, of)
+                a, c = s[i][near], s[j][near]
+                pairs.append(np.stack([np.minimum(a, c), np.maximum(a, c)], axis=1))
+            pairs = np.concatenate(pairs)
             if len(pairs):
                 pairs, counts = np.unique(pairs, axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), np.int8)), pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(counts.astype(np.int64)), pa.nulls(len(pairs), pa.binary())], ["kind", "a", "b", "n", "column"])
@@ -211,9 +227,10 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, number: int = NUMBER, of
     docs = documents(docs)
     spark = docs.sparkSession
     ship(spark)
-    seen = saved(docs.mapInArrow(_survey(words), "kind byte, a long, b long, n long"), "jaccard-survey")
+    seen = saved(docs.mapInArrow(_survey(words), "kind byte, a long, b long, n long, bits array<long>"), "jaccard-survey")
     rows = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n")
-    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("rep")), "jaccard-nodes")
+    each = seen.where("kind = 0").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("rep"), F.any_value("bits").alias("bits"))
+    nodes = saved(each, "jaccard-nodes")
     often = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     table = often.orderBy(F.desc("n"), "a").limit(COMMON).toPandas()
     grams, level = table["a"].to_numpy(np.int64).view(np.uint64), np.ceil(np.log2(table["n"].to_numpy(float) + 1)).astype(np.int8)
@@ -238,32 +255,24 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, number: int = NUMBER, of
 
     def unsettled() -> DataFrame:
         """Members of the columns whose nodes lie in more than one component."""
-        labelled = saved(members.select("gram", "node", "n", "q").join(named.select("node", "label"), "node"), "jaccard-labelled")
+        labelled = saved(members.join(named.select("node", "label"), "node"), "jaccard-labelled")
         split = labelled.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
-        return saved(labelled.join(split, "gram"), "jaccard-unsettled")
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-
-    for last in (False, True):
-        members = unsettled()
-        if last:  # all pairs of different components that can reach the threshold, from columns and from neighbours
-            other = members.select("gram", F.col("node").alias("other"), F.col("n").alias("m"), F.col("q").alias("r"), F.col("label").alias("olabel"))
-            across = members.join(other, "gram").where((F.col("node") < F.col("other")) & (F.col("label") != F.col("olabel")) & _reach(F.col("n"), F.col("q"), F.col("m"), F.col("r"), number, of))
-            side = lambda x: named.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
-            pending = neighbours.join(tried, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").where("la <> lb").select("a", "b")
-            again = ends(across).unionAll(pending).distinct().join(tried, ["a", "b"], "left_anti")
-        else:  # neighbours of different components in size order
-            w = Window.partitionBy("gram").orderBy("n", "node")
-            before = members.withColumns({"other": F.lag("node").over(w), "m": F.lag("n").over(w), "r": F.lag("q").over(w), "olabel": F.lag("label").over(w)})
-            across = before.where((F.col("label") != F.col("olabel")) & _reach(F.col("n"), F.col("q"), F.col("m"), F.col("r"), number, of))
-            again = _best(ends(across).groupBy("a", "b").agg(F.count("*").alias("n")).join(tried, ["a", "b"], "left_anti"))
-        again = saved(again, "jaccard-pairs")
-        if again.limit(1).count():
-            more = saved(_verified(again, nodes, docs, words, number, of), "jaccard-links")
-            tried, links = tried.unionAll(again), links.unionAll(more)
-            if more.limit(1).count():
-                named = _labelled(nodes, links)
+        return saved(labelled.join(split, "gram").join(nodes.select("node", "bits"), "node"), "jaccard-unsettled")
+
+    # all pairs of different components that can reach the threshold, from columns and from neighbours
+    members = unsettled()
+    other = members.select("gram", F.col("node").alias("other"), F.col("n").alias("m"), F.col("q").alias("r"), F.col("label").alias("olabel"), F.col("bits").alias("obits"))
+    differ = F.aggregate(F.zip_with("bits", "obits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, k: acc + k)
+    close = (of + number) * differ <= (of - number) * (F.col("n") + F.col("m"))
+    across = members.join(other, "gram").where((F.col("node") < F.col("other")) & (F.col("label") != F.col("olabel")) & _reach(F.col("n"), F.col("q"), F.col("m"), F.col("r"), number, of) & close)
+    side = lambda x: named.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    pending = neighbours.join(tried, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").where("la <> lb").select("a", "b")
+    rest = across.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    rest = saved(rest.unionAll(pending).distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    if rest.limit(1).count():
+        more = saved(_verified(rest, nodes, docs, words, number, of), "jaccard-links")
+        if more.limit(1).count():
+            named = _labelled(nodes, links.unionAll(more))
     return rows.join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
 
 
