@@ -59,8 +59,9 @@ def spans(text: Column, query: str) -> Column:
 
 
 def code_points(text: Column) -> Column:
-    """U+XXXX for every character, parted by spaces."""
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.format_string("U+%04X", F.ascii(c))), " ")
+    """U+XXXX for every character, parted by spaces; read off the hexadecimal UTF-32, eight digits a character."""
+    digits = F.hex(F.encode(text, "UTF-32"))
+    return F.rtrim(F.regexp_replace(digits, "0000([0-9A-F]{4})|000([0-9A-F]{5})|00([0-9A-F]{6})", "U+$1$2$3 "))
 
 
 def context(text: Column, start: Column, end: Column, radius: int = 15) -> dict[str, Column]:

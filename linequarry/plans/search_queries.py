@@ -54,7 +54,7 @@ def i_overlapping_matches(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SQL_LINES} SELECT doc_id, line_no, array_to_string(list_transform(string_split(substring(raw_text, 1, 12), ''), lambda c: printf('U+%04X', unicode(c))), ' ') AS cps FROM lines")
 def i_codepoint_sequence(spark: SparkSession, d: str) -> DataFrame:
-    return lines(table(spark, d, "documents")).select("doc_id", "line_no", X.code_points(F.substring("raw_text", 1, 12)).alias("cps"))
+    return lines(table(spark, d, "documents")).select("doc_id", "line_no", X.code_points(F.col("raw_text")).alias("cps"))
 
 
 @query(f"""WITH {SQL_LINES}, f AS (SELECT doc_id, line_no, raw_text, {_FOLD % 'raw_text'} AS folded FROM lines) SELECT doc_id, line_no, folded, folded <> raw_text AS has_variant, length(folded) = length(raw_text) AS mappable FROM f""")
@@ -104,11 +104,14 @@ def i_verification_rule(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {SQL_LINES}, z AS (SELECT doc_id, line_no, string_split(substring(raw_text, 1, 20), '') AS cs, confidence AS p FROM lines)
 SELECT doc_id, line_no, array_to_string(list_transform(cs, lambda c: CASE WHEN p <= 0.82::DOUBLE AND c <> translate(c, '{V.ACCENTED}', '{V.FOLDED}') THEN translate(c, '{V.ACCENTED}', '{V.FOLDED}') ELSE c END), '') AS text FROM z""")
 def i_reconcile_glyphs(spark: SparkSession, d: str) -> DataFrame:
-    chars = F.filter(F.split(F.substring("raw_text", 1, 20), ""), lambda c: c != "")
+    raw = F.col("raw_text")
+    # each character that may change is a piece of its own, what lies between stays together
+    chars = F.filter(F.split(raw, f"(?<=[{V.ACCENTED}])|(?=[{V.ACCENTED}])"), lambda c: c != "")
     alone = F.transform(chars, lambda c: F.translate(c, V.ACCENTED, V.FOLDED))
     same = lambda v: F.transform(chars, lambda c: v)
     out = S.reconciled(chars, same(F.col("confidence")), alone, same(F.lit(0.97)), dict(zip(V.ACCENTED, V.FOLDED)), gain=0.149999)
-    return lines(table(spark, d, "documents")).select("doc_id", "line_no", F.array_join(out, "").alias("text"))
+    some = F.translate(raw, V.ACCENTED, V.FOLDED) != raw  # else no character can change, and the line need not be taken apart
+    return lines(table(spark, d, "documents")).select("doc_id", "line_no", F.when(some, F.array_join(out, "")).otherwise(raw).alias("text"))
 
 
 @query(f"""WITH {SQL_LINES}, k AS (SELECT doc_id, line_no, unnest([{{'k': 'raw', 't': raw_text}}, {{'k': 'simplified', 't': {_FOLD % 'raw_text'}}}, {{'k': 'upper', 't': upper(raw_text)}}]) AS x FROM lines)
