@@ -71,22 +71,30 @@ def matching_tasks(tasks: DataFrame, sources: DataFrame, status: str | None, que
 
 
 def violations(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    """id and broken rules of every row that breaks one. rows: id, page_id, text, code_points, x0..y1 in shares of the page."""
+    """id and broken rules of every row that breaks one. rows: id, page_id, text, terms (array), code_points as stored, x0..y1 in shares of the page.
+
+    A text's family is its simplified form; one of the terms must share it. Stored code points that are null are not compared.
+    """
     from ..functions.text import code_points
+    from ..functions.variants import convert_column
 
     known = pages.select("page_id", F.lit(True).alias("_known")).distinct()
     code = lambda cond, name: F.when(cond, F.lit(name))
     inside = lambda c: (F.col(c) < 0) | (F.col(c) > 1)
-    rules = F.array_compact(
+    family = convert_column(F.col("text"))
+    # what looks at a row alone comes first, so that no text is shuffled
+    alone = F.array_compact(
         F.array(
-            code(F.count("*").over(Window.partitionBy("id")) > 1, "duplicate_id"),
             code(F.col("code_points") != code_points(F.col("text")), "code_points"),
             code(inside("x0") | inside("y0") | inside("x1") | inside("y1"), "box_outside"),
             code((F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0")), "box_empty"),
-            code(F.col("_known").isNull(), "page_missing"),
         )
     )
-    return rows.join(known, "page_id", "left").select("id", rules.alias("rules")).where(F.size("rules") > 0)
+    own = rows.select("id", "page_id", alone.alias("_alone"), F.exists("terms", lambda t: convert_column(t) == family).alias("_family"))
+    twice = code(F.count("*").over(Window.partitionBy("id")) > 1, "duplicate_id")
+    rest = F.array(code(F.col("_known").isNull(), "page_missing"), code(~F.col("_family"), "family"))
+    rules = F.concat(F.array_compact(F.array(twice)), F.col("_alone"), F.array_compact(rest))
+    return own.join(known, "page_id", "left").select("id", rules.alias("rules")).where(F.size("rules") > 0)
 
 
 def report_stats(docs: DataFrame, found: DataFrame) -> DataFrame:

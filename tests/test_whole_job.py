@@ -5,7 +5,7 @@ import pytest
 from linequarry.functions import variants as V
 from linequarry.queries import QUERIES
 
-TAIL = " ring é è 😀 àß, ena and éna ring" * 3
+TAIL = " ring é è 😀 àß, ena and éna ring" * 5
 TEXTS = {k: "\n".join(f"{'ring ' * (n % 3)}{k} {n}{TAIL if (k + n) % 2 else ''}" for n in range(13)) for k in (*range(1, 12), 35)}
 
 
@@ -32,3 +32,19 @@ def test_whole_lines_are_reconciled(spark, tables):
     got = {(r.doc_id, r.line_no): r.text for r in QUERIES["i_reconcile_glyphs"](spark, tables).collect()}
     assert got == {(k, n): t.translate(fold) if 60 + (k * 7 + n * 13) % 41 <= 82 else t for k, n, t in plain_lines()}
     assert any(len(t) > 20 and got[k, n] != t for k, n, t in plain_lines())
+
+
+def plain_box(k, n, t):
+    top, wide = 40.0 + 30 * (n % 5), 40.0 + 8 * len(t)
+    return (top, 40.0, top + 24, wide) if k % 5 == 0 else (40.0, top, wide, top + 24)
+
+
+def test_every_line_is_validated(spark, tables):
+    wanted = []
+    for k, n, t in plain_lines():
+        x0, y0, x1, y1 = plain_box(k, n, t)
+        rules = ["duplicate_id"] + ["code_points"] * (n % 7 == 0 and "è" in t) + ["box_outside"] * (max(x0, x1) > 1200 or max(y0, y1) > 1600)
+        rules += ["page_missing"] * (k % 40 >= 30) + ["family"] * (n % 11 == 0 and t.upper() != t)
+        wanted.append((k, ",".join(rules)))
+    assert sorted((r.id, r.rules) for r in QUERIES["d_validation_rules"](spark, tables).collect()) == sorted(wanted)
+    assert {x for _, rules in wanted for x in rules.split(",")} == {"duplicate_id", "code_points", "box_outside", "page_missing", "family"}
