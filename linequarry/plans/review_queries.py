@@ -87,9 +87,9 @@ def d_validation_rules(spark: SparkSession, d: str) -> DataFrame:
 FROM found JOIN (SELECT task_id, count(DISTINCT (doc_id, page_no)) AS pages FROM found GROUP BY 1) k ON k.task_id = found.task_id WHERE found.doc_id % 2 = 0""".replace("count(*) OVER (PARTITION BY found.task_id) AS total, ", ""))
 def e_export_snapshot(spark: SparkSession, d: str) -> DataFrame:
     found = _found(spark, d)
-    pages = found.groupBy("task_id").agg(F.count_distinct("doc_id", "page_no").alias("pages"))
+    pages = found.groupBy("task_id").agg(F.count("*").alias("total"), F.count_distinct("doc_id", "page_no").alias("pages"))
     sources = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc "), "doc_id").alias("display_path"))
-    return found.where("doc_id % 2 = 0").join(sources, "doc_id", "left").join(pages, "task_id").select("task_id", "global_sequence", "decision", "display_path", "pages")
+    return found.join(sources, "doc_id", "left").join(pages, "task_id").select("task_id", "global_sequence", "decision", "display_path", "total", "pages")
 
 
 @query(f"""WITH {SQL_LINES}, e AS (SELECT item_id % 40 AS k, sum(length(text) - length(replace(text, ' ', '')))::BIGINT AS expected FROM benchmark GROUP BY 1), a AS (SELECT doc_id % 50 AS k, count(*) AS actual FROM lines GROUP BY 1)

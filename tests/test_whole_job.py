@@ -48,3 +48,20 @@ def test_every_line_is_validated(spark, tables):
         wanted.append((k, ",".join(rules)))
     assert sorted((r.id, r.rules) for r in QUERIES["d_validation_rules"](spark, tables).collect()) == sorted(wanted)
     assert {x for _, rules in wanted for x in rules.split(",")} == {"duplicate_id", "code_points", "box_outside", "page_missing", "family"}
+
+
+def plain_hits(term):
+    """(task_id, doc_id, line_no, start) of every match."""
+    return sorted((f"src{k % 2}", k, n, s) for k, n, t in plain_lines() for s in range(len(t)) if t.startswith(term, s))
+
+
+def test_export_holds_every_occurrence_and_the_total(spark, tables):
+    hits = plain_hits("ena")
+    decision = lambda k: None if k % 3 == 0 else "needs_review" if k % 5 == 0 else "confirmed" if k % 2 else "rejected"
+    wanted = []
+    for task in ("src0", "src1"):
+        mine = [h for h in hits if h[0] == task]
+        pages = len({(k, n // 5) for _, k, n, _ in mine})
+        wanted += [(task, i, decision(k), f"doc {k}", len(mine), pages) for i, (_, k, _, _) in enumerate(mine, 1)]
+    got = QUERIES["e_export_snapshot"](spark, tables).select("task_id", "global_sequence", "decision", "display_path", "total", "pages")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(wanted, key=str)
