@@ -135,11 +135,13 @@ def h_span_union(spark: SparkSession, d: str) -> DataFrame:
 n AS (SELECT DISTINCT task_id, doc_id, page_no, line_no, s, length(raw_text) AS n, x0, y0, x1, y1 FROM h WHERE doc_id % 5 <> 0 OR line_no % 2 = 0)
 SELECT task_id, doc_id, line_no, s AS start, row_number() OVER (PARTITION BY task_id ORDER BY doc_id, line_no, s) AS global_sequence FROM n""")
 def l_backfill_occurrences(spark: SparkSession, d: str) -> DataFrame:
-    found = R.occurrences(table(spark, d, "documents"), "ring").where("doc_id % 5 <> 0 or line_no % 2 = 0")
+    """Every match, where those of other than odd lines of every fifth document have their rows already."""
     from ..operators.store import append_numbered
 
-    fresh = found.select("task_id", "doc_id", "line_no", "start")
-    return append_numbered(None, fresh, ["task_id", "doc_id", "line_no", "start"], [F.col("doc_id"), F.col("line_no"), F.col("start")])
+    key, order = ["task_id", "doc_id", "line_no", "start"], [F.col("doc_id"), F.col("line_no"), F.col("start")]
+    found = R.occurrences(table(spark, d, "documents"), "ring").select(*key)
+    old = append_numbered(None, found.where("doc_id % 5 <> 0 or line_no % 2 = 0"), key, order)
+    return append_numbered(old, found, key, order)
 
 
 @query(f"""WITH {SQL_LINES}, p AS (SELECT *, length(raw_text) AS n FROM boxed), m AS (SELECT *, n // 3 AS s, n // 3 + (n + 1) // 2 AS e FROM p WHERE n > 0)

@@ -65,3 +65,14 @@ def test_export_holds_every_occurrence_and_the_total(spark, tables):
         wanted += [(task, i, decision(k), f"doc {k}", len(mine), pages) for i, (_, k, _, _) in enumerate(mine, 1)]
     got = QUERIES["e_export_snapshot"](spark, tables).select("task_id", "global_sequence", "decision", "display_path", "total", "pages")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(wanted, key=str)
+
+
+def test_backfill_adds_what_has_no_row_yet(spark, tables):
+    wanted = []
+    for task in ("src0", "src1"):
+        mine = [h for h in plain_hits("ring") if h[0] == task]
+        there = [h for h in mine if h[1] % 5 or h[2] % 2 == 0]
+        wanted += [(*h, i) for i, h in enumerate(there + [h for h in mine if h not in there], 1)]
+    assert any(k % 5 == 0 and n % 2 for _, k, n, _, _ in wanted)
+    got = QUERIES["l_backfill_occurrences"](spark, tables).select("task_id", "doc_id", "line_no", "start", "global_sequence")
+    assert sorted(map(tuple, got.collect())) == sorted(wanted)
