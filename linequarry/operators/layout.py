@@ -27,11 +27,11 @@ def median_cross_size(boxed: DataFrame) -> DataFrame:
 
 
 def nearest_line(boxed: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each target point (id, doc_id, page_no, px, py) the line that contains it, else the nearest; ties by line order."""
+    """For each target point (id, doc_id, page_no, px, py) the line that contains it, else the nearest; ties by line order. An id may have a target on each of its pages."""
     both = targets.join(boxed, ["doc_id", "page_no"])
     dx, dy = gap(F.col("x0"), F.col("x1"), F.col("px"), F.col("px")), gap(F.col("y0"), F.col("y1"), F.col("py"), F.col("py"))
     both = both.withColumns({"dist": dx * dx + dy * dy})
-    w = Window.partitionBy("id").orderBy("dist", "line_index")
+    w = Window.partitionBy("doc_id", "page_no", "id").orderBy("dist", "line_index")
     return both.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("id", "line_no", (F.col("dist") == 0).alias("contains"), "dist")
 
 

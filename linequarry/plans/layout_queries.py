@@ -25,7 +25,7 @@ b AS (SELECT t.id, line_no, line_index, power(greatest(0::DOUBLE, greatest(x0, p
 SELECT id, line_no, dist = 0 AS contains, dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, line_index) AS k FROM b) WHERE k = 1""")
 def e_nearest_line(spark: SparkSession, d: str) -> DataFrame:
     boxed = _boxed(spark, d)
-    targets = boxed.where("page_no = 1").select(F.col("doc_id").alias("id"), "doc_id", "page_no", (F.col("doc_id") % 300).cast("double").alias("px"), (F.col("doc_id") * 7 % 200).cast("double").alias("py")).distinct()
+    targets = boxed.select(F.col("doc_id").alias("id"), "doc_id", "page_no", (F.col("doc_id") % 300).cast("double").alias("px"), (F.col("doc_id") * 7 % 200).cast("double").alias("py")).distinct()
     return L.nearest_line(boxed, targets)
 
 

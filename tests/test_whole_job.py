@@ -76,3 +76,16 @@ def test_backfill_adds_what_has_no_row_yet(spark, tables):
     assert any(k % 5 == 0 and n % 2 for _, k, n, _, _ in wanted)
     got = QUERIES["l_backfill_occurrences"](spark, tables).select("task_id", "doc_id", "line_no", "start", "global_sequence")
     assert sorted(map(tuple, got.collect())) == sorted(wanted)
+
+
+def test_every_page_has_its_nearest_line(spark, tables):
+    wanted = []
+    for k, p in {(k, n // 5) for k, n, _ in plain_lines()}:
+        px, py, near = float(k % 300), float(k * 7 % 200), []
+        for _, n, t in (x for x in plain_lines() if x[0] == k and x[1] // 5 == p):
+            x0, y0, x1, y1 = plain_box(k, n, t)
+            near.append((max(0.0, x0 - px, px - x1) ** 2 + max(0.0, y0 - py, py - y1) ** 2, n))
+        dist, n = min(near)
+        wanted.append((k, n, dist == 0, dist))
+    assert len(wanted) == 3 * len(TEXTS)
+    assert sorted(map(tuple, QUERIES["e_nearest_line"](spark, tables).select("id", "line_no", "contains", "dist").collect())) == sorted(wanted)
