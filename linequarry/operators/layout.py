@@ -6,6 +6,7 @@ holds a bounded number of lines. Only pages that have a target are looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,12 +14,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.geometry import gap
+from ..sources.corpus import PAGE_HEIGHT, PAGE_WIDTH
 
 #: neighbours' least overlap, largest gap in medians, most lines looked at, most candidate blocks.
 OVERLAP, GAP_MEDIANS, MOST_LINES, MOST_BLOCKS = 0.28, 2.6, 256, 64
 VERSION = 2
+#: Bytes of contexts, about, that a Python worker holds before it hands them on.
+HELD_BYTES = 4 << 20
+#: Orientations, the confidence below which one is unsure, the most an unsure and a sure context can have.
+MODES, SURE, UNSURE_MOST, SURE_MOST = ("auto", "horizontal", "vertical"), 0.65, 0.55, 0.95
 
 
 def median_cross_size(boxed: DataFrame) -> DataFrame:
@@ -43,15 +51,18 @@ def nearest_k(boxed: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     return both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def blocks(boxes: np.ndarray, vertical: bool) -> np.ndarray:
-    """Block number (smallest line number) of each line: lines that overlap across the reading direction and lie close along it."""
+def blocks(boxes: np.ndarray, vertical: bool, least: float = 1e-9) -> np.ndarray:
+    """Block number (smallest line number) of each line: lines that overlap across the reading direction and lie close along it.
+
+    least: the median size counts as this at least.
+    """
     n = len(boxes)
     if not n:
         return np.zeros(0, np.int64)
     x0, y0, x1, y1 = boxes.T
     across, along = ((y0, y1), (x0, x1)) if vertical else ((x0, x1), (y0, y1))
     size = along[1] - along[0]
-    limit = GAP_MEDIANS * max(float(np.median(size)), 1e-9)
+    limit = GAP_MEDIANS * max(float(np.median(size)), least)
     shared = np.minimum(across[1][:, None], across[1]) - np.maximum(across[0][:, None], across[0])
     shorter = np.minimum((across[1] - across[0])[:, None], across[1] - across[0])
     apart = np.maximum(along[0][:, None], along[0]) - np.minimum(along[1][:, None], along[1])
@@ -100,21 +111,108 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(rest.combine_chunks())
 
 
-def layout_contexts(boxed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Context of each target line (doc_id, page_no, line_no): status, block, texts before and after it in its block, blocks on the page.
+_BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
+_CONTEXT = (
+    "doc_id long, page_no int, line_no int, start int, end int, status string, reason string, orientation string, confidence double, block int, previous string, next string, plain_text string, "
+    f"box {_BOX}, normalised_box {_BOX}, block_box {_BOX}, normalised_block_box {_BOX}, items array<struct<line_no:int,role:string,text:string,box:{_BOX},normalised_box:{_BOX}>>, n_blocks int, "
+    f"candidate_blocks array<struct<id:string,line_count:int,contains_target:boolean,box:{_BOX},normalised_box:{_BOX}>>"
+)
+
+
+def layout_contexts(boxed: DataFrame, targets: DataFrame, width: float = PAGE_WIDTH, height: float = PAGE_HEIGHT) -> DataFrame:
+    """Context of each target (doc_id, page_no, line_no, start, end): the lines before and after it in its block, in spatial order, and the page's blocks.
 
-    A target as wide as tall has no sure orientation: status uncertain, no neighbours.
+    targets may have layout_mode (auto where null) and block_override (x0, y0, x1, y1; none where null). In mode auto
+    only lines of the target's orientation count. A target is uncertain, and then stands alone, if its orientation is
+    unsure or no other line is in its block. Of a page's lines the MOST_LINES nearest are looked at, of its blocks the
+    MOST_BLOCKS that rank first are listed: the target's own, then by distance; n_blocks counts all.
     """
-    wanted = targets.select("doc_id", "page_no").distinct()
-    lined = page_blocks(boxed.join(wanted, ["doc_id", "page_no"], "left_semi"))
-    texts = boxed.select("doc_id", "page_no", "line_no", "raw_text", "x0", "y0", "x1", "y1").join(lined, ["doc_id", "page_no", "line_no"])
-    w = Window.partitionBy("doc_id", "page_no", "block").orderBy("line_no")
-    around = texts.withColumns({"previous": F.lag("raw_text").over(w), "next": F.lead("raw_text").over(w)})
-    count = lined.groupBy("doc_id", "page_no").agg(F.count_distinct("block").alias("n_blocks"))
-    square = (F.col("x1") - F.col("x0")) == (F.col("y1") - F.col("y0"))
-    out = targets.select("doc_id", "page_no", "line_no").distinct().join(around, ["doc_id", "page_no", "line_no"]).join(count, ["doc_id", "page_no"])
-    hide = lambda c: F.when(~square, F.col(c))
-    return out.select("doc_id", "page_no", "line_no", F.when(square, "uncertain").otherwise("ready").alias("status"), F.when(square, "orientation_uncertain").alias("reason"), "block", hide("previous").alias("previous"), hide("next").alias("next"), F.least("n_blocks", F.lit(MOST_BLOCKS)).alias("n_blocks"))
+    given = lambda c, other: F.coalesce(F.col(c), other) if c in targets.columns else other
+    override = F.col("block_override").cast("array<double>") if "block_override" in targets.columns else F.lit(None).cast("array<double>")
+    wanted = targets.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("line_no", "start", "end", given("layout_mode", F.lit("auto")).alias("mode"), override.alias("override"))).alias("targets"))
+    lined = boxed.join(wanted.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_semi")
+    pages = lined.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "raw_text", "x0", "y0", "x1", "y1"))).alias("lines"))
+    rows = pages.join(wanted, ["doc_id", "page_no"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_no").cast("int").alias("page_no"), "lines", "targets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for b in batches:
+            for at in range(b.num_rows):
+                p = b.slice(at, 1).to_pylist()[0]
+                for c in page_contexts(p["lines"], p["targets"], width, height):
+                    out.append({"doc_id": p["doc_id"], "page_no": p["page_no"]} | c)
+                    held += 4000 + 3 * len(c["plain_text"])
+                    if held > HELD_BYTES:
+                        yield pa.RecordBatch.from_pylist(out, kinds)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, kinds)
+
+    kinds = to_arrow_schema(_parse_datatype_string(_CONTEXT))
+    return rows.mapInArrow(run, _CONTEXT)
+
+
+def line_orientation(box: tuple) -> tuple[str, float]:
+    """(orientation, confidence) of a line; a side counts as 1 at least."""
+    w, h = box[2] - box[0], box[3] - box[1]
+    kind, ratio = ("vertical", h / max(w, 1.0)) if h >= w else ("horizontal", w / max(h, 1.0))
+    return kind, min(1.0, 0.45 + (ratio - 1.0) / 3.0)
+
+
+def page_contexts(lined: list[dict], targets: list[dict], width: float, height: float) -> Iterator[dict]:
+    """The contexts of a page's targets. lined: line_no, raw_text, x0..y1 in line order."""
+    lined = [x for x in lined if x["raw_text"] and all(math.isfinite(x[c]) for c in ("x0", "y0", "x1", "y1")) and x["x1"] > x["x0"] and x["y1"] > x["y0"]]
+    boxes = [(x["x0"], x["y0"], x["x1"], x["y1"]) for x in lined]
+    place = {x["line_no"]: i for i, x in enumerate(lined)}
+    middle = [((b[0] + b[2]) / 2, (b[1] + b[3]) / 2) for b in boxes]
+    kinds = [line_orientation(b) for b in boxes]
+    known: dict[tuple, list[list[int]]] = {}
+    named = lambda b: dict(zip(("x0", "y0", "x1", "y1"), b))
+    share = lambda b: named(max(0.0, min(1.0, v / max(1.0, s))) for v, s in zip(b, (width, height, width, height)))
+
+    def union(some: list[int]) -> tuple:
+        return tuple(f(boxes[i][k] for i in some) for k, f in enumerate((min, min, max, max)))
+
+    def one(t: dict) -> dict:
+        mode, goal = t["mode"], place.get(t["line_no"])
+        if mode not in MODES:
+            raise ValueError("layout_mode must be auto, horizontal or vertical")
+        if goal is None or not 0 <= t["start"] < t["end"] <= len(lined[goal]["raw_text"]):
+            raise ValueError("a target needs a line with a box and a range inside its text")
+        kind, sure = kinds[goal] if mode == "auto" else (mode, 1.0)
+        from_goal = lambda p: math.hypot(p[0] - middle[goal][0], p[1] - middle[goal][1])
+        fitting = [i for i in range(len(lined)) if mode != "auto" or kinds[i][0] == kind]
+        whole = len(fitting) <= MOST_LINES
+        if not whole:
+            fitting = [goal, *sorted((i for i in fitting if i != goal), key=lambda i: from_goal(middle[i]))[: MOST_LINES - 1]]
+        found = known.get((mode, kind)) if whole else None
+        if found is None:
+            groups: dict[int, list[int]] = {}
+            for i, label in zip(fitting, blocks(np.array([boxes[i] for i in fitting]), kind == "vertical", 1.0).tolist()):
+                groups.setdefault(label, []).append(i)
+            found = list(groups.values())
+            if whole:
+                known[mode, kind] = found
+        own = next(g for g in found if goal in g)
+        pool = [{"id": f"block-{k}", "line_count": len(g), "contains_target": g is own, "box": union(g)} for k, g in enumerate(found, 1)]
+        pool.sort(key=lambda c: (not c["contains_target"], from_goal(((c["box"][0] + c["box"][2]) / 2, (c["box"][1] + c["box"][3]) / 2))))
+        candidates = [c | {"box": named(c["box"]), "normalised_box": share(c["box"])} for c in pool[:MOST_BLOCKS]]
+        o = t["override"]
+        if o and all(math.isfinite(v) for v in o) and o[2] > o[0] and o[3] > o[1]:
+            own = [i for i in fitting if i == goal or (o[0] <= middle[i][0] <= o[2] and o[1] <= middle[i][1] <= o[3])]
+        order = sorted(own, key=lambda i: (-middle[i][0], middle[i][1]) if kind == "vertical" else (middle[i][1], middle[i][0]))
+        at = order.index(goal)
+        reason = "orientation_uncertain" if mode == "auto" and sure < SURE else "block_uncertain" if len(own) == 1 else None
+        chosen = [goal] if reason else order[max(0, at - 1) : at + 2]
+        text = lambda k: lined[order[k]]["raw_text"] if not reason and 0 <= k < len(order) else None
+        items = [{"line_no": lined[i]["line_no"], "role": "target" if i == goal else "context", "text": lined[i]["raw_text"], "box": named(boxes[i]), "normalised_box": share(boxes[i])} for i in chosen]
+        return {
+            "line_no": t["line_no"], "start": t["start"], "end": t["end"], "status": "uncertain" if reason else "ready", "reason": reason, "orientation": kind, "confidence": round(min(sure, UNSURE_MOST if reason else SURE_MOST), 4),
+            "block": min(lined[i]["line_no"] for i in own), "previous": text(at - 1), "next": text(at + 1), "plain_text": "\n".join(i["text"] for i in items), "box": named(union(chosen)), "normalised_box": share(union(chosen)),
+            "block_box": named(union(own)), "normalised_block_box": share(union(own)), "items": items, "n_blocks": len(found), "candidate_blocks": candidates,
+        }
+
+    return map(one, targets)
 
 
 def greedy_merge(found: DataFrame, keys: list[str], near: float = 8.0, overlap: float = 0.8) -> DataFrame:

@@ -1,8 +1,13 @@
 """Queries over small tables whose later lines, pages and documents matter, held against plain versions."""
 
+import math
+import random
+import statistics
+
 import pytest
 
 from linequarry.functions import variants as V
+from linequarry.operators import layout as L
 from linequarry.queries import QUERIES
 
 TAIL = " ring é è 😀 àß, ena and éna ring" * 5
@@ -89,3 +94,67 @@ def test_every_page_has_its_nearest_line(spark, tables):
         wanted.append((k, n, dist == 0, dist))
     assert len(wanted) == 3 * len(TEXTS)
     assert sorted(map(tuple, QUERIES["e_nearest_line"](spark, tables).select("id", "line_no", "contains", "dist").collect())) == sorted(wanted)
+
+
+def plain_context(lined, line_no, mode, override):
+    """(status, reason, orientation, block, previous, next, candidates) of a target, by the rules one after the other."""
+    box = {n: b for n, _, b in lined}
+    text = {n: t for n, t, _ in lined}
+    mid = lambda b: ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
+    tall = lambda b: b[3] - b[1] >= b[2] - b[0]
+    far = lambda b: math.dist(mid(b), mid(box[line_no]))
+    upright = tall(box[line_no]) if mode == "auto" else mode == "vertical"
+    some = [n for n in box if mode != "auto" or tall(box[n]) == upright]
+    if len(some) > 256:
+        some = [line_no] + sorted((n for n in some if n != line_no), key=lambda n: far(box[n]))[:255]
+    along, across = ((0, 2), (1, 3)) if upright else ((1, 3), (0, 2))
+    limit = 2.6 * max(1.0, statistics.median(box[n][along[1]] - box[n][along[0]] for n in some))
+
+    def linked(p, q):
+        shared = min(p[across[1]], q[across[1]]) - max(p[across[0]], q[across[0]])
+        shorter = min(p[across[1]] - p[across[0]], q[across[1]] - q[across[0]])
+        return max(0, shared) / shorter >= 0.28 and max(p[along[0]], q[along[0]]) - min(p[along[1]], q[along[1]]) <= limit
+
+    groups, rest = [], list(some)
+    while rest:
+        todo = [rest.pop(0)]
+        groups.append([])
+        while todo:
+            n = todo.pop()
+            groups[-1].append(n)
+            near = [m for m in rest if linked(box[n], box[m])]
+            rest = [m for m in rest if m not in near]
+            todo += near
+    hull = lambda g: (min(box[n][0] for n in g), min(box[n][1] for n in g), max(box[n][2] for n in g), max(box[n][3] for n in g))
+    ranked = sorted(groups, key=lambda g: (line_no not in g, far(hull(g))))[:64]
+    own = ranked[0]
+    if override:
+        own = [n for n in some if n == line_no or (override[0] <= mid(box[n])[0] <= override[2] and override[1] <= mid(box[n])[1] <= override[3])]
+    order = sorted(own, key=lambda n: (-mid(box[n])[0], mid(box[n])[1]) if upright else mid(box[n])[::-1])
+    w, h = box[line_no][2] - box[line_no][0], box[line_no][3] - box[line_no][1]
+    unsure = mode == "auto" and 0.45 + (max(w, h) / min(w, h) - 1) / 3 < 0.65
+    reason = "orientation_uncertain" if unsure else "block_uncertain" if len(own) == 1 else None
+    at = order.index(line_no)
+    before, after = (None, None) if reason else (text[order[at - 1]] if at else None, text[order[at + 1]] if at + 1 < len(order) else None)
+    return "uncertain" if reason else "ready", reason, "vertical" if upright else "horizontal", min(own), before, after, len(groups), [(len(g), line_no in g, *hull(g)) for g in ranked]
+
+
+def test_contexts_against_plain_version(spark):
+    r, lined, targets = random.Random(4), {}, []
+    for page, n, side in ((1, 30, 500), (2, 8, 90), (3, 330, 2500), (4, 1, 50)):
+        lined[page] = []
+        for k in range(n):
+            x, y, long, short = r.uniform(0, side), r.uniform(0, side), r.uniform(12, 90), r.uniform(8, 24)
+            w, h = (short, long) if r.random() < 0.3 else (long, short)
+            lined[page].append((k, f"line {k}", (x, y, x + w, y + h)))
+        for k in range(0, n, 1 + n // 30):
+            targets += [(page, k, mode, o) for mode, o in ((None, None), ("vertical", None), ("horizontal", None), ("auto", [0.0, 0.0, side / 2, side / 2]))]
+    boxed = spark.createDataFrame([(7, p, n, t, *b) for p, some in lined.items() for n, t, b in some], "doc_id long, page_no int, line_no int, raw_text string, x0 double, y0 double, x1 double, y1 double")
+    wanted = spark.createDataFrame([(7, p, k, i % 4, 5, mode, o) for i, (p, k, mode, o) in enumerate(targets)], "doc_id long, page_no int, line_no int, start int, end int, layout_mode string, block_override array<double>")
+    got = {(c.page_no, c.line_no, c.start): c for c in L.layout_contexts(boxed, wanted).collect()}
+    assert len(got) == len(targets)
+    for i, (p, k, mode, o) in enumerate(targets):
+        c = got[p, k, i % 4]
+        assert (c.status, c.reason, c.orientation, c.block, c.previous, c.next, c.n_blocks, [(b.line_count, b.contains_target, *b.box) for b in c.candidate_blocks]) == plain_context(lined[p], k, mode or "auto", o)
+        assert c.plain_text == "\n".join(x for x in (c.previous, f"line {k}", c.next) if x is not None) and [x.role for x in c.items].count("target") == 1
+    assert {c.reason for c in got.values()} == {None, "orientation_uncertain", "block_uncertain"}
