@@ -1,7 +1,7 @@
 """Byte-pair encoding by backtracking over longest token matches, and decoding by an offset table.
 
-encode: at each position an Aho-Corasick automaton (or, for short pieces, the table of tokens itself) names the
-longest token that starts there. A token may follow another only if the pair-compatibility table allows it: the
+encode: an Aho-Corasick automaton, run once over all pieces of a call, names the longest token that starts at each
+position. A token may follow another only if the pair-compatibility table allows it: the
 two tokens' own merges must not be overtaken by a merge over their border. Where none may follow, the longest
 match is shortened to its next prefix token or the last token is taken back; a bit for each position keeps any
 position from being tried twice, so the work is linear. The sequence found is the one that merging in rank order gives.
@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from array import array
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -27,8 +28,8 @@ FILE = "byte_bpe_50k.json"
 #: The split pattern of this vocabulary and the white space it means.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: Pieces up to so many bytes look longer tokens up in the table; longer ones build on the automaton.
-SHORT = 48
+#: Pairs whose compatibility a worker remembers; beyond, the table is filled anew.
+PAIRS = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -65,13 +66,17 @@ class BacktrackingBPE:
             whole = vocab[a + b]
             if whole not in self.parts:
                 self.parts[whole], self.made[whole] = pair, n
-        self.longest = max(map(len, self.ids))
-        self.shorter: dict[int, int] = {}  # the longest token that is a proper prefix of a token
-        for text, i in self.ids.items():
-            self.shorter[i] = next((self.ids[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self.ids), -1)
         self.fits: dict[tuple[int, int], bool] = {}  # the pair-compatibility table, filled as pairs are met
         self.stable: dict[int, bool] = {}  # whether a token's own bytes merge to it
-        self.automaton = None
+        self.reached = {text: i for text, i in self.ids.items() if self._stable(i)}  # tokens that merging can give
+        self.shorter: dict[int, int] = {}  # the longest of them that is a proper prefix of a token
+        for text, i in self.reached.items():
+            self.shorter[i] = next((self.reached[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self.reached), -1)
+        # the automaton reads backwards: the longest token ending at a place of reversed bytes is the longest that starts there
+        self.automaton = ahocorasick.Automaton()
+        for text, i in self.reached.items():
+            self.automaton.add_word(text[::-1].decode("latin-1"), i)
+        self.automaton.make_automaton()
         #: offset table for decoding
         self.starts = np.zeros(size + 1, np.int64)
         np.cumsum([len(b) for b in self.bytes], out=self.starts[1:])
@@ -82,7 +87,7 @@ class BacktrackingBPE:
         key = left, right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
             known = self.fits[key] = self._compatible(left, right)
         return known
@@ -105,43 +110,33 @@ class BacktrackingBPE:
             else:
                 right, until = self.parts[right][0], b + 1
 
-    def _matches(self, data: bytes) -> list[int]:
-        """The longest token at each position, by the automaton."""
-        if self.automaton is None:
-            import ahocorasick
-
-            # tokens read backwards over reversed data: the longest match ending at a place is the longest that starts there
-            self.automaton = ahocorasick.Automaton()
-            for text, i in self.ids.items():
-                self.automaton.add_word(text[::-1].decode("latin-1"), (len(text), i))
-            self.automaton.make_automaton()
-        best = [0] * len(data)
-        size, last = [0] * len(data), len(data) - 1
-        for end, (n, i) in self.automaton.iter(data[::-1].decode("latin-1")):
-            at = last - end
-            if n > size[at]:
-                size[at], best[at] = n, i
+    def longest(self, pieces: list[bytes]) -> np.ndarray:
+        """The longest token at each byte of the pieces, which stand one after the other with one place between them."""
+        joint = "\u0100".join([p.decode("latin-1") for p in pieces])  # no token holds this letter
+        best = np.full(len(joint), -1, np.int64)
+        found = list(self.automaton.iter(joint[::-1]))  # at each place the longest comes first
+        if found:
+            end, token = np.array(found, np.int64).T
+            best[len(joint) - 1 - end[::-1]] = token[::-1]
         return best
 
-    def encode_piece(self, data: bytes) -> list[int]:
-        """ids of one piece of the split."""
-        whole = self.ids.get(data)
-        if whole is not None and self._stable(whole):
-            return [whole]
-        ids, n = self.ids, len(data)
-        if n <= SHORT:
-            def longest(at: int) -> int:
-                for end in range(min(n, at + self.longest), at, -1):
-                    i = ids.get(data[at:end])
-                    if i is not None:
-                        return i
-                raise ValueError("byte without token")
-        else:
-            longest = self._matches(data).__getitem__
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """ids of each piece of the split."""
+        best, at, out = self.longest(pieces).tolist(), 0, []
+        for p in pieces:
+            out.append(self._walk(best, at, len(p)))
+            at += len(p) + 1
+        return out
+
+    def _walk(self, best: list[int], base: int, n: int) -> list[int]:
+        """ids of the piece of n bytes whose longest matches begin at base."""
         length, shorter, compatible = self.bytes, self.shorter, self.compatible
+        token = best[base]
+        if len(length[token]) == n:
+            return [token]
         free = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
-        at, token = 0, longest(0)
+        at = 0
         while True:
             end = at + len(length[token])
             if free[end] and (not out or compatible(out[-1], token)):
@@ -149,7 +144,7 @@ class BacktrackingBPE:
                 at = end
                 if at == n:
                     return out
-                token = longest(at)
+                token = best[base + at]
                 continue
             token = shorter[token]
             while token < 0:
@@ -195,10 +190,7 @@ class BacktrackingBPE:
         return self._ordinary(text)
 
     def _ordinary(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in PATTERN.findall(text):
-            out += self.encode_piece(piece.encode("utf-8"))
-        return out
+        return list(chain.from_iterable(self.encode_pieces([p.encode("utf-8") for p in PATTERN.findall(text)])))
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """Bytes of ids, gathered from the pool of token bytes by the offset table."""
@@ -219,12 +211,16 @@ class BacktrackingChunks(ChunkEncoder):
     def __init__(self, path: str, keep_space: bool):
         self.own = BacktrackingBPE(path)
         self.keep_space = keep_space
-        self.known = {}
-
-    def fresh(self, chunks: list[str]) -> list[bytes]:
-        piece, full = self.own.encode_piece, self.own.encode
-        one = lambda c: piece(c.encode("utf-8")) if (c[1:] if c[:1] == " " else c).isalpha() else full(c)
-        return [array("I", one(c)).tobytes() for c in chunks]
+        self.forget()
+
+    def fresh(self, chunks: list[str]) -> list[np.ndarray]:
+        pieces = [PATTERN.findall(c) for c in chunks]
+        ids = self.own.encode_pieces([p.encode("utf-8") for some in pieces for p in some])
+        out, at = [], 0
+        for some in pieces:
+            out.append(np.array(list(chain.from_iterable(ids[at : at + len(some)])), np.uint32))
+            at += len(some)
+        return out
 
     def whole(self, text: str) -> bytes:
         return np.array(self.own.encode(text), "<u4").tobytes()

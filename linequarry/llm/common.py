@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -11,12 +13,14 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker holds decoded at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of text, and rows, that a Python worker holds decoded at once.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 4000
 
 
 def ship(spark: SparkSession) -> None:
@@ -60,23 +64,42 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each piece holds about limit bytes, one row at least."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        mean = max(1, b.nbytes // b.num_rows)
-        step = max(1, limit // mean)
-        for at in range(0, b.num_rows, step):
-            yield b.slice(at, step)
+def release() -> None:
+    """Hand memory that is no longer used back to the system; a worker waits for its next task with little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
 
+def _row_bytes(b: pa.RecordBatch) -> np.ndarray:
+    """Bytes that the strings of each row take, at least 1."""
+    size = np.ones(b.num_rows, np.int64)
+    for c in b.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            size += np.asarray(pc.fill_null(pc.binary_length(c), 0), np.int64)
+    return size
 
-def arrow_map(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
+
+def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that no piece holds more than limit bytes of strings or that many rows, one row at least."""
+    for b in batches:
+        if b.num_rows:
+            upto = np.cumsum(_row_bytes(b))
+            at = 0
+            while at < b.num_rows:
+                end = int(np.searchsorted(upto, limit + (upto[at - 1] if at else 0), side="right"))
+                end = max(at + 1, min(end, at + rows))
+                yield b.slice(at, end - at)
+                at = end
+    release()
+
+
+def arrow_map(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> DataFrame:
     """mapInArrow over slices of bounded size; one() may return None for nothing."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit):
+        for b in slices(batches, limit, rows):
             out = one(b)
             if out is not None and out.num_rows:
                 yield out

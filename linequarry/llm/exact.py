@@ -8,8 +8,9 @@ bucket's entries in key order from the shared files, keeps one chain per key, co
 so finds the row that stays for every entry. Rows then look their entry up in the written index.
 
 Texts are equal when identical after each run of white space is one space. Null counts as empty; empty texts are
-a group like any other. Of equal texts the smallest doc_id stays; rows that repeat it
-count in group_size and share its decision. Other columns are ignored.
+a group like any other. Of equal texts the smallest doc_id stays; rows that repeat it count in group_size and share
+its decision. A row without doc_id counts in its group and stays only where no row of the group has one. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, saved, ship, slices
@@ -38,10 +39,19 @@ _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64
 _NAMES = [f.split()[0] for f in _ENTRY.split(", ")]
 
 
+#: Stands for a missing doc_id inside: larger than any other.
+_NONE = 2**63 - 1
+
+
 def normalised(text: str) -> str:
     return _RUN.sub(" ", text)
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a normalised text as a column, as the operator returns it."""
+    return F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " "), 256)
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document naming its task's entry (the smallest doc_id here); entries carry text and count."""
     groups: dict[str, list[int]] = {}
@@ -123,7 +133,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_dedup(docs: DataFrame, capacity: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    docs = documents(docs)
+    docs = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NONE)))
     ship(docs.sparkSession)
     entries = saved(docs.mapInArrow(_fold, _ENTRY), "exact-entries")
     buckets = directory(entries, capacity)
@@ -138,4 +148,5 @@ def exact_dedup(docs: DataFrame, capacity: int | None = None) -> DataFrame:
     index = saved(owned.mapInArrow(_own, "entry long, sha string, keep_id long, group_size long, chain int"), "exact-index")
     rows = entries.select("doc_id", "entry", "sha")
     found = rows.join(index, ["entry", "sha"])
-    return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    named = lambda c: F.nullif(F.col(c), F.lit(_NONE)).alias(c)
+    return found.select(named("doc_id"), named("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -13,8 +13,10 @@ components are multiplied out between components (where sizes, places and parity
 members, and no link between components is missed.
 
 Sets: distinct word shingles; with fewer words the whole sequence; without words empty, linked with nothing. Null
-text counts as empty. Repeated rows are equal sets. Sizes may tie; order then goes by hash. Other columns are ignored.
-Nodes are told apart by a 64-bit hash of their set.
+text counts as empty. Repeated rows are equal sets; rows that share a doc_id but not their text are sets of their own,
+and a row without doc_id takes part in no link and has no component. Sizes may tie; order then goes by hash. Other
+columns are ignored. Nodes are told apart by a 64-bit hash of their set. The operator gives groups, which is all that
+dedup asks; links inside a group that is already one are not counted out.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ COMMON = 400_000
 #: Least count, over all tasks, of an n-gram that counts as common.
 OFTEN = 8
 #: N-grams a task counts together.
-COUNTED = 3_000_000
+COUNTED = 1_000_000
+#: Bytes of text whose sets are made at once; cells that a task deals out at once.
+AT_ONCE, DEALT = 1 << 20, 1_000_000
 #: Bits of a node's parity map.
 PARITY_BITS = 1024
 #: n-gram (24 bits, within its block) and its place among the node's first ones (in 256ths, rounded down), node, size.
@@ -53,7 +57,7 @@ ORDERS = 6
 def signature(shingles: np.ndarray, doc: int) -> int:
     """One number for a set; an empty one gets its document's own."""
     if not len(shingles):
-        return int(mixed(np.array([doc], np.int64).view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)[0])
+        return int(mixed(np.array([doc or 0], np.int64).view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)[0])
     place = mixed(shingles)
     total = int(place.sum(dtype=np.uint64)) + 3 * int(np.bitwise_xor.reduce(mixed(place))) + len(shingles)
     return int(mixed(np.array([total & (2**64 - 1)], np.uint64)).view(np.int64)[0])
@@ -69,7 +73,7 @@ def _survey(words: int):
     """Pass 1: per document its node and size (kind 0); n-grams that recur among the distinct sets of a task (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int64()]
+        kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         held: list[np.ndarray] = []
         seen: set[int] = set()
         n = 0
@@ -77,9 +81,9 @@ def _survey(words: int):
         def recurring() -> pa.RecordBatch:
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
             grams, counts = grams[counts > 1].view(np.int64), counts[counts > 1]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((np.ones(len(grams), np.int8), grams, np.zeros(len(grams), np.int64), counts), kinds)] + [pa.nulls(len(grams), pa.list_(pa.int64()))], ["kind", "a", "b", "n", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((np.ones(len(grams), np.int8), grams, np.zeros(len(grams), np.int64), counts, np.zeros(len(grams), np.int64)), kinds)] + [pa.nulls(len(grams), pa.list_(pa.int64()))], ["kind", "a", "b", "n", "hash", "bits"])
 
-        for b in slices(batches):
+        for b in slices(batches, AT_ONCE):
             docs = b.column("doc_id").to_pylist()
             sets = shingle_sets(b.column("text").to_pylist(), words)
             signs = [signature(s, d) for s, d in zip(sets, docs)]
@@ -89,7 +93,7 @@ def _survey(words: int):
                     held.append(s)
                     n += len(s)
             parity = pa.array([_parity(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(([0] * len(docs), docs, signs, [len(s) for s in sets]), kinds)), parity], ["kind", "a", "b", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(([0] * len(docs), docs, signs, [len(s) for s in sets], b.column("hash")), kinds)), parity], ["kind", "a", "b", "n", "hash", "bits"])
             if n > COUNTED:
                 yield recurring()
                 held, seen, n = [], set(), 0
@@ -106,11 +110,21 @@ def prefix_length(n: int, number: int = NUMBER, of: int = OF) -> int:
 def _cells(words: int, blocks: int, common, number: int, of: int):
     """Pass 2: each node's first n-grams in the order, dealt to blocks; one packed row per block."""
 
+    def dealt(parts: list[np.ndarray]) -> pa.RecordBatch:
+        cells = np.concatenate(parts)
+        cells = cells[np.argsort(cells["block"], kind="stable")]
+        cut = np.flatnonzero(np.diff(cells["block"], prepend=-1, append=-1))
+        packed = np.empty(len(cells), _CELL)
+        for f in ("h", "s", "n"):
+            packed[f] = cells[f]
+        return pa.RecordBatch.from_arrays([pa.array(cells["block"][cut[:-1]], pa.int32()), pa.array([packed[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], ["block", "cells"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, level = common.value
-        for b in slices(batches, 8 << 20):
-            parts: list[np.ndarray] = []
-            seen: set[int] = set()
+        parts: list[np.ndarray] = []
+        seen: set[int] = set()
+        held = 0
+        for b in slices(batches, AT_ONCE):
             docs = b.column("doc_id").to_pylist()
             for s, d in zip(shingle_sets(b.column("text").to_pylist(), words), docs):
                 if not len(s):
@@ -130,15 +144,12 @@ def _cells(words: int, blocks: int, common, number: int, of: int):
                 spread = mixed(first)
                 cell["block"], cell["h"], cell["s"], cell["n"] = (spread >> np.uint64(32)) % np.uint64(blocks), (spread & np.uint64(0xFFFFFF)) << np.uint64(8) | (np.arange(keep) * 256 // keep).astype(np.uint64), g, len(s)
                 parts.append(cell)
-            if not parts:
-                continue
-            cells = np.concatenate(parts)
-            cells = cells[np.argsort(cells["block"], kind="stable")]
-            cut = np.flatnonzero(np.diff(cells["block"], prepend=-1, append=-1))
-            packed = np.empty(len(cells), _CELL)
-            for f in ("h", "s", "n"):
-                packed[f] = cells[f]
-            yield pa.RecordBatch.from_arrays([pa.array(cells["block"][cut[:-1]], pa.int32()), pa.array([packed[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], ["block", "cells"])
+                held += keep
+            if held > DEALT:
+                yield dealt(parts)
+                parts, seen, held = [], set(), 0
+        if parts:
+            yield dealt(parts)
 
     return run
 
@@ -177,7 +188,9 @@ def _product(number: int, of: int):
                 pairs.append(np.stack([np.minimum(a, c), np.maximum(a, c)], axis=1))
             pairs = np.concatenate(pairs)
             if len(pairs):
-                pairs, counts = np.unique(pairs, axis=0, return_counts=True)
+                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+                head = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1)))
+                pairs, counts = pairs[head], np.diff(np.append(head, len(pairs)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), np.int8)), pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(counts.astype(np.int64)), pa.nulls(len(pairs), pa.binary())], ["kind", "a", "b", "n", "column"])
             start = np.flatnonzero(np.diff(h.astype(np.int64), prepend=-1, append=-1))
             wide = np.flatnonzero(np.diff(start) > 2)
@@ -199,38 +212,39 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, number: int, of: int) -> DataFrame:
-    """Of pairs (a, b) of nodes those that reach the threshold, as links of their smallest doc_ids."""
+    """Of pairs (a, b) of nodes those that reach the threshold."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = ends.join(nodes, "node").select("node", F.col("rep").alias("doc_id"))
-    texts = saved(wanted.join(docs, "doc_id").dropDuplicates(["doc_id"]).select("node", F.col("doc_id").alias("rep"), "text"), "jaccard-texts")
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("rep").alias("ra"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("rep").alias("rb"), F.col("text").alias("tb")), "b").select("ra", "rb", "ta", "tb")
+    wanted = ends.join(nodes, "node").select("node", F.col("rep").alias("doc_id"), "hash")
+    texts = saved(wanted.join(docs, ["doc_id", "hash"]).dropDuplicates(["node"]).select("node", "text"), "jaccard-texts")
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        sides = [dict(zip(ids := b.column(r).to_pylist(), texts)) for r, texts in (("ra", b.column("ta").to_pylist()), ("rb", b.column("tb").to_pylist()))]
+        sides = [dict(zip(ids := b.column(r).to_pylist(), texts)) for r, texts in (("a", b.column("ta").to_pylist()), ("b", b.column("tb").to_pylist()))]
         named = sides[0] | sides[1]
         sets = dict(zip(named, shingle_sets(list(named.values()), words)))
         good = []
-        for x, y in zip(b.column("ra").to_pylist(), b.column("rb").to_pylist()):
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
             both = np.concatenate([sets[x], sets[y]])
             both.sort()
             shared = int((both[1:] == both[:-1]).sum())
             good.append(of * shared >= number * (len(both) - shared))
         keep = pa.array(good)
-        return pa.RecordBatch.from_arrays([b.column("ra").filter(keep), b.column("rb").filter(keep)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
-    return arrow_map(both, one, "a long, b long")
+    return arrow_map(both, one, "a long, b long", limit=AT_ONCE)
 
 
 def jaccard_groups(docs: DataFrame, words: int = WORDS, number: int = NUMBER, of: int = OF) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    docs = documents(docs)
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), text_hash."""
+    docs = documents(docs).withColumn("hash", F.xxhash64("text"))
     spark = docs.sparkSession
     ship(spark)
-    seen = saved(docs.mapInArrow(_survey(words), "kind byte, a long, b long, n long, bits array<long>"), "jaccard-survey")
-    rows = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n")
-    each = seen.where("kind = 0").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("rep"), F.any_value("bits").alias("bits"))
-    nodes = saved(each, "jaccard-nodes")
+    seen = saved(docs.mapInArrow(_survey(words), "kind byte, a long, b long, n long, hash long, bits array<long>"), "jaccard-survey")
+    rows = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n", "hash")
+    docs = docs.where("doc_id is not null")
+    each = seen.where("kind = 0 and a is not null").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("a", "hash")).alias("first"), F.any_value("bits").alias("bits"))
+    nodes = saved(each.select("node", F.col("first.a").alias("rep"), F.col("first.hash").alias("hash"), "bits"), "jaccard-nodes")
     often = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     table = often.orderBy(F.desc("n"), "a").limit(COMMON).toPandas()
     grams, level = table["a"].to_numpy(np.int64).view(np.uint64), np.ceil(np.log2(table["n"].to_numpy(float) + 1)).astype(np.int8)
@@ -273,10 +287,13 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, number: int = NUMBER, of
         more = saved(_verified(rest, nodes, docs, words, number, of), "jaccard-links")
         if more.limit(1).count():
             named = _labelled(nodes, links.unionAll(more))
-    return rows.join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
+    out = rows.join(named, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("label")).alias("component_id"), F.col("hash").alias("text_hash"))
 
 
 def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """node, rep, label (smallest doc_id of its component)."""
-    group = components(links).withColumnRenamed("id", "rep")
-    return saved(nodes.join(group, "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("label")), "jaccard-labels")
+    group = saved(components(links).select(F.col("id").alias("node"), F.col("component").alias("root")), "jaccard-roots")
+    tied = group.unionAll(group.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "rep"), "node")
+    least = tied.groupBy("root").agg(F.min("rep").alias("label"))
+    return saved(nodes.select("node", "rep").join(tied.join(least, "root").select("node", "label"), "node", "left").select("node", "rep", F.coalesce("label", "rep").alias("label")), "jaccard-labels")

@@ -4,11 +4,13 @@ Overlapping heuristic labellers vote on every document: each knows one sign of g
 does not vote. How often each combination of votes
 occurs in the whole corpus is all that expectation-maximisation needs to estimate, without any true label, how
 reliable each labeller is and how likely each combination means a good document. These posteriors label a bounded
-sample (TRAIN_ROWS, by hash of doc_id), on which a linear scorer over hashed character-class trigrams and
-repetition marks is trained; the scorer judges every document.
+sample (the TRAIN_ROWS distinct rows that come first by a hash of doc_id and text, however the table is laid out),
+on which a linear scorer over hashed character-class trigrams and repetition marks is trained; the scorer judges
+every document, each by its own row.
 
-Null counts as empty; a text without words scores 0 and is rejected. Repeated rows are judged alike. An empty
-table gives an empty result. Other columns are ignored.
+Null counts as empty; a text without words scores 0 and is rejected. Repeated rows count in the votes, once in the
+sample, and are judged alike; a null doc_id is one like any other. An empty table gives an empty result. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ TRAIN_ROWS = 6000
 #: Hashed features.
 WIDTH = 2048
 STEPS = 300
+#: Documents whose features are held at once.
+AT_ONCE = 500
 KEEP_FROM = 0.4
 #: A shorter text tells less; its score leans to the share of good documents.
 ENOUGH_WORDS = 12
@@ -76,11 +80,13 @@ class Marks:
             code = kinds[:-2].astype(np.int64) * 256 + kinds[1:-1].astype(np.int64) * 16 + kinds[2:] if len(kinds) > 2 else np.zeros(0, np.int64)
             inside = of[:-2] == of[2:] if len(kinds) > 2 else np.zeros(0, bool)
             got = np.bincount(of[:-2][inside] * WIDTH + _SPOT[code[inside]], minlength=len(raws) * WIDTH) if len(code) else np.zeros(len(raws) * WIDTH)
-            x = np.sqrt(got.reshape(-1, WIDTH) / self.n[:, None])
+            x = got.reshape(-1, WIDTH).astype(np.float32)
+            x /= self.n[:, None].astype(np.float32)
+            np.sqrt(x, out=x)
             for salt, level in ((1, np.minimum(self.again * 10, 9)), (2, np.minimum(self.distinct * 10, 9)), (3, np.minimum(self.common * 20, 9))):
                 spot = ((np.floor(level).astype(np.uint64) + np.uint64(1000 * salt)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(53)).astype(np.int64)
                 x[np.arange(len(raws)), spot] += 0.5
-            self.x = x.astype(np.float32)
+            self.x = x
 
     def votes(self) -> np.ndarray:
         """One column per labeller: 1 good, -1 bad, 0 no vote."""
@@ -141,7 +147,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
         seen = Counter(v.tobytes() for v in Marks(b.column("text").to_pylist(), False).votes())
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["votes", "n"])
 
-    rows = arrow_map(docs, count, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # at most 2 ** 10
+    rows = arrow_map(docs, count, "votes binary, n long", rows=AT_ONCE).groupBy("votes").agg(F.sum("n").alias("n")).collect()  # at most 2 ** 10
     total = sum(r.n for r in rows)
     if not total:
         return {"share": 0.5, "rate": None, "w": np.zeros(WIDTH + 1, np.float32)}
@@ -149,31 +155,41 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     share, rate = estimate(patterns, np.array([r.n for r in rows], float))
 
     def features(b: pa.RecordBatch) -> pa.RecordBatch:
-        m = Marks(b.column("text").to_pylist(), True)
+        spot, first = np.unique(np.asarray(b.column("spot")), return_index=True)  # a repeated row once
+        m = Marks(b.column("text").take(pa.array(first)).to_pylist(), True)
         p = posterior(m.votes().astype(np.int64), share, rate)
-        return pa.RecordBatch.from_arrays([pa.array([r.astype(np.float16).tobytes() for r in m.x], pa.binary()), pa.array(p)], ["x", "p"])
+        return pa.RecordBatch.from_arrays([pa.array(spot), pa.array([r.astype(np.float16).tobytes() for r in m.x], pa.binary()), pa.array(p)], ["spot", "x", "p"])
 
+    placed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 60)).alias("spot"), "text")
     part = min(1.0, 1.1 * train_rows / total)
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)) + 1)
-    sample = arrow_map(picked, features, "x binary, p double").limit(train_rows).collect()
+    while True:
+        picked = placed.where(F.col("spot") < int(part * (1 << 60)) + 1)
+        sample = arrow_map(picked, features, "spot long, x binary, p double", rows=AT_ONCE).dropDuplicates(["spot"]).orderBy("spot").limit(train_rows).collect()
+        if part >= 1.0 or len(sample) >= train_rows // 2:
+            break
+        part = min(1.0, 8 * part)  # many rows repeat: look further
     x = np.stack([np.frombuffer(bytes(r.x), np.float16) for r in sample]).astype(np.float32)
     return {"share": share, "rate": rate, "w": train(x, np.array([r.p for r in sample]))}
 
 
+def _judged(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Score and weak label of each text."""
+    share, w = model["share"], model["w"]
+    m = Marks(texts, True)
+    told = np.minimum(m.words / ENOUGH_WORDS, 1.0)
+    odds = told * (m.x @ w[:-1] + w[-1]) + (1 - told) * np.log(share / (1 - share))
+    p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return np.where(m.words > 0, p, 0.0).astype(np.float64), posterior(m.votes().astype(np.int64), share, model["rate"])
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score (probability of a good document by the scorer), weak_label (posterior of its votes), kept."""
-    share, rate, w = model["share"], model["rate"], model["w"]
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        m = Marks(b.column("text").to_pylist(), True)
-        told = np.minimum(m.words / ENOUGH_WORDS, 1.0)
-        odds = told * (m.x @ w[:-1] + w[-1]) + (1 - told) * np.log(share / (1 - share))
-        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        p = np.where(m.words > 0, p, 0.0).astype(np.float64)
-        weak = posterior(m.votes().astype(np.int64), share, rate)
+        p, weak = _judged(b.column("text").to_pylist(), model)
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array(weak), pa.array(p >= KEEP_FROM)], ["doc_id", "score", "weak_label", "kept"])
 
-    return arrow_map(documents(docs), one, "doc_id long, score double, weak_label double, kept boolean", limit=2 << 20)
+    return arrow_map(documents(docs), one, "doc_id long, score double, weak_label double, kept boolean", rows=AT_ONCE)
 
 
 def judge_quality(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -182,6 +198,10 @@ def judge_quality(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs, all columns, that the classifier keeps."""
-    kept = judge_quality(docs, train_rows).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of docs, all columns, that the classifier keeps; each row is judged in its place, nothing is joined."""
+    model = fit(docs, train_rows)
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(_judged([t or "" for t in b.column("text").to_pylist()], model)[0] >= KEEP_FROM))
+
+    return arrow_map(docs, one, docs.schema, rows=AT_ONCE)

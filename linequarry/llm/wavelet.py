@@ -1,7 +1,8 @@
 """Token-id shards as wavelet matrices: succinct bit planes with rank and select, written and read as files.
 
-Documents are put in ascending doc_id order (repeated ids by text), encoded, each followed by the end id 0, and
-written as shards, one file per range of doc_id. A file holds one or more segments of bounded length; a segment
+Documents are put in ascending doc_id order (rows without one first, repeated ids by a hash of their text), encoded,
+each followed by the end id 0, and written as shards, one file per range of that order; rows that repeat one id are
+spread over as many ranges as they need. A file holds one or more segments of bounded length; a segment
 is a wavelet matrix: one bit plane per bit of the ids, most significant first, each plane in the stable order left
 by the planes above it, with the ones counted before every block of bits. Access, counting and finding occurrences
 read that one file; whole segments decode plane by plane.
@@ -49,9 +50,9 @@ class WaveletMatrix:
             one = (vals & kind(1 << (bits - 1 - k))) != 0
             packed = np.packbits(one)
             planes[k, : len(packed)] = packed
-            low = vals[~one]
+            low = np.compress(~one, vals)
             zeros[k] = len(low)
-            vals = np.concatenate([low, vals[one]])
+            vals = np.concatenate([low, np.compress(one, vals)])
         ranks = np.zeros((bits, width * 8 // BLOCK + 1), np.uint32)
         if n:
             np.cumsum(_ONES[planes].reshape(bits, -1, BLOCK // 8).sum(axis=2, dtype=np.uint32), axis=1, out=ranks[:, 1:])
@@ -65,8 +66,8 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[k], count=self.n).view(bool)
             above = np.empty(self.n, kind)
             z = int(self.zeros[k])
-            above[~one] = vals[:z]
-            above[one] = vals[z:] | kind(1 << (self.bits - 1 - k))
+            above[np.flatnonzero(~one)] = vals[:z]
+            above[np.flatnonzero(one)] = vals[z:] | kind(1 << (self.bits - 1 - k))
             vals = above
         return vals
 
@@ -124,8 +125,8 @@ class WaveletMatrix:
         return [self.select(token, k) for k in range(self.rank(token, self.n))]
 
 
-_SEGMENT = "shard int, segment int, before long, n_ids long, first_doc long, bits int, doc_ids binary, counts binary, planes binary, zeros binary, ranks binary"
-_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+_SEGMENT = "shard int, segment int, before long, n_ids long, unnamed int, bits int, doc_ids binary, counts binary, planes binary, zeros binary, ranks binary"
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
 _NAMES = [f.split()[0] for f in _SEGMENT.split(", ")]
 
 
@@ -153,8 +154,9 @@ def write_shards(docs: DataFrame, path: str | None = None) -> DataFrame:
             nonlocal segment, before, held, docs_held, total
             ids = np.concatenate(held)
             w = WaveletMatrix.build(ids, bits)
-            doc_ids, counts = np.array(docs_held, np.int64), np.array([len(h) for h in held], np.int64)
-            row = (shard, segment, before, len(ids), docs_held[0], bits, doc_ids.tobytes(), counts.tobytes(), w.planes.tobytes(), w.zeros.tobytes(), w.ranks.tobytes())
+            unnamed = docs_held.count(None)  # these come first
+            doc_ids, counts = np.array(docs_held[unnamed:], np.int64), np.array([len(h) for h in held], np.int64)
+            row = (shard, segment, before, len(ids), unnamed, bits, doc_ids.tobytes(), counts.tobytes(), w.planes.tobytes(), w.zeros.tobytes(), w.ranks.tobytes())
             segment, before, held, docs_held, total = segment + 1, before + len(ids), [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _KINDS)], _NAMES)
 
@@ -170,15 +172,15 @@ def write_shards(docs: DataFrame, path: str | None = None) -> DataFrame:
         if total:
             yield flush()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return saved(ordered.mapInArrow(run, _SEGMENT), "wavelet")
+    key = ["doc_id", "hash", "row"]
+    keyed = docs.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    return saved(keyed.repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text").mapInArrow(run, _SEGMENT), "wavelet")
 
 
 def read_shards(files: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32. The driver adds up one total per shard."""
-    totals = sorted((r.first_doc, r.shard, r.n) for r in files.groupBy("shard").agg(F.min("first_doc").alias("first_doc"), F.sum("n_ids").alias("n")).collect())
     starts, at = {}, 0
-    for _, shard, n in totals:
+    for shard, n in sorted((r.shard, r.n) for r in files.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()):  # ranges ascend
         starts[shard], at = at, at + n
     where = files.sparkSession.sparkContext.broadcast(starts)
 
@@ -190,10 +192,10 @@ def read_shards(files: DataFrame) -> DataFrame:
             ends = np.cumsum(counts)
             first = where.value[row["shard"]] + row["before"]
             raw = memoryview(ids.astype("<u4")).cast("B")
-            out[0] += np.frombuffer(row["doc_ids"], np.int64).tolist()
+            out[0] += [None] * row["unnamed"] + np.frombuffer(row["doc_ids"], np.int64).tolist()
             out[1] += (first + ends - counts).tolist()
             out[2] += counts.tolist()
             out[3] += [zlib.crc32(raw[4 * (e - c) : 4 * e]) for c, e in zip(counts.tolist(), ends.tolist())]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return arrow_map(files, one, "doc_id long, start long, n_tokens long, ids_crc32 long", limit=1)
+    return arrow_map(files, one, "doc_id long, start long, n_tokens long, ids_crc32 long", rows=1)
