@@ -2,6 +2,9 @@
 
 quality keeps what the classifier keeps; exact and near keep one document of each group of copies; secrets masks
 every span found; packing cuts and packs what is left. All but the last return the columns of documents.
+
+Decisions reach their rows by doc_id and text together, so a null or repeated doc_id neither loses a clean row nor
+keeps a rejected one. Rows without doc_id are dropped as copies only of rows with one or of each other's whole text.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linequarry.llm.common import saved
-from linequarry.llm.exact import exact_dedup
+from linequarry.llm.exact import exact_dedup, text_digest
 from linequarry.llm.jaccard import jaccard_groups
 from linequarry.llm.packing import pack_documents
 from linequarry.llm.quality import keep_good
@@ -21,12 +24,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
+def _staying(docs: DataFrame, decided: DataFrame, mark: str, of_text) -> DataFrame:
+    """The rows of docs whose doc_id (nulls alike) and mark of the text are among those decided."""
+    some = decided.select(F.col("doc_id").alias("_id"), F.col(mark).alias("_mark")).distinct()
+    return docs.join(some, docs["doc_id"].cast("long").eqNullSafe(some["_id"]) & (of_text(F.coalesce(docs["text"], F.lit(""))) == some["_mark"]), "left_semi")
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs.join(exact_dedup(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    return _staying(docs, exact_dedup(docs).where("kept"), "text_sha256", text_digest)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs.join(jaccard_groups(docs).where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    return _staying(docs, jaccard_groups(docs).where("doc_id <=> component_id"), "text_hash", F.xxhash64)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
