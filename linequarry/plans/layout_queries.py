@@ -20,9 +20,9 @@ def f_median_cross_size(spark: SparkSession, d: str) -> DataFrame:
     return L.median_cross_size(_boxed(spark, d))
 
 
-@query(f"""WITH {SQL_LINES}, t AS (SELECT DISTINCT doc_id AS id, doc_id, page_no, (doc_id % 300)::DOUBLE AS px, (doc_id * 7 % 200)::DOUBLE AS py FROM lines WHERE page_no = 1),
-b AS (SELECT t.id, line_no, line_index, power(greatest(0::DOUBLE, greatest(x0, px) - least(x1, px)), 2) + power(greatest(0::DOUBLE, greatest(y0, py) - least(y1, py)), 2) AS dist FROM t JOIN boxed b ON b.doc_id = t.doc_id AND b.page_no = t.page_no)
-SELECT id, line_no, dist = 0 AS contains, dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, line_index) AS k FROM b) WHERE k = 1""")
+@query(f"""WITH {SQL_LINES}, t AS (SELECT DISTINCT doc_id AS id, doc_id, page_no, (doc_id % 300)::DOUBLE AS px, (doc_id * 7 % 200)::DOUBLE AS py FROM lines),
+b AS (SELECT t.id, t.page_no, line_no, line_index, power(greatest(0::DOUBLE, greatest(x0, px) - least(x1, px)), 2) + power(greatest(0::DOUBLE, greatest(y0, py) - least(y1, py)), 2) AS dist FROM t JOIN boxed b ON b.doc_id = t.doc_id AND b.page_no = t.page_no)
+SELECT id, line_no, dist = 0 AS contains, dist FROM (SELECT *, row_number() OVER (PARTITION BY id, page_no ORDER BY dist, line_index) AS k FROM b) WHERE k = 1""")
 def e_nearest_line(spark: SparkSession, d: str) -> DataFrame:
     boxed = _boxed(spark, d)
     targets = boxed.select(F.col("doc_id").alias("id"), "doc_id", "page_no", (F.col("doc_id") % 300).cast("double").alias("px"), (F.col("doc_id") * 7 % 200).cast("double").alias("py")).distinct()

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import variants as V
 from ..operators import review as R
 from ..operators import store as T
 from ..sources.corpus import SQL_LINES, SQL_REVIEWS, lines, reviews, table, with_boxes
 from .registry import query
 
 TERM = "ena"
+_FOLD = f"replace(translate(%s, '{V.ACCENTED}', '{V.FOLDED}'), 'ß', 'ss')"
 #: Matches of a term with places, as in operators.review.occurrences.
 SQL_HITS = f"""{SQL_LINES},
 hit0 AS (SELECT *, unnest(list_filter(range(0, greatest(length(raw_text) - {len(TERM)} + 1, 0)), lambda i: substring(raw_text, i + 1, {len(TERM)}) = '{TERM}')) AS start FROM boxed WHERE contains(raw_text, '{TERM}')),
@@ -68,9 +70,10 @@ def d_task_filter_exists(spark: SparkSession, d: str) -> DataFrame:
     return R.matching_tasks(tasks, sources, "completed", "99").select("task_id", "name", "status")
 
 
-@query(f"""WITH {SQL_LINES}, o AS (SELECT doc_id AS id, line_no, 'p' || (doc_id % 40) AS page_id, substring(raw_text, 1, 3) AS text, x0 / 1200 AS x0, y0 / 1600 AS y0, x1 / 1200 AS x1, y1 / 1600 AS y1 FROM boxed WHERE line_no < 2),
-v AS (SELECT id, list_filter([CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate_id' END, CASE WHEN x0 < 0 OR x0 > 1 OR y0 < 0 OR y0 > 1 OR x1 < 0 OR x1 > 1 OR y1 < 0 OR y1 > 1 THEN 'box_outside' END,
- CASE WHEN x1 <= x0 OR y1 <= y0 THEN 'box_empty' END, CASE WHEN substring(page_id, 2)::INT >= 30 THEN 'page_missing' END], lambda r: r IS NOT NULL) AS rules FROM o)
+@query(f"""WITH {SQL_LINES}, o AS (SELECT doc_id AS id, line_no, 'p' || (doc_id % 40) AS page_id, raw_text AS text, {_FOLD % 'raw_text'} AS family, {_FOLD % 'upper(raw_text)'} AS capitals, x0 / 1200 AS x0, y0 / 1600 AS y0, x1 / 1200 AS x1, y1 / 1600 AS y1 FROM boxed),
+v AS (SELECT id, list_filter([CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate_id' END, CASE WHEN line_no % 7 = 0 AND contains(text, 'è') THEN 'code_points' END,
+ CASE WHEN x0 < 0 OR x0 > 1 OR y0 < 0 OR y0 > 1 OR x1 < 0 OR x1 > 1 OR y1 < 0 OR y1 > 1 THEN 'box_outside' END,
+ CASE WHEN x1 <= x0 OR y1 <= y0 THEN 'box_empty' END, CASE WHEN substring(page_id, 2)::INT >= 30 THEN 'page_missing' END, CASE WHEN line_no % 11 = 0 AND capitals <> family THEN 'family' END], lambda r: r IS NOT NULL) AS rules FROM o)
 SELECT id, array_to_string(rules, ',') AS rules FROM v WHERE len(rules) > 0""")
 def d_validation_rules(spark: SparkSession, d: str) -> DataFrame:
     """Every line: the stored code points are those of the resolved text (every seventh line resolves è to é), every eleventh line was found in capitals."""
@@ -83,8 +86,8 @@ def d_validation_rules(spark: SparkSession, d: str) -> DataFrame:
     return R.violations(rows, pages).select("id", F.array_join("rules", ",").alias("rules"))
 
 
-@query(f"""{SQL_FOUND} SELECT found.task_id, global_sequence, decision, 'doc ' || found.doc_id AS display_path, count(*) OVER (PARTITION BY found.task_id) AS total, k.pages
-FROM found JOIN (SELECT task_id, count(DISTINCT (doc_id, page_no)) AS pages FROM found GROUP BY 1) k ON k.task_id = found.task_id WHERE found.doc_id % 2 = 0""".replace("count(*) OVER (PARTITION BY found.task_id) AS total, ", ""))
+@query(f"""{SQL_FOUND} SELECT found.task_id, global_sequence, decision, 'doc ' || found.doc_id AS display_path, k.total, k.pages
+FROM found JOIN (SELECT task_id, count(*) AS total, count(DISTINCT (doc_id, page_no)) AS pages FROM found GROUP BY 1) k ON k.task_id = found.task_id""")
 def e_export_snapshot(spark: SparkSession, d: str) -> DataFrame:
     found = _found(spark, d)
     pages = found.groupBy("task_id").agg(F.count("*").alias("total"), F.count_distinct("doc_id", "page_no").alias("pages"))

@@ -52,7 +52,7 @@ def i_overlapping_matches(spark: SparkSession, d: str) -> DataFrame:
     return lines(table(spark, d, "documents")).select("doc_id", "line_no", F.explode(X.match_starts(F.col("raw_text"), "ana")).alias("start"))
 
 
-@query(f"WITH {SQL_LINES} SELECT doc_id, line_no, array_to_string(list_transform(string_split(substring(raw_text, 1, 12), ''), lambda c: printf('U+%04X', unicode(c))), ' ') AS cps FROM lines")
+@query(f"WITH {SQL_LINES} SELECT doc_id, line_no, array_to_string(list_transform(string_split(raw_text, ''), lambda c: printf('U+%04X', unicode(c))), ' ') AS cps FROM lines")
 def i_codepoint_sequence(spark: SparkSession, d: str) -> DataFrame:
     return lines(table(spark, d, "documents")).select("doc_id", "line_no", X.code_points(F.col("raw_text")).alias("cps"))
 
@@ -101,15 +101,15 @@ def i_verification_rule(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "line_no", v["status"].alias("status"), v["reason"].alias("reason"))
 
 
-@query(f"""WITH {SQL_LINES}, z AS (SELECT doc_id, line_no, string_split(substring(raw_text, 1, 20), '') AS cs, confidence AS p FROM lines)
-SELECT doc_id, line_no, array_to_string(list_transform(cs, lambda c: CASE WHEN p <= 0.82::DOUBLE AND c <> translate(c, '{V.ACCENTED}', '{V.FOLDED}') THEN translate(c, '{V.ACCENTED}', '{V.FOLDED}') ELSE c END), '') AS text FROM z""")
+@query(f"""WITH {SQL_LINES}, z AS (SELECT doc_id, line_no, string_split(raw_text, '') AS cs, confidence AS p FROM lines)
+SELECT doc_id, line_no, array_to_string(list_transform(cs, lambda c: CASE WHEN p <= 0.85::DOUBLE AND 0.97::DOUBLE - p >= 0.15::DOUBLE AND c <> translate(c, '{V.ACCENTED}', '{V.FOLDED}') THEN translate(c, '{V.ACCENTED}', '{V.FOLDED}') ELSE c END), '') AS text FROM z""")
 def i_reconcile_glyphs(spark: SparkSession, d: str) -> DataFrame:
     raw = F.col("raw_text")
     # each character that may change is a piece of its own, what lies between stays together
     chars = F.filter(F.split(raw, f"(?<=[{V.ACCENTED}])|(?=[{V.ACCENTED}])"), lambda c: c != "")
     alone = F.transform(chars, lambda c: F.translate(c, V.ACCENTED, V.FOLDED))
     same = lambda v: F.transform(chars, lambda c: v)
-    out = S.reconciled(chars, same(F.col("confidence")), alone, same(F.lit(0.97)), dict(zip(V.ACCENTED, V.FOLDED)), gain=0.149999)
+    out = S.reconciled(chars, same(F.col("confidence")), alone, same(F.lit(0.97)), dict(zip(V.ACCENTED, V.FOLDED)))
     some = F.translate(raw, V.ACCENTED, V.FOLDED) != raw  # else no character can change, and the line need not be taken apart
     return lines(table(spark, d, "documents")).select("doc_id", "line_no", F.when(some, F.array_join(out, "")).otherwise(raw).alias("text"))
 
@@ -132,8 +132,8 @@ def h_span_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {SQL_LINES}, h AS (SELECT task_id, doc_id, page_no, line_no, raw_text, x0, y0, x1, y1, unnest({_STARTS.format(t='raw_text', q='ring')}) AS s FROM boxed),
-n AS (SELECT DISTINCT task_id, doc_id, page_no, line_no, s, length(raw_text) AS n, x0, y0, x1, y1 FROM h WHERE doc_id % 5 <> 0 OR line_no % 2 = 0)
-SELECT task_id, doc_id, line_no, s AS start, row_number() OVER (PARTITION BY task_id ORDER BY doc_id, line_no, s) AS global_sequence FROM n""")
+n AS (SELECT DISTINCT task_id, doc_id, page_no, line_no, s, length(raw_text) AS n, x0, y0, x1, y1 FROM h)
+SELECT task_id, doc_id, line_no, s AS start, row_number() OVER (PARTITION BY task_id ORDER BY CASE WHEN doc_id % 5 <> 0 OR line_no % 2 = 0 THEN 0 ELSE 1 END, doc_id, line_no, s) AS global_sequence FROM n""")
 def l_backfill_occurrences(spark: SparkSession, d: str) -> DataFrame:
     """Every match, where those of other than odd lines of every fifth document have their rows already."""
     from ..operators.store import append_numbered
