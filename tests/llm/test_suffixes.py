@@ -55,3 +55,12 @@ def test_against_brute_force(spark, limit):
             parts += [p, some(r.randint(0, 200))]
         rows.append((d, "".join(parts)))
     _check(spark, rows, shard_contexts=limit)
+
+
+def test_repeated_rows(spark):
+    long = " ".join(str(k * k) for k in range(200))
+    rows = [(1, long)] * 40 + [(2, long[:150])] * 3 + [(None, long)] * 5 + [(3, "x " + long[100:400] + " y"), (4, None), (4, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in repeat_removal(df).collect())
+    n = len(long)
+    assert got == sorted([(1, n, n, 1)] * 40 + [(2, 150, 0, 0)] * 3 + [(0, n, n, 1)] * 5 + [(3, 304, 300, 1), (4, 0, 0, 0), (4, 0, 0, 0), (0, 0, 0, 0)])
