@@ -1,12 +1,15 @@
 """Best-fit packing of tokenised documents into sequences of bounded length, by hierarchical residual packing.
 
-Each partition packs its own pieces best-fit, longest first. Bins that are nearly full leave at once; the others
-are items of the next level, where several partitions' items meet and are packed best-fit again, and so on up a
-tree until one group is left. A bin that becomes an item keeps its members together, so a level reads only what
-the level below could not fill.
+Each partition packs its own pieces best-fit, longest first. Bins that are nearly full leave at once, and so do those
+that not even the emptiest bin left could join; the others are items of the next level, where several groups' items
+meet and are packed best-fit again, and so on up a tree until one group is left or nothing fits together. A bin that
+becomes an item keeps its members together. After best-fit at most one bin of a packing is half empty, so FAN_IN
+groups bring about as many guests, and of the bins that are equally full no more than that many can ever be needed:
+the others leave, which bounds every group by FAN_IN bins for each fill and group below.
 
 Null text counts as empty; every document has its end id, so an empty one is a piece of length 1. Repeated rows
-are packed each for itself. Equal lengths go in the order doc_id, piece. Other columns are ignored.
+are packed each for itself, rows without doc_id likewise. Equal lengths go in the order doc_id, piece. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -87,9 +90,24 @@ _KINDS = [pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64()]
 def _level(items: Iterator[tuple[int, bytes]], grp: int, length: int, level: int, last: bool) -> Iterator[tuple]:
     """Pack (fill, members) items; members are int64 rows (doc_id, piece, start, length, crc) in order."""
     held = list(items)
+    hosts: dict[int, int] = {}  # more than half full bins by fill
     for k, chosen in enumerate(best_fit([f for f, _ in held], length)):
         fill = sum(held[i][0] for i in chosen)
-        yield fill, b"".join(held[i][1] for i in chosen), bool(last or length - fill <= NEARLY * length), grp, level << 56 | grp << 28 | k
+        leaves = last or length - fill <= NEARLY * length
+        if not leaves and 2 * fill > length:
+            hosts[fill] = hosts.get(fill, 0) + 1
+            leaves = hosts[fill] > FAN_IN
+        yield fill, b"".join(held[i][1] for i in chosen), bool(leaves), grp, level << 56 | grp << 28 | k
+
+
+def most_fill(fills: dict[int, int], length: int) -> int:
+    """The largest fill that a bin can have and still be joined with another; fills: bins by fill."""
+    least = sorted(fills)[:2]
+    if not least:
+        return -1
+    second = least[0] if fills[least[0]] > 1 or len(least) == 1 else least[1]
+    alone = len(least) == 1 and fills[least[0]] == 1
+    return -1 if alone or least[0] + second > length else length - least[0]
 
 
 def _merge(level: int, last: bool, length: int) -> Callable[[tuple, pa.Table], pa.Table]:
@@ -137,20 +155,22 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
         if n:
             yield from flush()
 
-    bins = saved(cut.select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(first, _BIN), "bins0")
-    done = [bins.where("full")]
-    level, rest = 0, bins.where("not full")
-    groups = max(1, rest.agg(F.max("grp")).first()[0] or 0) + 1
+    # a piece without doc_id goes along as number 0 with its place negative
+    named = cut.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.when(F.col("doc_id").isNull(), -1 - F.col("piece")).otherwise(F.col("piece")).alias("piece"), "start", "length", "ids_crc32")
+    bins, done, level = saved(named.mapInArrow(first, _BIN), "bins0"), [], 0
     while True:
-        level, groups = level + 1, -(-groups // FAN_IN)
-        last = groups == 1
-        merged = rest.withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("long")).groupBy("grp").applyInArrow(_merge(level, last, length), _BIN)
-        if last:
+        left = bins.where("not full").groupBy("fill").agg(F.count("*").alias("n"), F.max("grp").alias("grp")).collect()  # at most `length` rows
+        most = most_fill({r.fill: r.n for r in left}, length)
+        done.append(bins.where(F.col("full") | (F.col("fill") > most)))
+        if most < 0:
+            break
+        rest = bins.where(~F.col("full") & (F.col("fill") <= most))
+        level, groups = level + 1, -(-(max(r.grp for r in left) + 1) // FAN_IN)
+        merged = rest.withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("long")).groupBy("grp").applyInArrow(_merge(level, groups == 1, length), _BIN)
+        if groups == 1:
             done.append(merged)
             break
-        merged = saved(merged, f"bins{level}")
-        done.append(merged.where("full"))
-        rest = merged.where("not full")
+        bins = saved(merged, f"bins{level}")
     every = done[0]
     for d in done[1:]:
         every = every.unionAll(d)
@@ -163,8 +183,10 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
         before = ends - table[:, 3]
         at = np.cumsum(sizes) - sizes
         offset = before - np.repeat(before[at], sizes)
-        cols = [table[:, 0], table[:, 1].astype(np.int32), table[:, 2], table[:, 3], table[:, 4], np.repeat(np.asarray(b.column("number")), sizes), offset]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+        unnamed = table[:, 1] < 0
+        piece = np.where(unnamed, -1 - table[:, 1], table[:, 1]).astype(np.int32)
+        cols = [piece, table[:, 2], table[:, 3], table[:, 4], np.repeat(np.asarray(b.column("number")), sizes), offset]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, 0]), mask=unnamed), *(pa.array(np.ascontiguousarray(c)) for c in cols)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     return arrow_map(every.select("members", "number"), unfold, _PIECE + ", sequence_id long, offset long")
 

@@ -7,12 +7,13 @@ A rule from which no trigram is mandatory searches every text.
 
 Kinds assign, access and hex are the base; further rules add spans and never take any away. Offsets count code
 points, ends are exclusive, matches of one kind don't overlap and come leftmost first. Null and empty texts hold
-nothing; repeated rows are searched each for itself; other columns are ignored.
+nothing; repeated rows and rows without doc_id are searched each for itself; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,12 @@ except ImportError:  # before Python 3.11
 
 #: Alternatives of one stretch of an expression that are still told apart.
 MOST = 24
+#: Stands for a missing doc_id where candidates are looked up.
+NO_ID = -(2**62)
+#: Trigrams in one word of a document's mask.
+BITS = 62
+#: Matches that are put in line together.
+RUN = 64
 
 
 @dataclass(frozen=True)
@@ -135,12 +142,13 @@ def _grams(q: Query) -> set[str]:
     return {q[1]} if q[0] == "has" else set().union(set(), *(_grams(x) for x in q[1])) if q[0] in ("and", "or") else set()
 
 
-def _answer(q: Query, bit: dict[str, int], mask: Column) -> Column:
+def _answer(q: Query, place: dict[str, int]) -> Column:
     if q[0] == "all":
         return F.lit(True)
     if q[0] == "has":
-        return mask.bitwiseAND(F.lit(1 << bit[q[1]])) != 0
-    parts = [_answer(x, bit, mask) for x in q[1]]
+        word, bit = divmod(place[q[1]], BITS)
+        return F.col(f"mask{word}").bitwiseAND(F.lit(1 << bit)) != 0
+    parts = [_answer(x, place) for x in q[1]]
     out = parts[0]
     for p in parts[1:]:
         out = (out & p) if q[0] == "and" else (out | p)
@@ -158,12 +166,11 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """doc_id and a flag per rule that has a query, for documents that satisfy one."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != ALL}
     grams = sorted(set().union(*map(_grams, queries.values())))
-    if len(grams) > 62:
-        raise ValueError("more trigrams than a mask holds; scan with fewer rules at a time")
-    bit = {g: n for n, g in enumerate(grams)}
+    place = {g: n for n, g in enumerate(grams)}
     # postings of a document come together: map-side sums of distinct bits, then one row per document
-    masks = postings(docs, grams).groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, gram)")).alias("mask"))
-    flags = [_answer(q, bit, F.col("mask")).alias(f"may_{k}") for k, q in queries.items()]
+    words = [F.bit_or(F.when(F.floor(F.col("gram") / BITS) == w, F.expr(f"shiftleft(1L, gram % {BITS})")).otherwise(F.lit(0).cast("long"))).alias(f"mask{w}") for w in range(-(-len(grams) // BITS))]
+    masks = postings(docs, grams).groupBy("doc_id").agg(*words)
+    flags = [_answer(q, place).alias(f"may_{k}") for k, q in queries.items()]
     out = masks.select("doc_id", *flags)
     some = F.lit(False)
     for k in queries:
@@ -171,7 +178,25 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return out.where(some)
 
 
-_SPAN = "array<struct<start:bigint,place:int,end:bigint,kind:string>>"
+_ONE = "struct<start:bigint,place:int,end:bigint,kind:string>"
+_SPAN = f"array<{_ONE}>"
+
+
+def scanned(items: Column, zero: Column, after: Callable[[Column, Column], Column], one: Callable[[Column, Column], Column], kind: str) -> Column:
+    """one(state, item) for every item of an array, where after(state, item) is the state for the next one. Arrays are
+    only ever appended to in runs of RUN items, so the cost does not grow with the square of the array."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / RUN).cast("int")), lambda k: F.slice(items, k * RUN + 1, RUN))
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+
+    def inside(run: Column, at: Column) -> Column:
+        grown = F.aggregate(run, state(at, F.array().cast(f"array<{kind}>")), lambda s, r: state(after(s["at"], r), F.concat(s["out"], F.array(one(s["at"], r))).cast(f"array<{kind}>")))
+        return grown["out"]
+
+    def whole(runs: Column) -> Column:
+        begun = F.aggregate(runs, state(zero, F.array().cast("array<bigint>")), lambda s, run: state(F.aggregate(run, s["at"], after), F.concat(s["out"], F.array(s["at"]))))
+        return F.flatten(F.zip_with(runs, begun["out"], inside))
+
+    return F.when(F.size(items) > 0, F.transform(F.array(runs), whole)[0]).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def spans(text: Column, rule: Rule, place: int) -> Column:
@@ -181,29 +206,30 @@ def spans(text: Column, rule: Rule, place: int) -> Column:
         F.split(text, rule.pattern, -1).alias("a"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("b"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("c")
     )
     rows = F.transform(rows, lambda r: F.struct(F.length(r["a"]).cast("long").alias("a"), F.length(r["b"]).cast("long").alias("b"), F.length(r["c"]).cast("long").alias("c")))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("found"))
+    after = lambda at, r: at + r["a"] + F.coalesce(r["b"], F.lit(0))
 
-    def step(acc: Column, r: Column) -> Column:
-        start = acc["at"] + r["a"]
-        end = start + F.coalesce(r["b"], F.lit(0))
-        one = F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(r["c"] >= rule.least, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).cast(_SPAN).alias("found"))
+    def one(at: Column, r: Column) -> Column:
+        start = at + r["a"]
+        return F.when(r["c"] >= rule.least, F.struct(start.alias("start"), F.lit(place).alias("place"), (start + r["b"]).alias("end"), F.lit(rule.kind).alias("kind")))
 
+    found = F.array_compact(scanned(rows, F.lit(0).cast("long"), after, one, _ONE))
     quick = rule.pattern
     if not rule.group and rule.least > 1 and rule.pattern.endswith("]+"):  # shorter matches would be dropped anyway
         low, high = parser.parse(rule.pattern[: rule.pattern.rindex("[")]).getwidth()
         if low == high < rule.least:
             quick = f"{rule.pattern[:-1]}{{{rule.least - low},}}"
-    return F.when(text.rlike(quick), F.aggregate(rows, begin, step)["found"]).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(quick), found.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, carry: Column | None = None) -> DataFrame:
     """One row per input row: doc_id, text, spans (array of start, place of the rule, end, kind) by start, then rule;
     carry: a column of docs that goes along as `carried`."""
     plain = documents(docs)
-    known = candidates(plain, rules)
+    known = candidates(plain.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), rules)
     whole = plain if carry is None else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), carry.alias("carried"))
-    joined = whole.join(known, "doc_id", "left")
+    # which texts may match is only narrowed by doc_id, so rows that share one, or have none, share their candidates
+    known = known.withColumnRenamed("doc_id", "_id")
+    joined = whole.join(known, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_id"), "left")
     found = []
     for n, r in enumerate(rules):
         if f"may_{r.kind}" in known.columns:
@@ -226,16 +252,13 @@ def secret_digests(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Da
 
 def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, carry: Column | None = None) -> DataFrame:
     """doc_id, text with every span replaced by its kind in brackets, n_spans. Overlapping spans are replaced as one, by the first's kind."""
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        kept = F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(kept).alias("out"))
+    def piece(at: Column, s: Column) -> Column:
+        kept = F.concat(F.substring(F.col("text"), (at + 1).cast("int"), (s["start"] - at).cast("int")), F.lit("["), s["kind"], F.lit("]"))
+        return F.when(s["start"] < at, F.lit("")).otherwise(kept)
 
-    done = F.aggregate("spans", begin, step)
-    rest = lambda d: F.concat(d["out"], F.substring(F.col("text"), (d["at"] + 1).cast("int"), F.length("text")))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.transform(F.array(done), rest)[0])
+    pieces = scanned(F.col("spans"), F.lit(0).cast("long"), lambda at, s: F.greatest(at, s["end"]), piece, "string")
+    rest = F.substring(F.col("text"), (F.array_max(F.transform("spans", lambda s: s["end"])) + 1).cast("int"), F.length("text"))
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), rest))
     return scan_secrets(docs, rules, carry).select("doc_id", text.alias("text"), *([] if carry is None else ["carried"]), F.size("spans").cast("long").alias("n_spans"))
 
 

@@ -6,7 +6,7 @@ asks for as many shards as it needs, in the order of what they hold already. For
 documents move one way as the other, linked ones first and unlinked ones as ballast, so the sizes never change:
 law `rows`, counts at most one apart, holds from the first round to the last while fewer links are cut.
 
-Null text counts as none: size 1, grouped with empty texts. Repeated rows are placed each for itself; ties go by
+Null text counts as none: size 1, grouped with empty texts. A null doc_id is one like any other. Repeated rows are placed each for itself; ties go by
 hash and doc_id. With fewer rows than shards some shards stay empty. Other columns are ignored.
 """
 
@@ -23,6 +23,8 @@ ROUNDS = 3
 CELLS = 1024
 #: The same where rows are numbered per pair of shards.
 PAIR_CELLS = 16
+#: A group with more than this share (1 in HOT) of all rows is not joined by key.
+HOT = 1000
 _STATE = ["doc_id", "size", "text_crc32", "grp", "spread", "shard"]
 
 
@@ -37,15 +39,22 @@ def numbered(rows: DataFrame, within: list[str], name: str, cells: int = CELLS)
     return ranked.join(F.broadcast(offsets), [*within, "_cell"]).withColumn(name, F.col("_before") + F.col("_place") - 1).drop("_cell", "_before", "_place")
 
 
-def _wishes(rows: DataFrame, capacity: int, turn: int, shards: int) -> DataFrame:
+def _wishes(rows: DataFrame, total: int, turn: int, shards: int) -> DataFrame:
     """Each row's target (its own shard if it is content) and whether it is linked."""
+    capacity = max(1, total // shards)
     by = F.array(*[F.struct((-F.count_if(F.col("shard") == k)).alias("less"), F.lit(k).alias("shard")) for k in range(shards)])
     liked = (
         rows.groupBy("grp")
         .agg(F.count("*").alias("total"), F.array_sort(by).alias("by"))
         .where("total > 1")
-        .select("grp", F.transform(F.slice("by", 1, F.least(F.ceil(F.col("total") / F.lit(capacity)), F.lit(shards)).cast("int")), lambda s: s["shard"]).alias("liked"))
+        .select("grp", "total", F.transform(F.slice("by", 1, F.least(F.ceil(F.col("total") / F.lit(capacity)), F.lit(shards)).cast("int")), lambda s: s["shard"]).alias("liked"))
     )
+    liked = saved(liked, f"shard-liked-{turn}")
+    # a group that holds more than 1 in HOT rows is told by broadcast (there are fewer than HOT of them), the others by a join
+    hot = liked.where(F.col("total") * HOT > total).select("grp", F.col("liked").alias("_hot"))
+    cold = liked.where(F.col("total") * HOT <= total).select("grp", "liked")
+    known = rows.join(F.broadcast(hot), "grp", "left")
+    told = known.where("_hot is null").drop("_hot").join(cold, "grp", "left").unionByName(known.where("_hot is not null").withColumnRenamed("_hot", "liked"))
     mixed: Column = F.xxhash64("spread", F.lit(turn))
     linked = F.col("liked").isNotNull()
     wish = (
@@ -53,7 +62,7 @@ def _wishes(rows: DataFrame, capacity: int, turn: int, shards: int) -> DataFrame
         .when(F.array_contains("liked", F.col("shard")), F.col("shard"))
         .otherwise(F.element_at("liked", (F.pmod(mixed, F.size("liked")) + 1).cast("int")))
     )
-    return rows.join(liked, "grp", "left").withColumn("target", wish).withColumn("linked", linked).drop("liked")
+    return told.withColumn("target", wish).withColumn("linked", linked).drop("liked")
 
 
 def _exchange(wished: DataFrame) -> DataFrame:
@@ -72,11 +81,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, grp (the text's digest)."""
     docs = documents(docs)
     rows = docs.select("doc_id", (F.octet_length("text").cast("long") + 1).alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), F.md5("text").alias("grp"))
-    rows = saved(rows.withColumn("spread", F.xxhash64("doc_id", "grp", "text_crc32")), "shard-rows")
-    capacity = max(1, rows.count() // shards)
+    rows = saved(rows.withColumn("spread", F.xxhash64("doc_id", "grp", F.monotonically_increasing_id())), "shard-rows")  # repeated rows spread too
+    total = rows.count()
     now = saved(numbered(rows, [], "pos").withColumn("shard", F.pmod("pos", F.lit(shards)).cast("int")).drop("pos"), "shard-0")
     for turn in range(1, rounds + 1):
-        wished = saved(_wishes(now, capacity, turn, shards), f"shard-wishes-{turn}")
+        wished = saved(_wishes(now, total, turn, shards), f"shard-wishes-{turn}")
         now = saved(_exchange(wished), f"shard-{turn}")
     return numbered(now, ["shard"], "slot").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "grp")
 
