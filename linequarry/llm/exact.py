@@ -2,10 +2,11 @@
 
 Every task first folds the equal texts of its own rows into one entry (key, representative, count, text), so a
 text that makes up a third of all rows reaches the index once per task and not once per row. The directory is
-grown from counts of keys: it starts with a few bits and doubles for the buckets that hold more than their
-capacity, until each holds less or its keys cannot be told apart. Buckets are key ranges; an owner task reads its
-bucket's entries in key order from the shared files, keeps one chain per key, compares bytes along the chain, and
-so finds the row that stays for every entry. Rows then look their entry up in the written index.
+a table on the shared files, worked out from the bytes below every key prefix: it starts with one bucket and doubles,
+bit by bit, where a bucket holds more than its capacity, until each holds less or DEEPEST bits are used. Buckets are
+key ranges; consecutive ones are dealt to owner tasks of about equal bytes. An owner reads its buckets' entries in key
+order from the shared files, keeps one chain per key, compares bytes along the chain, and so finds the row that stays
+for every entry. Rows then look their entry up in the written index.
 
 Texts are equal when identical after each run of white space is one space. Null counts as empty; empty texts are
 a group like any other. Of equal texts the smallest doc_id stays; rows that repeat it count in group_size and share
@@ -22,15 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, saved, ship, slices
 
 #: Bytes of text in a bucket before the directory doubles there: what gives each partition about four buckets, within these.
 BUCKET_BYTES = 256 << 10, 64 << 20
-#: Bits by which the directory grows at a time, and at most.
-STEP, DEEPEST = 4, 40
+#: Bits of a key that the directory uses at most, and bits beyond an even spread at which counting starts.
+DEEPEST, SPARE = 40, 5
+#: Key prefixes over which the driver adds up bytes to deal out owners.
+TOP = 12
 #: Bytes of text a task folds together before it hands its entries on.
 FOLD_BYTES = 48 << 20
 _RUN = re.compile("[\x20\x09-\x0d]+")
@@ -81,25 +84,36 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def directory(entries: DataFrame, capacity: int | None = None) -> list[tuple[int, int]]:
-    """(first key of the bucket, its depth) in key order. The driver holds a pair per bucket."""
+def directory(entries: DataFrame, capacity: int | None = None) -> DataFrame:
+    """The buckets: first (key), depth, bytes; no bucket holds more than its capacity unless it is DEEPEST bits deep."""
     sized = entries.where("text is not null").select("key", "size")
+    total = sized.agg(F.sum("size")).first()[0] or 0
     if capacity is None:
-        total = sized.agg(F.sum("size")).first()[0] or 0
         capacity = min(max(total // (4 * int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))), BUCKET_BYTES[0]), BUCKET_BYTES[1])
-    done: list[tuple[int, int]] = []
-    depth, full = STEP, None
-    while True:
-        prefix = F.shiftright("key", 63 - depth)
-        rows = sized if full is None else sized.where(F.shiftright("key", 63 - depth + STEP).isin(full))
-        counts = {r.p: r.b for r in rows.groupBy(prefix.alias("p")).agg(F.sum("size").alias("b")).collect()}
-        parents = range(1) if full is None else full
-        cells = [p << STEP | k for p in parents for k in range(1 << STEP)]
-        full = [c for c in cells if counts.get(c, 0) > capacity and depth + STEP <= DEEPEST]
-        done += [(c << (63 - depth), depth) for c in cells if c not in set(full)]
-        if not full:
-            return sorted(done)
-        depth += STEP
+    deepest = min(DEEPEST, int(total // capacity).bit_length() + SPARE)
+    cells = sized.groupBy(F.shiftright("key", 63 - deepest).alias("cell")).agg(F.sum("size").alias("bytes"))
+    # what lies below every prefix, from the whole table down to the cells
+    below = cells.select("bytes", "cell", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("depth"))
+    below = below.select("depth", F.expr(f"shiftright(cell, {deepest} - depth)").alias("prefix"), "bytes")
+    nodes = saved(below.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes")), "exact-prefixes")
+    split = nodes.where((F.col("bytes") > capacity) & (F.col("depth") < deepest))
+    # a bucket is a prefix that was not split whose parent was
+    made = nodes.join(split.select("depth", "prefix"), ["depth", "prefix"], "left_anti").withColumns({"up": F.col("depth") - 1, "of": F.shiftright("prefix", 1)})
+    parents = split.select(F.col("depth").alias("up"), F.col("prefix").alias("of"))
+    leaves = made.where("depth > 0").join(parents, ["up", "of"], "left_semi").unionByName(made.where("depth = 0"))
+    first = F.expr("if(depth = 0, 0L, shiftleft(prefix, 63 - depth))")
+    return saved(leaves.select(first.alias("first"), "depth", "bytes"), "exact-directory")
+
+
+def owners(buckets: DataFrame, tasks: int) -> list[int]:
+    """First keys of at most `tasks` runs of consecutive buckets, of about equal bytes each."""
+    top = F.shiftright("first", 63 - TOP)
+    sums = buckets.groupBy(top.alias("top")).agg(F.sum("bytes").alias("n"))
+    before = sums.select("top", F.coalesce(F.sum("n").over(Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 2 ** TOP rows at most
+    total = max(1, buckets.agg(F.sum("bytes")).first()[0] or 0)
+    upto = F.col("before") + F.sum("bytes").over(Window.partitionBy("top").orderBy("first")) - F.col("bytes")
+    dealt = buckets.withColumn("top", top).join(F.broadcast(before), "top").select("first", F.floor(upto * tasks / total).alias("owner"))
+    return sorted(r.first for r in dealt.groupBy("owner").agg(F.min("first").alias("first")).collect())  # a row per task
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,15 +150,15 @@ def exact_dedup(docs: DataFrame, capacity: int | None = None) -> DataFrame:
     docs = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NONE)))
     ship(docs.sparkSession)
     entries = saved(docs.mapInArrow(_fold, _ENTRY), "exact-entries")
-    buckets = directory(entries, capacity)
-    firsts = np.array([f for f, _ in buckets], np.int64)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    firsts = np.array(owners(directory(entries, capacity), tasks), np.int64)
 
     @F.pandas_udf("int")
-    def bucket_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(firsts, key.to_numpy(), side="right").astype(np.int32) - 1)
+    def owner_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(firsts, key.to_numpy(), side="right") - 1, 0).astype(np.int32))
 
     heads = entries.where("text is not null").select("key", "entry", "n", "sha", "text")
-    owned = heads.withColumn("bucket", bucket_of("key")).repartition("bucket").sortWithinPartitions("bucket", "key", "entry").select("key", "entry", "n", "sha", "text")
+    owned = heads.repartitionById(max(1, len(firsts)), owner_of("key")).sortWithinPartitions("key", "entry")
     index = saved(owned.mapInArrow(_own, "entry long, sha string, keep_id long, group_size long, chain int"), "exact-index")
     rows = entries.select("doc_id", "entry", "sha")
     found = rows.join(index, ["entry", "sha"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from linequarry.llm import queries
 from linequarry.llm.components import components
-from linequarry.llm.exact import directory, exact_dedup
+from linequarry.llm.exact import directory, exact_dedup, owners
 from linequarry.llm.quality import fit, judge_quality, keep_good
 from linequarry.llm.secrets import ALL, BASE, MORE, mask_secrets, secret_digests, trigram_query
 from linequarry.llm.sharding import cut_share, shard_documents
@@ -34,10 +34,15 @@ def test_exact(spark, capacity):
 
 
 def test_directory_doubles_where_it_is_full(spark):
-    rows = [(i, i, (k << 58) + i, "", "t", 1, 100) for k in (0, 1, 9) for i in range(1 if k else 64)]
-    found = directory(spark.createDataFrame(rows, "doc_id long, entry long, key long, sha string, text string, n long, size long"), 1000)
-    depths = {d for _, d in found}
-    assert len(depths) > 1 and [f for f, _ in found] == sorted(f for f, _ in found) and found[0][0] == 0
+    rows = [(i, i, (k << 58) + (i << 40), "", "t", 1, 100) for k in (0, 1, 9) for i in range(1 if k else 64)]
+    table = directory(spark.createDataFrame(rows, "doc_id long, entry long, key long, sha string, text string, n long, size long"), 1000)
+    found = sorted((r.first, r.depth, r.bytes) for r in table.collect())
+    assert len({d for _, d, _ in found}) > 1 and found[0][0] == 0 and sum(b for *_, b in found) == 6600
+    for (f, d, b), after in zip(found, [*(r[0] for r in found[1:]), 2**63]):
+        assert f % (1 << (63 - d)) == 0 and f + (1 << (63 - d)) <= after
+        assert b == 100 * sum(f <= r[2] < f + (1 << (63 - d)) for r in rows)
+    firsts = owners(table, 3)
+    assert firsts[0] == 0 and 1 < len(firsts) <= 3 and set(firsts) <= {f for f, *_ in found}
 
 
 def test_components(spark):
