@@ -40,7 +40,7 @@ SHARD_BYTES, SHARD_CONTEXTS = 4 << 20, 1000
 #: Bytes of contexts, and texts, that a task remembers to know copies by.
 KNOWN_BYTES, KNOWN_TEXTS = 32 << 20, 500_000
 #: Strings that one merge of several shards looks up together.
-MERGED = 20_000
+MERGED = 1_000
 _SPAN = LENGTH - GRAM + 1  # grams in a string
 _CELL = np.dtype([("u0", "<u8"), ("u1", "<u8"), ("c", "<u8"), ("g", "<u4"), ("at", "<i4"), ("n", "<u2")])
 
