@@ -57,7 +57,8 @@ BASE = (
 )
 MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    # also takes what only begins like one, with an empty group, so that no stretch is gone over twice
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+((?:\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)?)", 1, 1),
     Rule("forge", r"gh[opsu]_[A-Za-z0-9]+", 0, 40),
 )
 
@@ -185,7 +186,9 @@ _SPAN = f"array<{_ONE}>"
 def scanned(items: Column, zero: Column, after: Callable[[Column, Column], Column], one: Callable[[Column, Column], Column], kind: str) -> Column:
     """one(state, item) for every item of an array, where after(state, item) is the state for the next one. Arrays are
     only ever appended to in runs of RUN items, so the cost does not grow with the square of the array."""
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / RUN).cast("int")), lambda k: F.slice(items, k * RUN + 1, RUN))
+    let = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  # value is worked out once
+    cut = lambda some: F.transform(F.sequence(F.lit(0), F.floor((F.size(some) - 1) / RUN).cast("int")), lambda k: F.slice(some, k * RUN + 1, RUN))
+    none = F.array().cast(f"array<{kind}>")
     state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
 
     def inside(run: Column, at: Column) -> Column:
@@ -196,7 +199,8 @@ def scanned(items: Column, zero: Column, after: Callable[[Column, Column], Colum
         begun = F.aggregate(runs, state(zero, F.array().cast("array<bigint>")), lambda s, run: state(F.aggregate(run, s["at"], after), F.concat(s["out"], F.array(s["at"]))))
         return F.flatten(F.zip_with(runs, begun["out"], inside))
 
-    return F.when(F.size(items) > 0, F.transform(F.array(runs), whole)[0]).otherwise(F.array().cast(f"array<{kind}>"))
+    many = lambda some: let(cut(some), whole)
+    return let(items, lambda some: F.when(F.size(some) == 0, none).when(F.size(some) <= RUN, inside(some, zero)).otherwise(many(some)))
 
 
 def spans(text: Column, rule: Rule, place: int) -> Column:
