@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import let, prefix_sums
+
 #: Longest query in code points.
 QUERY_LIMIT = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,10 +49,8 @@ def match_starts(text: Column, query: str) -> Column:
         return F.array().cast("array<int>")
     ahead = "(?=\\Q" + query.replace("\\E", "\\E\\\\E\\Q") + "\\E)"
     none = F.array().cast("array<int>")
-    pieces = F.transform(F.split(text, ahead, -1), F.length)
-    begin = F.struct(F.lit(0).alias("at"), F.when(F.startswith(text, F.lit(query)), F.array(F.lit(0))).otherwise(none).alias("found"))
-    run = F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["found"], F.array(acc["at"] + n)).alias("found")))
-    return F.when(F.contains(text, F.lit(query)), run["found"]).otherwise(none)
+    starts = let(prefix_sums(F.transform(F.split(text, ahead, -1), F.length)), lambda at: F.when(F.startswith(text, F.lit(query)), at).otherwise(F.slice(at, 2, F.size(at))))
+    return F.when(F.contains(text, F.lit(query)), starts).otherwise(none)
 
 
 def spans(text: Column, query: str) -> Column:

@@ -117,6 +117,24 @@ def convert_column(text: Column, table: VariantTable = LATIN) -> Column:
     return out
 
 
+def form_column(text: Column, kind: str, table: VariantTable = LATIN) -> Column:
+    """One form of a column. The regional ones start from the simplified form: phrases first, the longest before
+    shorter ones, then single characters; a phrase that was converted is not converted again."""
+    simple = convert_column(text, table)
+    if kind == "simplified":
+        return simple
+    phrases, chars = table.phrases.get(kind, table.phrases.get("traditional", {})), table.to_kind.get(kind, table.to_kind.get("traditional", {}))
+    held = {p: chr(0xF0000 + n) for n, p in enumerate(sorted(phrases, key=lambda p: (-len(p), p)))}  # private characters stand for converted phrases
+    out = simple
+    for p, mark in held.items():
+        out = F.replace(out, F.lit(p), F.lit(mark))
+    single = {a: b for a, b in chars.items() if len(a) == len(b) == 1}
+    out = F.translate(out, "".join(single), "".join(single.values())) if single else out
+    for p, mark in held.items():
+        out = F.replace(out, F.lit(mark), F.lit(phrases[p]))
+    return out
+
+
 def classify_column(text: Column, table: VariantTable) -> Column:
     """classify for a column."""
     cls = lambda chars: "[" + "".join(f"\\x{{{ord(c):X}}}" for c in chars) + "]"

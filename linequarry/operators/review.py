@@ -9,19 +9,36 @@ from ..functions.text import context, like_ascii, match_starts
 from ..sources.corpus import lines, with_boxes
 
 
+#: Consecutive documents whose rows are counted together when numbers run over a whole task.
+BLOCK = 4096
+
+
+def numbered_in(rows: DataFrame, scope: str, name: str, within: str, group: str = "doc_id") -> DataFrame:
+    """Numbers from 1 over a scope in order of its groups, given a row's number within its group.
+
+    No task sorts a scope's rows: groups are counted, counts are added up over blocks of groups and inside a block, and
+    the sum goes back to the rows. rows: scope, group (whole number), within.
+    """
+    counts = rows.groupBy(scope, group).agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col(group) / BLOCK))
+    past = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = counts.groupBy(scope, "_block").agg(F.sum("_n").alias("_n")).select(scope, "_block", past(Window.partitionBy(scope).orderBy("_block")).alias("_before"))
+    inside = counts.select(scope, group, "_block", past(Window.partitionBy(scope, "_block").orderBy(group)).alias("_inside"))
+    offsets = inside.join(blocks, [scope, "_block"]).select(scope, group, (F.col("_before") + F.col("_inside")).alias("_offset"))
+    return rows.join(offsets, [scope, group]).withColumn(name, F.col("_offset") + F.col(within)).drop("_offset")
+
+
 def occurrences(docs: DataFrame, term: str, radius: int = 15) -> DataFrame:
-    """Located matches of a literal term with context, numbered within page, document and task. No window is unpartitioned."""
+    """Located matches of a literal term with context, numbered within page, document and task. No window spans a task's rows."""
     lined = with_boxes(lines(docs))
     hits = lined.withColumn("start", F.explode(match_starts(F.col("raw_text"), term))).withColumn("end", F.col("start") + len(term))
     hits = hits.withColumns(context(F.col("raw_text"), F.col("start"), F.col("end"), radius))
-    order = ["doc_id", "line_no", "start"]
-    return hits.withColumns(
+    hits = hits.withColumns(
         {
             "page_occurrence_index": F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("line_no", "start")),
             "document_occurrence_index": F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "start")),
-            "global_sequence": F.row_number().over(Window.partitionBy("task_id").orderBy(*order)),
         }
     )
+    return numbered_in(hits, "task_id", "global_sequence", "document_occurrence_index")
 
 
 def overlay(found: DataFrame, reviewed: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,6 +75,61 @@ def page(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_of(rows: DataFrame, order: list, limit: int, offset: int = 0) -> tuple[DataFrame, dict]:
+    """One page and what a caller needs for the next: total rows, and whether more follow."""
+    total = rows.count()
+    return page(rows, order, limit, offset), {"total": total, "limit": limit, "offset": offset, "has_more": offset + limit < total}
+
+
+#: Rank of a status in reports.
+STATUS_RANK = {"unreviewed": 0, "needs_review": 1, "rejected": 2, "confirmed": 3}
+
+
+def number_aware(text: Column) -> Column:
+    """A key that orders names without letter case and numbers in them by value."""
+    parts = F.regexp_extract_all(F.lower(text), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 18, "0")).otherwise(p)), "")
+
+
+def report_orders() -> dict[str, list[Column]]:
+    """The orders of a report by name. rows: source_order, page_no, global_sequence, file_name, confidence, status."""
+    source = [F.col("source_order"), F.col("page_no"), F.col("global_sequence")]
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in STATUS_RANK.items() for x in p]), F.coalesce("status", F.lit("unreviewed"))), F.lit(0))
+    name = number_aware(F.col("file_name"))
+    return {
+        "sequence": [F.col("global_sequence"), *source], "source": source, "fileAsc": [name, *source], "fileDesc": [name.desc(), *source],
+        "pageAsc": [F.col("page_no"), *source], "pageDesc": [F.col("page_no").desc(), *source], "confidence": [F.col("confidence"), *source], "status": [rank, *source],
+    }
+
+
+#: File types of a report, methods by which an occurrence was located.
+FILE_TYPES, IMAGE_TYPES = ("PDF", "DJVU", "DJV", "TIFF", "JPEG", "PNG"), ("TIFF", "JPEG", "PNG")
+TEXT_LAYERS, OCR_METHODS = ("pdf_text_layer", "djvu_text_layer"), ("pdf_ocr", "djvu_ocr", "image_ocr")
+
+
+def report_counters(docs: DataFrame, pages: DataFrame, found: DataFrame, failures: DataFrame, simplified: str, traditional: str) -> DataFrame:
+    """One row of the report's counters. docs: file_type, page_count; found: file_path, page_number, matched, status, method.
+
+    Files with only one of the two variants, or with both and no other, are counted by what their occurrences hold.
+    """
+    n = lambda c, a: F.count_if(c).alias(a)
+    kind, m, status, method = F.col("file_type"), F.col("matched"), F.col("status"), F.col("method")
+    of_docs = docs.agg(
+        *[n(kind == k, f"{k.lower()}_file_count") for k in FILE_TYPES], n(kind.isin(*IMAGE_TYPES), "image_file_count"), F.count("*").alias("success_file_count"), F.coalesce(F.sum("page_count"), F.lit(0)).cast("long").alias("document_total_pages")
+    )
+    of_found = found.agg(
+        F.count_distinct("file_path").alias("hit_file_count"), F.count_distinct("file_path", "page_number").alias("hit_page_count"), n(m == simplified, "simplified_total"), n(m == traditional, "traditional_total"), F.count("*").alias("combined_total"),
+        *[n((m == v) & (status == s), f"{k}_{s}") for k, v in (("simplified", simplified), ("traditional", traditional)) for s in ("confirmed", "needs_review")],
+        n(status == "rejected", "rejected_total"), n(method.isin(*TEXT_LAYERS), "text_layer_hits"), n(method.isin(*OCR_METHODS), "ocr_hits"), *[n(method == k, f"{k}_hits") for k in OCR_METHODS],
+    )
+    held = found.groupBy("file_path").agg(F.bool_or(m == simplified).alias("s"), F.bool_or(m == traditional).alias("t"), F.bool_or(~m.isin(simplified, traditional)).alias("o"))
+    of_files = held.agg(n(F.col("s") & ~F.col("t") & ~F.col("o"), "only_simplified_files"), n(~F.col("s") & F.col("t") & ~F.col("o"), "only_traditional_files"), n(F.col("s") & F.col("t") & ~F.col("o"), "both_variant_files"))
+    out = of_docs.withColumn("_k", F.lit(0))
+    for part in (of_found, of_files, failures.agg(F.count("*").alias("failure_file_count")), pages.agg(F.count("*").alias("embedded_page_count"))):
+        out = out.join(part.withColumn("_k", F.lit(0)), "_k")  # one row each
+    return out.drop("_k")
+
+
 def after(rows: DataFrame, key: str, last: int, limit: int) -> DataFrame:
     """The page after a key; the filter reaches the scan, so depth costs nothing."""
     return rows.where(F.col(key) > last).orderBy(key).limit(limit)

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import match_starts
-from ..functions.variants import LATIN, VariantTable, convert_column
+from ..functions.variants import LATIN, VariantTable, convert_column, form_column
 
 #: Layers and their priority (lower is stronger), verification of a hit by layer.
 LAYERS = {"raw_exact": 1, "context_resolved": 2, "variant_graph": 3, "ocr_top_k": 4}
@@ -31,41 +32,66 @@ def layer_hits(raw: Column, indexed: Column, query: str, layer: str, kind: str,
 
 
 def best_hits(hits: Column) -> Column:
-    """One hit per source span, the strongest layer and within it the first kind; hits without a source span are told apart by their index span."""
-    order = F.array_sort(hits)  # priority, then kind, as the struct's first fields
-    key = lambda h: F.struct(h["start"], h["end"], F.when(h["start"].isNull(), h["istart"]).alias("i"), F.when(h["start"].isNull(), h["iend"]).alias("j"))
+    """One hit per source span, the strongest layer and within it the first kind; hits without a source span are told
+    apart by their index span. Sorting brings the hits of a span together, so the work stays near linear."""
+    key = lambda h: F.struct(F.coalesce(h["start"], F.lit(-1)).alias("s"), F.coalesce(h["end"], F.lit(-1)).alias("e"), F.when(h["start"].isNull(), h["istart"]).otherwise(F.lit(-1)).alias("i"), F.when(h["start"].isNull(), h["iend"]).otherwise(F.lit(-1)).alias("j"))
+    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(key(h).alias("key"), h.alias("hit"))))  # span, then priority and kind
+    first = lambda some: F.filter(some, lambda x, n: (n == 0) | (x["key"] != F.get(some, n - 1)["key"]))
+    return F.transform(let(ordered, first), lambda x: x["hit"])
 
-    def step(acc: Column, h: Column) -> Column:
-        return F.when(F.exists(acc, lambda a: key(a).eqNullSafe(key(h))), acc).otherwise(F.concat(acc, F.array(h))).cast(_HIT)
 
-    return F.aggregate(order, F.array().cast(_HIT), step)
-
-
-def candidate_lines(lined: DataFrame, queries: dict[str, str], columns: dict[str, str]) -> DataFrame:
-    """Lines that can hold a hit in some layer: a superset that spares the rest the matching."""
+def candidate_filter(queries: dict[str, str], columns: dict[str, str]) -> Column:
+    """Whether a line can hold a hit in some layer: a superset that spares the rest the matching."""
     some = F.lit(False)
     for kind, column in columns.items():
         if queries.get(kind):
-            some = some | (F.instr(F.col(column), queries[kind]) > 0)
-    return lined.where(some)
+            some = some | F.contains(F.col(column), F.lit(queries[kind]))
+    return some
 
 
-def layered_search(lined: DataFrame, query: str, table: VariantTable = LATIN) -> DataFrame:
-    """One row per best hit. lined: raw_text, resolved_text and whatever shall go along."""
-    folded = table.convert(query, "simplified")
-    ready = lined.withColumn("folded_text", convert_column(F.col("resolved_text"), table))
-    ready = candidate_lines(ready, {"raw": query, "resolved": query, "simplified": folded}, {"raw": "raw_text", "resolved": "resolved_text", "simplified": "folded_text"})
-    raw = F.col("raw_text")
-    every = F.concat(
-        layer_hits(raw, raw, query, "raw_exact", "raw", 0), layer_hits(raw, F.col("resolved_text"), query, "context_resolved", "resolved", 1), layer_hits(raw, F.col("folded_text"), folded, "variant_graph", "simplified", 2)
-    )
-    hit = ready.withColumn("hit", F.explode(best_hits(every)))
-    return hit.select(*lined.columns, "hit.layer", "hit.kind", "hit.priority", "hit.start", "hit.end", F.col("hit.istart").alias("index_start"), F.col("hit.iend").alias("index_end"))
+def candidate_lines(lined: DataFrame, queries: dict[str, str], columns: dict[str, str]) -> DataFrame:
+    """Lines that can hold a hit in some layer; a column of recogniser candidates, if there is one, lets its line pass."""
+    some = candidate_filter(queries, columns)
+    return lined.where(some | (F.size(F.coalesce("top_k", F.array())) > 0) if "top_k" in lined.columns else some)
 
 
-def hit_counts(hits: DataFrame) -> DataFrame:
-    """Hits by layer, by language and in all, as grouping sets."""
-    return hits.groupingSets([[F.col("layer")], [F.col("lang")], []], "layer", "lang").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("gid"))
+#: The forms that are searched after the text as read and as resolved, in order.
+FORMS = ("simplified", "traditional", "taiwan", "hong_kong")
+
+
+def top_k_array(raw: Column, candidates: Column, simple_query: str, table: VariantTable) -> Column:
+    """Hits on a one-character line through recogniser candidates: any but the primary one whose simplified form is the query."""
+    fits = lambda c: ~F.coalesce(c["is_primary"], F.lit(False)) & (F.length(c["text"]) == 1) & (convert_column(c["text"], table) == simple_query)
+    hit = lambda c: F.struct(F.lit(LAYERS["ocr_top_k"]).alias("priority"), F.lit(len(FORMS) + 2).alias("kind_order"), F.lit("ocr_top_k").alias("layer"), F.lit("ocr_top_k").alias("kind"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit(0).alias("istart"), F.lit(1).alias("iend"))
+    return F.when(F.length(raw) == 1, F.transform(F.filter(F.coalesce(candidates, F.array()), fits), hit)).otherwise(F.array()).cast(_HIT)
+
+
+def layered_search(lined: DataFrame, query: str, table: VariantTable = LATIN) -> DataFrame:
+    """One row per best hit, with the kind of index it came from, its verification and its confidence. lined: raw_text,
+    resolved_text, optionally top_k (array of text, confidence, is_primary), and whatever shall go along.
+
+    Layers: the text as read, as resolved, its four script forms against the query's, and recogniser candidates.
+    """
+    forms = table.forms(query)
+    known = [c for c in lined.columns if c not in ("raw_text", "resolved_text")]
+    ready = lined.select(*known, "raw_text", "resolved_text", *[form_column(F.col("resolved_text"), k, table).alias(f"_{k}") for k in FORMS])
+    queries = {"raw": query, "resolved": query} | {k: forms[k] for k in FORMS}
+    columns = {"raw": "raw_text", "resolved": "resolved_text"} | {k: f"_{k}" for k in FORMS}
+    raw = F.col("raw_text")
+    maybe = candidate_filter(queries, columns)
+    parts = [layer_hits(raw, raw, query, "raw_exact", "raw", 0), layer_hits(raw, F.col("resolved_text"), query, "context_resolved", "resolved", 1)]
+    parts += [layer_hits(raw, F.col(f"_{k}"), forms[k], "variant_graph", k, 2 + n) for n, k in enumerate(FORMS)]
+    if "top_k" in lined.columns:
+        parts.append(top_k_array(raw, F.col("top_k"), forms["simplified"], table))
+        maybe = maybe | (F.length(raw) == 1)
+    hit = ready.where(maybe).withColumn("hit", F.explode(best_hits(F.concat(*parts))))
+    told = F.create_map(*[F.lit(x) for p in VERIFICATION.items() for x in p])
+    return hit.select(*lined.columns, "hit.layer", "hit.kind", "hit.priority", "hit.start", "hit.end", F.col("hit.istart").alias("index_start"), F.col("hit.iend").alias("index_end"), F.element_at(told, F.col("hit.layer")).alias("verification"))
+
+
+def hit_counts(hits: DataFrame, by: tuple[str, ...] = ("layer", "lang")) -> DataFrame:
+    """Hits by each column and in all, as grouping sets."""
+    return hits.groupingSets([*[[F.col(c)] for c in by], []], *by).agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("gid"))
 
 
 def top_k_hits(cells: DataFrame, wanted: list[int], k: int = 5) -> DataFrame:

@@ -262,7 +262,8 @@ def g_session_history(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SQL_LINES} SELECT source_id, page_no, line_index, doc_id, row_number() OVER (PARTITION BY task_id ORDER BY doc_id, page_no, line_index) AS reading FROM lines")
 def g_reading_order(spark: SparkSession, d: str) -> DataFrame:
-    return lines(table(spark, d, "documents")).select("source_id", "page_no", "line_index", "doc_id", F.row_number().over(Window.partitionBy("task_id").orderBy("doc_id", "page_no", "line_index")).alias("reading"))
+    lined = lines(table(spark, d, "documents")).withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "line_index")))
+    return R.numbered_in(lined, "task_id", "reading", "_place").select("source_id", "page_no", "line_index", "doc_id", "reading")
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_type = 'signup' ORDER BY event_id LIMIT 25")
