@@ -22,7 +22,6 @@ from ..sources.corpus import PAGE_HEIGHT, PAGE_WIDTH
 
 #: neighbours' least overlap, largest gap in medians, most lines looked at, most candidate blocks.
 OVERLAP, GAP_MEDIANS, MOST_LINES, MOST_BLOCKS = 0.28, 2.6, 256, 64
-VERSION = 2
 #: Bytes of contexts, about, that a Python worker holds before it hands them on.
 HELD_BYTES = 4 << 20
 #: Orientations, the confidence below which one is unsure, the most an unsure and a sure context can have.
@@ -51,7 +50,7 @@ def nearest_k(boxed: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     return both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def blocks(boxes: np.ndarray, vertical: bool, least: float = 1e-9) -> np.ndarray:
+def blocks(boxes: np.ndarray, vertical: bool, least: float = 1.0) -> np.ndarray:
     """Block number (smallest line number) of each line: lines that overlap across the reading direction and lie close along it.
 
     least: the median size counts as this at least.
@@ -188,7 +187,7 @@ def page_contexts(lined: list[dict], targets: list[dict], width: float, height:
         found = known.get((mode, kind)) if whole else None
         if found is None:
             groups: dict[int, list[int]] = {}
-            for i, label in zip(fitting, blocks(np.array([boxes[i] for i in fitting]), kind == "vertical", 1.0).tolist()):
+            for i, label in zip(fitting, blocks(np.array([boxes[i] for i in fitting]), kind == "vertical").tolist()):
                 groups.setdefault(label, []).append(i)
             found = list(groups.values())
             if whole:

@@ -201,6 +201,12 @@ def first_source(candidates: list[DataFrame], key: str) -> DataFrame:
     return every.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(key, "source", "prio")
 
 
+def best_text(rows: DataFrame, by: str) -> DataFrame:
+    """Per key the text that is most certain, the later one of equals; an empty text never is."""
+    some = F.coalesce("text", F.lit("")) != ""
+    return rows.groupBy(by).agg(F.max_by(F.col("text"), F.when(some, F.struct("conf", "idx"))).alias("best")).where("best <> ''")
+
+
 def neighbours(rows: DataFrame, scope: list[str], order: str, text: str) -> DataFrame:
     """Each row with the text before and after it, and the next pending row's order."""
     w = Window.partitionBy(*scope).orderBy(order)

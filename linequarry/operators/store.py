@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -65,7 +65,9 @@ class BatchRefused(ValueError):
 
 def apply_decisions(current: DataFrame, changes: DataFrame, known: DataFrame, ledger: DataFrame, key: str, operation_id: str, keep: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """All changes or none: (reviews after, ledger after). A repeated operation with the same content changes nothing."""
-    digest = changes.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", F.col(key).cast("string"), "decision"))), ";"), 256).alias("h")).first().h
+    one = F.xxhash64(F.col(key).cast("string"), "decision").cast("decimal(38,0)")  # summed, so no task holds the batch
+    sums = changes.agg(F.count("*").alias("n"), F.sum(one).alias("a"), F.sum(F.xxhash64(one).cast("decimal(38,0)")).alias("b")).first()
+    digest = hashlib.sha256(f"{sums.n}|{sums.a}|{sums.b}".encode()).hexdigest()
     before = ledger.where(F.col("operation_id") == operation_id).select("request_hash").first()
     if before is not None:
         if before.request_hash != digest:
@@ -118,32 +120,62 @@ class Committed:
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(f"{root}/manifest", exist_ok=True)
+        self.spark, self.root = spark, root.rstrip("/")
+        self.jvm = spark._jvm
+        self._path(f"{self.root}/manifest").getFileSystem(self._conf()).mkdirs(self._path(f"{self.root}/manifest"))
+
+    def _conf(self):
+        return self.spark._jsc.hadoopConfiguration()
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(name)
+
+    def _fs(self):
+        return self._path(self.root).getFileSystem(self._conf())
+
+    def _entries(self) -> dict[int, str]:
+        """Batches by their number; the number is the manifest file's name."""
+        found = {}
+        for f in self._fs().listStatus(self._path(f"{self.root}/manifest")):
+            name = f.getPath().getName()
+            if name.isdigit() and f.getLen():
+                stream = self._fs().open(f.getPath())
+                try:
+                    found[int(name)] = json.loads(bytes(stream.readAllBytes()).decode("utf-8"))["batch"]
+                finally:
+                    stream.close()
+        return dict(sorted(found.items()))
 
     def batches(self) -> list[str]:
-        found = []
-        for name in sorted(os.listdir(f"{self.root}/manifest")):
-            with open(f"{self.root}/manifest/{name}", encoding="utf-8") as f:
-                found.append(json.load(f))
-        return [b["batch"] for b in sorted(found, key=lambda b: b["sequence"])]
+        return list(self._entries().values())
 
     def commit(self, tables: dict[str, DataFrame], key: str | None = None) -> str:
-        """Write all tables and make them visible; a key that is committed already is left as it is."""
+        """Write all tables and make them visible; a key that is committed already is left as it is.
+
+        The entry is written aside and takes the next free number by a rename, which fails where another writer was
+        first; then the number after it is tried.
+        """
         batch = key or uuid.uuid4().hex
-        done = self.batches()
-        if batch in done:
+        if batch in self.batches():
             return batch
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
-        temp = f"{self.root}/.{batch}.tmp"
-        with open(temp, "w", encoding="utf-8") as f:
-            json.dump({"batch": batch, "sequence": len(done), "tables": sorted(tables)}, f)
-        os.replace(temp, f"{self.root}/manifest/{batch}.json")
-        return batch
+        fs, aside = self._fs(), self._path(f"{self.root}/.{uuid.uuid4().hex}.tmp")
+        stream = fs.create(aside)
+        stream.write(bytearray(json.dumps({"batch": batch, "tables": sorted(tables)}).encode("utf-8")))
+        stream.close()
+        while True:
+            known = self._entries()
+            if batch in known.values():  # another writer committed the same key meanwhile
+                fs.delete(aside, False)
+                return batch
+            number = max(known, default=-1) + 1
+            target = self._path(f"{self.root}/manifest/{number:012d}")
+            if not fs.exists(target) and fs.rename(aside, target):
+                return batch
 
     def read(self, name: str, batches: list[str] | None = None) -> DataFrame | None:
         """A table as of the manifest, or as of a list of batches taken earlier (a snapshot)."""
         chosen = self.batches() if batches is None else batches
-        paths = [p for b in chosen if os.path.isdir(p := f"{self.root}/{name}/batch={b}")]
+        paths = [p for b in chosen if self._fs().exists(self._path(p := f"{self.root}/{name}/batch={b}"))]
         return self.spark.read.parquet(*paths) if paths else None

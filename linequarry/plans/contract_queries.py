@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import export as O
+from ..operators import jobs as J
 from ..operators import sources as S
 from ..operators import store as T
 from ..sources.corpus import SQL_EVENTS, SQL_LINES, lines, table, task_events, with_boxes
@@ -49,12 +50,12 @@ def i_highlight(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT event_id AS export_id, status FROM (SELECT *, {_SQL_JOB} AS status FROM events) WHERE status IN ('queued', 'preparing', 'writing')")
 def d_active_jobs(spark: SparkSession, d: str) -> DataFrame:
-    return _jobs(spark, d).where(F.col("status").isin("queued", "preparing", "rendering_images", "building", "writing", "cancelling")).select("export_id", "status")
+    return _jobs(spark, d).where(J.is_active(F.col("status"))).select("export_id", "status")
 
 
 @query(f"SELECT event_id AS export_id FROM (SELECT *, {_SQL_JOB} AS status FROM events) WHERE (status = 'failed' AND event_id % 5 = 0) OR (status = 'completed' AND event_id % 5 = 0) OR user_id % 17 = 0")
 def d_cleanup_needed(spark: SparkSession, d: str) -> DataFrame:
-    return _jobs(spark, d).where((F.col("status").isin("failed", "completed") & F.col("has_temp")) | (F.col("task_id") % 17 == 0)).select("export_id")
+    return _jobs(spark, d).where(J.needs_cleanup(F.col("status"), F.col("has_temp"), F.col("task_id") % 17 == 0)).select("export_id")
 
 
 @query("""WITH t AS (SELECT user_id AS task_id, arg_max(CASE event_type WHEN 'view' THEN 'running' WHEN 'click' THEN 'pausing' WHEN 'signup' THEN 'starting' ELSE 'completed' END, (ts, event_id)) AS status FROM events GROUP BY 1)
@@ -62,22 +63,30 @@ SELECT task_id, CASE WHEN status IN ('starting', 'running', 'pausing', 'stopping
 def d_reconcile_incomplete(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "running").when(F.col("event_type") == "click", "pausing").when(F.col("event_type") == "signup", "starting").otherwise("completed")
     tasks = table(spark, d, "events").groupBy(F.col("user_id").alias("task_id")).agg(F.max_by(kind, F.struct("ts", "event_id")).alias("status"))
-    broken = F.col("status").isin("starting", "running", "pausing", "stopping")
-    return tasks.select("task_id", F.when(broken, "recoverable").otherwise(F.col("status")).alias("status"), broken.alias("changed"))
+    return J.after_restart(tasks).select("task_id", "status", "changed")
 
 
-@query(f"""WITH {SQL_EVENTS}, m AS (SELECT task_id, sequence, kind, lag(kind) OVER (PARTITION BY task_id ORDER BY sequence) AS before FROM task_events) SELECT task_id, sequence, before, kind,
-(before = 'created' AND kind IN ('progress', 'failed')) OR (before = 'progress' AND kind IN ('progress', 'completed', 'failed')) AS legal FROM m WHERE before IS NOT NULL""")
+#: An event as the state of a task.
+_STATE = {"signup": "queued", "view": "running", "click": "pausing", "purchase": "completed", "error": "failed"}
+_SQL_STATE = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'pausing' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END"
+
+
+def _state() -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for p in _STATE.items() for x in p]), F.col("event_type"))
+
+
+@query(f"""WITH {SQL_EVENTS}, k AS (SELECT task_id, sequence, {_SQL_STATE} AS kind FROM task_events), m AS (SELECT *, lag(kind) OVER (PARTITION BY task_id ORDER BY sequence) AS before FROM k) SELECT task_id, sequence, before, kind,
+(before = 'running' AND kind IN ('pausing', 'completed', 'failed')) OR (before = 'pausing' AND kind = 'failed') OR (before = 'failed' AND kind = 'queued') AS legal FROM m WHERE before IS NOT NULL""")
 def d_legal_transitions(spark: SparkSession, d: str) -> DataFrame:
-    moves = task_events(table(spark, d, "events")).withColumn("before", F.lag("kind").over(Window.partitionBy("task_id").orderBy("sequence"))).where("before is not null")
-    legal = spark.createDataFrame([("created", "progress"), ("created", "failed"), ("progress", "progress"), ("progress", "completed"), ("progress", "failed")], "before string, kind string").withColumn("legal", F.lit(True))
-    return moves.join(legal, ["before", "kind"], "left").select("task_id", "sequence", "before", "kind", F.coalesce("legal", F.lit(False)).alias("legal"))
+    moves = task_events(table(spark, d, "events")).withColumn("kind", _state())
+    moves = moves.withColumn("before", F.lag("kind").over(Window.partitionBy("task_id").orderBy("sequence"))).where("before is not null")
+    return J.legal_moves(moves).select("task_id", "sequence", "before", "kind", "legal")
 
 
-@query(f"""WITH j AS (SELECT user_id AS task_id, {_SQL_JOB} AS status FROM events) SELECT task_id, count(*) AS n, count(*) FILTER (status = 'queued') AS startable, count(*) FILTER (status IN ('preparing', 'writing')) AS pausable, count(*) FILTER (status IN ('completed', 'failed')) AS deletable FROM j GROUP BY 1""")
+@query(f"""WITH j AS (SELECT user_id AS task_id, {_SQL_STATE} AS status FROM events) SELECT task_id, count(*) AS n, count(*) FILTER (status = 'queued') AS startable, count(*) FILTER (status = 'running') AS pausable, 0 AS resumable, count(*) FILTER (status IN ('queued', 'running', 'pausing')) AS cancellable, count(*) FILTER (status IN ('completed', 'failed')) AS deletable FROM j GROUP BY 1""")
 def d_batch_preview(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("status")
-    return _jobs(spark, d).groupBy("task_id").agg(F.count("*").alias("n"), F.count_if(s == "queued").alias("startable"), F.count_if(s.isin("preparing", "writing")).alias("pausable"), F.count_if(s.isin("completed", "failed")).alias("deletable"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("task_id"), _state().alias("status"))
+    return rows.groupBy("task_id").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in J.controls(F.col("status")).items()])
 
 
 @query(f"{SQL_FOUND} SELECT task_id, global_sequence FROM found WHERE page_no BETWEEN 2 AND 4 AND decision IS NULL AND contains(lower(concat_ws(' ', task_id, source_id, before, matched, after)), 'src1')")
@@ -120,8 +129,9 @@ def k_failure_payloads(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH j AS (SELECT event_id AS export_id, {_SQL_JOB} AS status FROM events) SELECT export_id, CASE WHEN status = 'queued' AND export_id % 2 = 0 THEN 'preparing' ELSE status END AS status, status = 'queued' AND export_id % 2 = 0 AS moved FROM j""")
 def l_job_transition(spark: SparkSession, d: str) -> DataFrame:
     """Compare and set: jobs asked to move from queued to preparing do so only if they are queued."""
-    asked = (F.col("status") == "queued") & (F.col("export_id") % 2 == 0)
-    return _jobs(spark, d).select("export_id", F.when(asked, "preparing").otherwise(F.col("status")).alias("status"), asked.alias("moved"))
+    every = _jobs(spark, d)
+    asked = every.where("export_id % 2 = 0").select("export_id", F.lit("queued").alias("expected"), F.lit("preparing").alias("target"))
+    return J.moved(every, asked).select("export_id", "status", "moved")
 
 
 @query("""WITH p AS (SELECT source AS task_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS start, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 + doc_id % 4 AS stop FROM documents)

@@ -48,7 +48,7 @@ def g_spatial_order(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT doc_id, page_no, line_no, CASE WHEN v THEN y0 ELSE x0 END AS c0, CASE WHEN v THEN y1 ELSE x1 END AS c1, CASE WHEN v THEN x0 ELSE y0 END AS a0, CASE WHEN v THEN x1 ELSE y1 END AS a1,
  median(CASE WHEN v THEN x1 - x0 ELSE y1 - y0 END) OVER (PARTITION BY doc_id, page_no) AS m FROM o),
 e AS (SELECT p.doc_id, p.page_no, p.line_no AS a, q.line_no AS b FROM s p JOIN s q ON p.doc_id = q.doc_id AND p.page_no = q.page_no WHERE greatest(least(p.c1, q.c1) - greatest(p.c0, q.c0), 0) >= 0.28::DOUBLE * greatest(least(p.c1 - p.c0, q.c1 - q.c0), 1e-9::DOUBLE)
- AND greatest(greatest(p.a0, q.a0) - least(p.a1, q.a1), 0) <= 2.6::DOUBLE * p.m),
+ AND greatest(greatest(p.a0, q.a0) - least(p.a1, q.a1), 0) <= 2.6::DOUBLE * greatest(p.m, 1)),
 r AS (SELECT doc_id, page_no, line_no AS a, line_no AS b FROM s UNION SELECT r.doc_id, r.page_no, r.a, e.b FROM r JOIN e ON e.doc_id = r.doc_id AND e.page_no = r.page_no AND e.a = r.b)
 SELECT doc_id, page_no, a AS line_no, min(b) AS block FROM r GROUP BY 1, 2, 3""")
 def j_blocks_components(spark: SparkSession, d: str) -> DataFrame:

@@ -169,7 +169,8 @@ def f_resolve_source_argmax(spark: SparkSession, d: str) -> DataFrame:
 SELECT vec_id, rank, class FROM r WHERE rank <= 5""")
 def f_topk_matrix(spark: SparkSession, d: str) -> DataFrame:
     cells = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("class", "score"))
-    return T.newest(cells, ["vec_id"], [F.desc("score"), F.col("class")], 5).withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "class"))).select("vec_id", "rank", "class")
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "class"))
+    return cells.withColumn("rank", rank).where("rank <= 5").select("vec_id", "rank", "class")
 
 
 @query(f"""WITH {SQL_LINES} SELECT doc_id, count(*) AS boxes, count(*) FILTER (y1 - y0 >= 1.5::DOUBLE * (x1 - x0)) AS tall, count(*) FILTER (y1 - y0 >= 1.5::DOUBLE * (x1 - x0)) >= 2 AND count(*) FILTER (y1 - y0 >= 1.5::DOUBLE * (x1 - x0)) >= 0.15::DOUBLE * count(*) AS retry FROM boxed GROUP BY 1""")
@@ -206,8 +207,9 @@ def f_client_tallies(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT vec_id % 100 AS grp, vec_id AS idx, label % 4 AS conf, CASE WHEN vec_id % 3 = 0 THEN '' ELSE 't' || vec_id END AS text FROM embeddings) SELECT grp, arg_max(text, conf * 1000000 + idx) AS best FROM e WHERE text <> '' GROUP BY 1""")
 def f_best_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").where("vec_id % 3 <> 0").select((F.col("vec_id") % 100).alias("grp"), F.col("vec_id").alias("idx"), (F.col("label") % 4).alias("conf"), F.concat(F.lit("t"), "vec_id").alias("text"))
-    return rows.groupBy("grp").agg(F.max_by("text", F.struct("conf", "idx")).alias("best"))
+    v = F.col("vec_id")
+    rows = table(spark, d, "embeddings").select((v % 100).alias("grp"), v.alias("idx"), (F.col("label") % 4).alias("conf"), F.when(v % 3 == 0, "").otherwise(F.concat(F.lit("t"), v)).alias("text"))
+    return R.best_text(rows, "grp")
 
 
 @query("SELECT user_id, event_type, event_id, CASE WHEN k = 1 THEN 'active' ELSE 'interrupted' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM events)")

@@ -73,10 +73,9 @@ def i_classify_script(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("in_scope", V.in_scope(F.col("script"), "simplified"))
 
 
-@query(f"""WITH v AS (SELECT unnest(string_split('{V.ACCENTED}', '')) AS variant, unnest(string_split('{V.FOLDED}', '')) AS simple) SELECT simple, string_agg(variant, '' ORDER BY variant) AS variants, count(*) AS n FROM v GROUP BY 1""")
+@query(f"""WITH v AS (SELECT unnest(string_split('{V.ACCENTED}', '')) AS variant, unnest(string_split('{V.FOLDED}', '')) AS simple UNION ALL SELECT 'ß', 'ss') SELECT simple, string_agg(variant, '' ORDER BY variant) AS variants, count(*) AS n FROM v GROUP BY 1""")
 def i_variant_graph(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(zip(V.ACCENTED, V.FOLDED)), "variant string, simple string")
-    return rows.groupBy("simple").agg(F.array_join(F.array_sort(F.collect_set("variant")), "").alias("variants"), F.count("*").alias("n"))
+    return spark.createDataFrame([(simple, "".join(some), len(some)) for simple, some in V.LATIN.graph().items()], "simple string, variants string, n long")
 
 
 @query("""WITH e AS (SELECT vec_id AS id, unnest(embedding) AS score, generate_subscripts(embedding, 1) - 1 AS class FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, class) AS rank FROM e)

@@ -166,3 +166,60 @@ def test_folder_sources(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: r.ok for r in found.select("path", sources.signature_matches(F.col("path"), F.col("content")).alias("ok")).collect()}
     assert got == {"x.PDF": True, "y.djvu": False}
     assert [w[0] for w in sources.walk(str(tmp_path))][-1].startswith("a") or len(sources.walk(str(tmp_path))) == 3
+
+
+def test_commit_numbers_are_not_given_twice(spark, tmp_path):
+    from linequarry.operators import store as T
+
+    df = spark.range(3)
+    a, b = T.Committed(spark, str(tmp_path)), T.Committed(spark, f"file://{tmp_path}")
+    names = [a.commit({"t": df}), b.commit({"t": df}), a.commit({"t": df}, "k"), b.commit({"t": df}, "k")]
+    assert names[2:] == ["k", "k"] and a.batches() == b.batches() == [*names[:2], "k"]
+    assert a.read("t").count() == 9 and a.read("t", names[:1]).count() == 3 and a.read("other") is None
+
+
+def test_greedy_merge_against_a_plain_loop(spark):
+    import random
+
+    from linequarry.operators.layout import greedy_merge
+
+    r = random.Random(3)
+    rows = [(f"g{k % 7}", k, r.choice(["pdf_ocr", "pdf_text_layer"]), x := float(r.randint(0, 30)), y := float(r.randint(0, 12)), x + 6, y + 10) for k in range(160)]
+    want = []
+    for g in sorted({x[0] for x in rows}):
+        kept = []
+        for row in (x for x in rows if x[0] == g):
+            for rep in kept:
+                (x0, y0, x1, y1), (a0, b0, a1, b1) = rep["box"], row[3:]
+                apart = abs((x0 + x1 - a0 - a1) / 2) + abs((y0 + y1 - b0 - b1) / 2)
+                if apart <= 8 and (min(y1, b1) - max(y0, b0)) / min(y1 - y0, b1 - b0) >= 0.8:
+                    rep["from"].add(row[2])
+                    rep["n"] += 1
+                    if row[2] == "pdf_text_layer" and rep["kind"] != "pdf_text_layer":
+                        rep.update(kind=row[2], box=row[3:], ordinal=row[1])
+                    break
+            else:
+                kept.append({"box": row[3:], "from": {row[2]}, "kind": row[2], "n": 1, "ordinal": row[1]})
+        want += [(g, k["ordinal"], ",".join(sorted(k["from"])), k["n"]) for k in kept]
+    df = spark.createDataFrame(rows, "file string, ordinal long, source string, x0 double, y0 double, x1 double, y1 double")
+    got = [tuple(x) for x in greedy_merge(df.repartition(3), ["file"]).select("file", "ordinal", "sources", "n").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_number_aware_order(spark):
+    from linequarry.operators.review import number_aware
+
+    names = ["b2", "a10.pdf", "A9.pdf", "a009b", "a1", "b12", "b02x"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r.n for r in df.orderBy(number_aware(F.col("n")), "n").collect()] == ["a1", "A9.pdf", "a009b", "a10.pdf", "b2", "b02x", "b12"]
+
+
+def test_spatial_context_directions(spark):
+    from linequarry.operators.projection import spatial_context
+
+    boxed = spark.createDataFrame([(1, 1, 0, "ab cd", 0.0, 0.0, 50.0, 10.0), (1, 1, 1, "efg", 0.0, 20.0, 50.0, 30.0), (1, 1, 2, "h i", 0.0, 40.0, 50.0, 50.0)], "doc_id long, page_no int, line_no int, raw_text string, x0 double, y0 double, x1 double, y1 double")
+    hits = spark.createDataFrame([(1, 1, 1, 1, 2)], "doc_id long, page_no int, line_no int, start int, end int")
+    one = lambda **how: tuple(spatial_context(hits, boxed, **how).select("before", "after").first())
+    assert one() == ("ab cd\ne", "g\nh i")
+    assert one(radius=2) == ("d\ne", "g\nh")
+    assert one(direction="rtl") == ("dc ba\ng", "e\ni h")
