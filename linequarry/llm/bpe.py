@@ -251,4 +251,4 @@ def _mapped(docs: DataFrame, path: str | None, _pick, schema: str, digest: bool)
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    return arrow_map(documents(docs), one, schema)
+    return arrow_map(documents(docs), one, schema, keep=True)

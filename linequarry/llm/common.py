@@ -64,6 +64,10 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: What a Python worker remembers from one task to the next, and how to forget it.
+MEMORIES: list[Callable[[], None]] = []
+
+
 def release() -> None:
     """Hand memory that is no longer used back to the system; a worker waits for its next task with little."""
     pa.default_memory_pool().release_unused()
@@ -80,8 +84,14 @@ def _row_bytes(b: pa.RecordBatch) -> np.ndarray:
     return size
 
 
-def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that no piece holds more than limit bytes of strings or that many rows, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, rows: int = SLICE_ROWS, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that no piece holds more than limit bytes of strings or that many rows, one row at least.
+
+    keep: whether this step is one of those that use what the worker remembers; the others start without it.
+    """
+    if not keep:
+        for forget in MEMORIES:
+            forget()
     for b in batches:
         if b.num_rows:
             upto = np.cumsum(_row_bytes(b))
@@ -94,12 +104,12 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, rows: in
     release()
 
 
-def arrow_map(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> DataFrame:
+def arrow_map(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS, keep: bool = False) -> DataFrame:
     """mapInArrow over slices of bounded size; one() may return None for nothing."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit, rows):
+        for b in slices(batches, limit, rows, keep):
             out = one(b)
             if out is not None and out.num_rows:
                 yield out

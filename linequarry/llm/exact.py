@@ -35,7 +35,7 @@ DEEPEST, SPARE = 40, 5
 #: Key prefixes over which the driver adds up bytes to deal out owners.
 TOP = 12
 #: Bytes of text a task folds together before it hands its entries on.
-FOLD_BYTES = 48 << 20
+FOLD_BYTES = 24 << 20
 _RUN = re.compile("[\x20\x09-\x0d]+")
 _ENTRY = "doc_id long, entry long, key long, sha string, text string, n long, size long"
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]

@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return arrow_map(documents(docs), one, _PIECE)
+    return arrow_map(documents(docs), one, _PIECE, keep=True)
 
 
 def best_fit(sizes: list[int], room: int) -> list[list[int]]:
@@ -188,7 +188,7 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
         cols = [piece, table[:, 2], table[:, 3], table[:, 4], np.repeat(np.asarray(b.column("number")), sizes), offset]
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, 0]), mask=unnamed), *(pa.array(np.ascontiguousarray(c)) for c in cols)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return arrow_map(every.select("members", "number"), unfold, _PIECE + ", sequence_id long, offset long")
+    return arrow_map(every.select("members", "number"), unfold, _PIECE + ", sequence_id long, offset long", keep=True)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:

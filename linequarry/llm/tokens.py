@@ -15,6 +15,8 @@ from pathlib import Path
 
 import numpy as np
 
+from .common import MEMORIES
+
 #: Chunks remembered by one Python worker, about 60 bytes each; beyond, the earlier half stays, which holds the commonest.
 CACHE = 900_000
 #: Bytes of a chunk that can be remembered, and how many 64-bit words that is.
@@ -263,6 +265,7 @@ class ChunkEncoder:
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
+MEMORIES.append(_ENCODERS.clear)
 
 
 def encoder(path: str, keep_space: bool, kind: type = ChunkEncoder) -> ChunkEncoder:

@@ -161,7 +161,7 @@ def write_shards(docs: DataFrame, path: str | None = None) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _KINDS)], _NAMES)
 
         end = b"\0\0\0\0"
-        for b in slices(batches):
+        for b in slices(batches, keep=True):
             for doc, raw in zip(b.column("doc_id").to_pylist(), own.encode(b.column("text").to_pylist())):
                 ids = np.frombuffer(raw + end, "<u4")
                 if total and total + len(ids) > SEGMENT:
@@ -198,4 +198,4 @@ def read_shards(files: DataFrame) -> DataFrame:
             out[3] += [zlib.crc32(raw[4 * (e - c) : 4 * e]) for c, e in zip(counts.tolist(), ends.tolist())]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return arrow_map(files, one, "doc_id long, start long, n_tokens long, ids_crc32 long", rows=1)
+    return arrow_map(files, one, "doc_id long, start long, n_tokens long, ids_crc32 long", rows=1, keep=True)
