@@ -151,3 +151,29 @@ def test_pipeline_stages(spark):
 def test_one_query_per_operator():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
     _ = F
+
+
+def test_quality_against_a_plain_run(spark):
+    """Votes, estimate, sample, scorer and scores once more, all documents at once in one process."""
+    import numpy as np
+
+    from linequarry.llm import quality as Q
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << 60)).alias("spot")).collect()
+    marks = Q.Marks([r.text for r in rows], True)
+    votes = marks.votes().astype(np.int64)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    share, rate = Q.estimate(patterns, counts.astype(float))
+    weak = Q.posterior(votes, share, rate)
+    below = int(1.1 * 60 / len(rows) * (1 << 60)) + 1
+    pick = [k for k in np.argsort([r.spot for r in rows]) if rows[k].spot < below][:60]
+    assert len(pick) >= 30
+    w = Q.train(marks.x[pick].astype(np.float16).astype(np.float32), weak[pick])
+    told = np.minimum(marks.words / Q.ENOUGH_WORDS, 1.0)
+    p = 1 / (1 + np.exp(-(told * (marks.x @ w[:-1] + w[-1]) + (1 - told) * np.log(share / (1 - share)))))
+    got = {r.doc_id: r for r in judge_quality(docs.repartition(7), 60).collect()}
+    for r, want, posterior in zip(rows, np.where(marks.words > 0, p, 0.0), weak):
+        assert abs(got[r.doc_id].score - want) < 1e-3 and abs(got[r.doc_id].weak_label - posterior) < 1e-9
+    again = {r.doc_id: r.score for r in judge_quality(docs.coalesce(1), 60).collect()}
+    assert all(abs(again[k] - v.score) < 1e-6 for k, v in got.items())
