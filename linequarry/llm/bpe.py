@@ -74,8 +74,12 @@ class BacktrackingBPE:
             self.shorter[i] = next((self.reached[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self.reached), -1)
         # the automaton reads backwards: the longest token ending at a place of reversed bytes is the longest that starts there
         self.automaton = ahocorasick.Automaton()
+        self.single = np.full(256, -1, np.int64)  # tokens of one byte match everywhere and need no automaton
         for text, i in self.reached.items():
-            self.automaton.add_word(text[::-1].decode("latin-1"), i)
+            if len(text) > 1:
+                self.automaton.add_word(text[::-1].decode("latin-1"), i)
+            else:
+                self.single[text[0]] = i
         self.automaton.make_automaton()
         #: offset table for decoding
         self.starts = np.zeros(size + 1, np.int64)
@@ -113,11 +117,9 @@ class BacktrackingBPE:
     def longest(self, pieces: list[bytes]) -> np.ndarray:
         """The longest token at each byte of the pieces, which stand one after the other with one place between them."""
         joint = "\u0100".join([p.decode("latin-1") for p in pieces])  # no token holds this letter
-        best = np.full(len(joint), -1, np.int64)
-        found = list(self.automaton.iter(joint[::-1]))  # at each place the longest comes first
-        if found:
-            end, token = np.array(found, np.int64).T
-            best[len(joint) - 1 - end[::-1]] = token[::-1]
+        best = self.single[np.frombuffer(b"\0".join(pieces), np.uint8)]
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(joint[::-1])), np.int64).reshape(-1, 2)[::-1]
+        best[len(joint) - 1 - found[:, 0]] = found[:, 1]  # at each place the longest came first and is written last
         return best
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:

@@ -1,11 +1,11 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers vote on every document: each knows one sign of good or of bad text and otherwise
-does not vote. How often each combination of votes
-occurs in the whole corpus is all that expectation-maximisation needs to estimate, without any true label, how
-reliable each labeller is and how likely each combination means a good document. These posteriors label a bounded
-sample (at most TRAIN_ROWS distinct rows, picked by a hash of doc_id and text however the table is laid out), on which a linear scorer over hashed character-class trigrams and repetition marks is trained; the scorer judges
-every document, each by its own row.
+does not vote. How often each combination of votes occurs in the whole corpus is all that expectation-maximisation
+needs to estimate, without any true label, how reliable each labeller is and how likely each combination means a good
+document. These posteriors label a bounded sample (at most TRAIN_ROWS distinct rows, picked by a hash of doc_id and
+text however the table is laid out), on which a linear scorer over hashed character-class trigrams and repetition
+marks is trained; the scorer judges every document, each by its own row.
 
 Null counts as empty; a text without words scores 0 and is rejected. Repeated rows count in the votes, once in the
 sample, and are judged alike; a null doc_id is one like any other. An empty table gives an empty result. Other

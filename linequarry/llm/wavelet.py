@@ -1,6 +1,6 @@
 """Token-id shards as wavelet matrices: succinct bit planes with rank and select, written and read as files.
 
-Documents are put in ascending doc_id order (rows without one first, repeated ids by a hash of their text), encoded,
+Documents are put in ascending doc_id order (rows without one first, repeated ids as the table has them), encoded,
 each followed by the end id 0, and written as shards, one file per range of that order; rows that repeat one id are
 spread over as many ranges as they need. A file holds one or more segments of bounded length; a segment
 is a wavelet matrix: one bit plane per bit of the ids, most significant first, each plane in the stable order left
@@ -172,8 +172,8 @@ def write_shards(docs: DataFrame, path: str | None = None) -> DataFrame:
         if total:
             yield flush()
 
-    key = ["doc_id", "hash", "row"]
-    keyed = docs.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    key = ["doc_id", "row"]
+    keyed = docs.withColumn("row", F.monotonically_increasing_id())
     return saved(keyed.repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text").mapInArrow(run, _SEGMENT), "wavelet")
 
 
