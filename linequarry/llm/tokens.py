@@ -18,7 +18,7 @@ import numpy as np
 from .common import MEMORIES
 
 #: Chunks remembered by one Python worker, about 60 bytes each; beyond, the earlier half stays, which holds the commonest.
-CACHE = 900_000
+CACHE = 1_600_000
 #: Bytes of a chunk that can be remembered, and how many 64-bit words that is.
 WIDE, COLS = 32, 4
 _ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
@@ -98,7 +98,7 @@ class ChunkEncoder:
         """Start with nothing remembered."""
         self.slots = np.full(1 << 12, -1, np.int32)
         self.keys = np.zeros((1 << 10, COLS), np.uint64)
-        self.at, self.size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.at, self.size = np.zeros(1 << 10, np.uint32), np.zeros(1 << 10, np.uint32)
         self.pool = np.zeros(1 << 12, np.uint32)
         self.n = self.used = 0
 
@@ -244,10 +244,10 @@ class ChunkEncoder:
             long: dict[bytes, int] = {}
             number[far] = [self.n + long.setdefault(joint[a:b], len(long)) for a, b in zip(start[far].tolist(), end[far].tolist())]
             self._append(self.fresh([c.decode("utf-8") for c in long]))
-        sizes = self.size[number]
+        sizes = self.size[number].astype(np.int64)
         upto = np.cumsum(sizes)
         total = int(upto[-1]) if len(upto) else 0
-        ids = self.pool[np.arange(total) + np.repeat(self.at[number] - (upto - sizes), sizes)]
+        ids = self.pool[np.arange(total) + np.repeat(self.at[number].astype(np.int64) - (upto - sizes), sizes)]
         self.n, self.used = known, used
         raw = ids.astype("<u4", copy=False).tobytes()
         cut = 4 * np.concatenate([[0], upto])[np.searchsorted(start, np.append(firsts, len(data) + 1))]

@@ -26,7 +26,7 @@ from .tokens import encoder, vocabulary
 
 FILE = "byte_bpe_50k.json"
 #: Ids in a segment (a longer document makes a longer one).
-SEGMENT = 2_000_000
+SEGMENT = 500_000
 #: Bits between two entries of the rank table.
 BLOCK = 512
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
