@@ -17,8 +17,9 @@ import numpy as np
 
 from .common import MEMORIES
 
-#: Chunks remembered by one Python worker, about 60 bytes each; beyond, the earlier half stays, which holds the commonest.
-CACHE = 1_600_000
+#: Chunks remembered by one Python worker, about 60 bytes each, for byte-level and for word-level files (whose workers
+#: often serve other stages too); beyond, the earlier half stays, which holds the commonest.
+CACHE, CACHE_WORDS = 1_600_000, 800_000
 #: Bytes of a chunk that can be remembered, and how many 64-bit words that is.
 WIDE, COLS = 32, 4
 _ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
@@ -96,6 +97,7 @@ class ChunkEncoder:
 
     def forget(self) -> None:
         """Start with nothing remembered."""
+        self.most = CACHE if self.keep_space else CACHE_WORDS
         self.slots = np.full(1 << 12, -1, np.int32)
         self.keys = np.zeros((1 << 10, COLS), np.uint64)
         self.at, self.size = np.zeros(1 << 10, np.uint32), np.zeros(1 << 10, np.uint32)
@@ -202,7 +204,7 @@ class ChunkEncoder:
         self._enter(first, self.n)
 
     def _shrink(self) -> None:
-        self.n = CACHE // 2
+        self.n = self.most // 2
         self.used = int(self.at[self.n])
         self.keys, self.at, self.size, self.pool = self.keys[: self.n].copy(), self.at[: self.n].copy(), self.size[: self.n].copy(), self.pool[: self.used].copy()
         self.slots = np.full(1 << (4 * self.n).bit_length(), -1, np.int32)
@@ -228,7 +230,7 @@ class ChunkEncoder:
         short = width <= WIDE
         number = self._find(keys)
         number[~short] = -1
-        if self.n > CACHE:
+        if self.n > self.most:
             self._shrink()
             number = np.where(number < self.n, number, -1)
         miss = np.flatnonzero((number < 0) & short)

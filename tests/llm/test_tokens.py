@@ -126,3 +126,18 @@ def test_shards(spark, lib):
     row = files.first().asDict()
     assert opened(row).access(0) == opened(row).ids()[0]
     assert read_shards(write_shards(no_docs(spark))).count() == 0
+
+
+def test_chunks_that_are_forgotten_are_found_anew():
+    import random
+
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abcdefg") for _ in range(r.randint(1, 40))) for _ in range(r.randint(0, 30))) for _ in range(300)]
+    texts += ["", "x" * 70000, "a.\nb", " ", "  ", "z " * 50]
+    for path, space in ((BYTE, True), (WORD, False)):
+        some = ChunkEncoder(path, space)
+        some.most = 200
+        for _ in range(2):
+            got = [x for at in range(0, len(texts), 37) for x in some.encode(texts[at : at + 37])]
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == [_LIB[path].encode(t, add_special_tokens=False).ids for t in texts]
+        assert some.n < 5000
