@@ -20,6 +20,8 @@ from .common import saved, ship
 _LINK = "a long, b long"
 #: Links a task folds at once.
 FOLD = 1_000_000
+#: Nodes with more than one in so many link ends are joined by broadcast; there are fewer of them than this.
+HOT = 1_000
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,13 +62,22 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, n: int, large: bool) -> DataFrame:
+    """One star step over n links.
+
+    A node that holds more than one in HOT of the link ends would fill one task of the join. There are fewer than HOT
+    such nodes, so their minima are broadcast and their links stay where they are; the others are joined by shuffle.
+    """
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("ends"))
+    most = (2 * n if large else n) / HOT
+    hot = F.broadcast(least.where(F.col("ends") > most).select("a", "m"))
+    side = both.where("b > a") if large else links
+    tied = side.join(hot, "a").unionAll(side.join(hot, "a", "left_anti").join(least.where(F.col("ends") <= most).select("a", "m"), "a"))
     if large:  # larger neighbours go to the smallest of the node and its neighbours
-        tied = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+        tied = tied.select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
     else:  # a is the larger end: its smaller neighbours and itself go to the smallest of them
-        tied = links.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b"))
+        tied = tied.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b"))
     return tied.where("a > b").distinct()
 
 
@@ -82,5 +93,5 @@ def components(links: DataFrame) -> DataFrame:
         if (count, total) == said or not count:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
         said = (count, total)
-        now = saved(_star(now, True), "links")
-        now = saved(_star(now, False), "links")
+        now = saved(_star(now, count, True), "links")
+        now = saved(_star(now, now.count(), False), "links")
