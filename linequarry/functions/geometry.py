@@ -51,6 +51,15 @@ def part_of_box(n: Column, start: Column, end: Column, x0: Column, y0: Column, x
     return {"mx0": F.when(tall, x0).otherwise(along(x0, x1, start)), "my0": F.when(tall, along(y0, y1, start)).otherwise(y0), "mx1": F.when(tall, x1).otherwise(along(x0, x1, end)), "my1": F.when(tall, along(y0, y1, end)).otherwise(y1)}
 
 
+def match_box(word_boxes: Column, line_box: Column, start: Column, end: Column) -> Column:
+    """Smallest box around the word boxes of a span, the line's box where the span or the boxes don't fit; boxes are structs of x0, y0, x1, y1."""
+    fits = (start >= 0) & (start < end) & (end <= F.size(word_boxes))
+    some = F.filter(F.slice(word_boxes, F.when(fits, start + 1).otherwise(F.lit(1)), F.when(fits, end - start).otherwise(F.lit(0))), lambda b: b.isNotNull())
+    side = lambda pick, k: pick(F.transform(some, lambda b: b[k]))
+    whole = F.struct(side(F.array_min, "x0").alias("x0"), side(F.array_min, "y0").alias("y0"), side(F.array_max, "x1").alias("x1"), side(F.array_max, "y1").alias("y1"))
+    return F.when(F.coalesce(fits, F.lit(False)) & (F.size(some) > 0), whole).otherwise(line_box)
+
+
 def polygon_box(polygon: Column) -> Column:
     """Smallest box around a polygon (array of [x, y]), null unless finite and of positive size."""
     xs, ys = F.transform(polygon, lambda p: p[0]), F.transform(polygon, lambda p: p[1])

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
-from ..functions.text import match_starts
-from ..functions.variants import LATIN, VariantTable, convert_column, form_column
+from ..functions.text import match_starts, spans
+from ..functions.variants import LATIN, VariantTable, classify_column, convert_column, form_column, in_scope
 
 #: Layers and their priority (lower is stronger), verification of a hit by layer.
 LAYERS = {"raw_exact": 1, "context_resolved": 2, "variant_graph": 3, "ocr_top_k": 4}
@@ -89,6 +89,20 @@ def layered_search(lined: DataFrame, query: str, table: VariantTable = LATIN) ->
     return hit.select(*lined.columns, "hit.layer", "hit.kind", "hit.priority", "hit.start", "hit.end", F.col("hit.istart").alias("index_start"), F.col("hit.iend").alias("index_end"), F.element_at(told, F.col("hit.layer")).alias("verification"))
 
 
+def scan_spans(text: Column, terms: list[str], scope: str = "both", table: VariantTable = LATIN) -> Column:
+    """Different spans (start, end), in order, at which a term or one of its forms stands in the text or in the form of
+    the same kind. Forms of another length than the text are left out, and so are spans whose own glyphs are out of scope."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    found = [none]
+    for term in terms:
+        forms = {"original": term} | {k: table.forms(term)[k] for k in FORMS}
+        for kind, query in forms.items():
+            indexed = text if kind == "original" else form_column(text, kind, table)
+            found.append(F.when(F.length(indexed) == F.length(text), spans(indexed, query)).otherwise(none))
+    every = F.array_sort(F.array_distinct(F.concat(*found)))
+    return every if scope == "both" else F.filter(every, lambda h: in_scope(classify_column(F.substring(text, h["start"] + 1, h["end"] - h["start"]), table), scope))
+
+
 def hit_counts(hits: DataFrame, by: tuple[str, ...] = ("layer", "lang")) -> DataFrame:
     """Hits by each column and in all, as grouping sets."""
     return hits.groupingSets([*[[F.col(c)] for c in by], []], *by).agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("gid"))
