@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents
+from .common import arrow_map, documents, release
 
 #: At most so many documents train the scorer.
 TRAIN_ROWS = 6000
@@ -125,14 +125,15 @@ def posterior(patterns: np.ndarray, share: float, rate: np.ndarray) -> np.ndarra
 
 
 def train(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Weights and bias of a logistic scorer for soft labels y, both classes with equal weight."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+    """Weights and, last, bias of a logistic scorer for soft labels y, both classes with equal weight; x is not copied."""
+    x = x.astype(np.float32, copy=False)
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     pull = (y / share + (1 - y) / (1 - share)).astype(np.float32) / (2 * len(y))
-    w, seen = np.zeros(x.shape[1], np.float32), np.full(x.shape[1], 1e-8, np.float32)
+    w, seen = np.zeros(x.shape[1] + 1, np.float32), np.full(x.shape[1] + 1, 1e-8, np.float32)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (pull * (p - y)).astype(np.float32) + 1e-5 * w
+        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+        off = (pull * (p - y)).astype(np.float32)
+        g = np.append(off @ x, off.sum()) + 1e-5 * w
         seen += g * g
         w -= 0.3 * g / np.sqrt(seen)
     return w
@@ -167,8 +168,14 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
         if part >= 1.0 or len(sample) >= train_rows // 2:
             break
         part = min(1.0, 8 * part)  # many rows repeat: look further
-    x = np.stack([np.frombuffer(bytes(r.x), np.float16) for r in sample]).astype(np.float32)
-    return {"share": share, "rate": rate, "w": train(x, np.array([r.p for r in sample]))}
+    x, y = np.empty((len(sample), WIDTH), np.float32), np.array([r.p for r in sample])
+    for n in range(len(sample)):
+        x[n] = np.frombuffer(sample[n].x, np.float16)
+        sample[n] = None  # the driver holds the sample once
+    model = {"share": share, "rate": rate, "w": train(x, y)}
+    del x
+    release()
+    return model
 
 
 def _judged(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
