@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audit import SQL as AUDIT_SQL
+from .resampling import SQL as RESAMPLE_SQL
 from .secrets import sql as secrets_sql
 
 
@@ -71,6 +73,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import audit
+
+    return audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixture
+
+    return mixture(_docs(spark, sf_dir))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 SQL_OP4 = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -103,5 +123,5 @@ links AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN lowest ON lowest.id = d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_neardup, op3_bpe, op4_exact_dedup, op5_quality, op6_wavelet_shards, op7_suffix_dedup, op8_ngram_jaccard, op9_secret_scans, op10_sharding)}
-ORACLE = {"op2_embedding_neardup": SQL_OP2, "op8_ngram_jaccard": SQL_OP8, "op4_exact_dedup": SQL_OP4, "op9_secret_scans": secrets_sql()}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_neardup, op3_bpe, op4_exact_dedup, op5_quality, op6_wavelet_shards, op7_suffix_dedup, op8_ngram_jaccard, op9_secret_scans, op10_sharding, op11_filter_audit, op12_source_mixing, op13_importance_resampling)}
+ORACLE = {"op2_embedding_neardup": SQL_OP2, "op8_ngram_jaccard": SQL_OP8, "op4_exact_dedup": SQL_OP4, "op9_secret_scans": secrets_sql(), "op11_filter_audit": AUDIT_SQL, "op13_importance_resampling": RESAMPLE_SQL}
