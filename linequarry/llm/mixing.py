@@ -229,7 +229,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     at = F.col("block") * block
     begin = F.greatest("start", at)
     end = F.least(F.col("start") + F.col("size"), at + F.col("length"))
-    placed_words = pieces.join(slots_table, ["source_no", "block"]).select("shard", "slot", "row", (begin - F.col("start")).alias("first"), (end - begin).alias("words")).where("words > 0")
+    # the planner takes the slots for as few rows as there are shards and would broadcast them
+    placed_words = pieces.join(slots_table.hint("merge"), ["source_no", "block"]).select("shard", "slot", "row", (begin - F.col("start")).alias("first"), (end - begin).alias("words")).where("words > 0")
     return rows.select("row", "doc_id", "size", "source", "source_size", "target"), placed_words
 
 
