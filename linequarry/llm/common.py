@@ -56,7 +56,36 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/linequarry/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._linequarry_path = path
+    _TABLES.append(path)
+    return out
+
+
+#: Tables written by saved() that are still there, oldest first.
+_TABLES: list[str] = []
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    paths = [p for p in paths if p in _TABLES]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        _TABLES.remove(p)
+
+
+def replaced(df: DataFrame, name: str, old: DataFrame) -> DataFrame:
+    """saved(df), after which the table `old`, that df was made from and nothing else reads, goes."""
+    out = saved(df, name)
+    removed(df.sparkSession, [old._linequarry_path])
+    return out
+
+
+def tables() -> list[str]:
+    """The tables written by saved() that are still there."""
+    return list(_TABLES)
 
 
 def documents(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship
+from .common import replaced, saved, ship
 
 _LINK = "a long, b long"
 #: Links a task folds at once.
@@ -93,5 +93,5 @@ def components(links: DataFrame) -> DataFrame:
         if (count, total) == said or not count:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
         said = (count, total)
-        now = saved(_star(now, count, True), "links")
-        now = saved(_star(now, now.count(), False), "links")
+        now = replaced(_star(now, count, True), "links", now)
+        now = replaced(_star(now, now.count(), False), "links", now)

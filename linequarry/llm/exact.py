@@ -9,9 +9,10 @@ order from the shared files, keeps one chain per key, compares bytes along the c
 for every entry. Rows then look their entry up in the written index.
 
 Texts are equal when identical after each run of white space is one space. Null counts as empty; empty texts are
-a group like any other. Of equal texts the smallest doc_id stays; rows that repeat it count in group_size and share
-its decision. A row without doc_id counts in its group and stays only where no row of the group has one. Other
-columns are ignored.
+a group like any other. Of equal texts the smallest doc_id is kept; rows that repeat it count in group_size and share
+its decision. A row without doc_id counts in its group and is kept only where no row of the group has one. What has
+to leave one row of each group and no more, whatever its ids, goes by (doc_id, text_sha256) of the kept rows and takes
+one row of each. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,15 +39,13 @@ TOP = 12
 #: Bytes of text a task folds together before it hands its entries on.
 FOLD_BYTES = 24 << 20
 _RUN = re.compile("[\x20\x09-\x0d]+")
-_ENTRY = "doc_id long, entry long, key long, sha string, text string, n long, size long"
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+#: Rows a task folds together; an entry of a text that repeats without end then has at most so many rows.
+FOLD_ROWS = 100_000
+_ENTRY = "doc_id long, entry long, first long, key long, sha string, text string, n long, size long"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
 _NAMES = [f.split()[0] for f in _ENTRY.split(", ")]
 
 
-#: Stands for a missing doc_id inside: larger than any other.
-_NONE = 2**63 - 1
-
-
 def normalised(text: str) -> str:
     return _RUN.sub(" ", text)
 
@@ -55,21 +55,36 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " "), 256)
 
 
+def _least(ids) -> int | None:
+    """The smallest id, None only where there is no other."""
+    return min((i for i in ids if i is not None), default=None)
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document naming its task's entry (the smallest doc_id here); entries carry text and count."""
-    groups: dict[str, list[int]] = {}
-    held = 0
+    """A row per document naming its task's entry; the first row of an entry carries smallest doc_id, text and count."""
+    groups: dict[str, list[int | None]] = {}
+    held = rows_held = 0
+    entry = TaskContext.get().partitionId() << 36  # entries are numbered within their task
 
     def out() -> Iterator[pa.RecordBatch]:
+        nonlocal entry
         rows: list[tuple] = []
         for text, ids in groups.items():
             raw = text.encode("utf-8")
             digest = hashlib.sha256(raw)
-            key, sha, ids = int.from_bytes(digest.digest()[:8], "big") >> 1, digest.hexdigest(), sorted(ids)
-            rows.append((ids[0], ids[0], key, sha, text, len(ids), len(raw)))
-            rows += [(i, ids[0], key, sha, None, 0, 0) for i in ids[1:]]
-        for at in range(0, len(rows), 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 1000]), _KINDS)], _NAMES)
+            key, sha = int.from_bytes(digest.digest()[:8], "big") >> 1, digest.hexdigest()
+            rows.append((ids[0], entry, _least(ids), key, sha, text, len(ids), len(raw)))
+            for at in range(1, len(ids), 1000):
+                rows += [(i, entry, None, key, sha, None, 0, 0) for i in ids[at : at + 1000]]
+                if len(rows) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], _NAMES)
+                    rows = []
+            entry += 1
+            if len(rows) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], _NAMES)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], _NAMES)
 
     for b in slices(batches):
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -78,9 +93,10 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 groups[text] = []
                 held += len(text)
             groups[text].append(doc)
-        if held > FOLD_BYTES:
+        rows_held += b.num_rows
+        if held > FOLD_BYTES or rows_held > FOLD_ROWS:
             yield from out()
-            groups, held = {}, 0
+            groups, held, rows_held = {}, 0, 0
     yield from out()
 
 
@@ -122,22 +138,22 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
 
     def close() -> None:
-        for place, (sha, ids) in enumerate(chain.values()):
-            keep, total = min(e for e, _ in ids), sum(n for _, n in ids)
-            rows.extend((e, sha, keep, total, place) for e in sorted({e for e, _ in ids}))
+        for place, (sha, entries) in enumerate(chain.values()):
+            keep, total = _least(first for _, first, _ in entries), sum(n for _, _, n in entries)
+            rows.extend((e, keep, total, place) for e, _, _ in entries)
 
     def take() -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
-        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["entry", "sha", "keep_id", "group_size", "chain"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["entry", "keep_id", "group_size", "chain"])
         rows.clear()
         return out
 
     for b in slices(batches):
-        for k, e, n, sha, text in zip(*(b.column(c).to_pylist() for c in ("key", "entry", "n", "sha", "text"))):
+        for k, e, first, n, sha, text in zip(*(b.column(c).to_pylist() for c in ("key", "entry", "first", "n", "sha", "text"))):
             if k != key:
                 close()
                 key, chain = k, {}
-            chain.setdefault(text, (sha, []))[1].append((e, n))
+            chain.setdefault(text, (sha, []))[1].append((e, first, n))
         if len(rows) > 5000:
             yield take()
     close()
@@ -147,7 +163,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_dedup(docs: DataFrame, capacity: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    docs = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NONE)))
+    docs = documents(docs)
     ship(docs.sparkSession)
     entries = saved(docs.mapInArrow(_fold, _ENTRY), "exact-entries")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -157,10 +173,8 @@ def exact_dedup(docs: DataFrame, capacity: int | None = None) -> DataFrame:
     def owner_of(key: pd.Series) -> pd.Series:
         return pd.Series(np.maximum(np.searchsorted(firsts, key.to_numpy(), side="right") - 1, 0).astype(np.int32))
 
-    heads = entries.where("text is not null").select("key", "entry", "n", "sha", "text")
+    heads = entries.where("text is not null").select("key", "entry", "first", "n", "sha", "text")
     owned = heads.repartitionById(max(1, len(firsts)), owner_of("key")).sortWithinPartitions("key", "entry")
-    index = saved(owned.mapInArrow(_own, "entry long, sha string, keep_id long, group_size long, chain int"), "exact-index")
-    rows = entries.select("doc_id", "entry", "sha")
-    found = rows.join(index, ["entry", "sha"])
-    named = lambda c: F.nullif(F.col(c), F.lit(_NONE)).alias(c)
-    return found.select(named("doc_id"), named("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    index = saved(owned.mapInArrow(_own, "entry long, keep_id long, group_size long, chain int"), "exact-index")
+    found = entries.select("doc_id", "entry", "sha").join(index, "entry")
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -236,7 +236,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, n
 
 
 def jaccard_groups(docs: DataFrame, words: int = WORDS, number: int = NUMBER, of: int = OF) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), text_hash."""
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), text_hash,
+    stays (true for one row of each group)."""
     docs = documents(docs).withColumn("hash", F.xxhash64("text"))
     spark = docs.sparkSession
     ship(spark)
@@ -246,10 +247,17 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, number: int = NUMBER, of
     each = seen.where("kind = 0 and a is not null").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("a", "hash")).alias("first"), F.any_value("bits").alias("bits"))
     nodes = saved(each.select("node", F.col("first.a").alias("rep"), F.col("first.hash").alias("hash"), "bits"), "jaccard-nodes")
     often = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    table = often.orderBy(F.desc("n"), "a").limit(COMMON).toPandas()
-    grams, level = table["a"].to_numpy(np.int64).view(np.uint64), np.ceil(np.log2(table["n"].to_numpy(float) + 1)).astype(np.int8)
-    order = np.argsort(grams)
-    common = spark.sparkContext.broadcast((grams[order], level[order]))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The grams, ascending, and their levels as two runs of bytes: 9 bytes a gram reach the driver."""
+        rows = [(np.asarray(b.column("a")).view(np.uint64), np.asarray(b.column("n"))) for b in batches]
+        grams, n = (np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0, np.uint64), np.zeros(0))
+        order = np.argsort(grams)
+        level = np.ceil(np.log2(n.astype(float) + 1)).astype(np.int8)
+        yield pa.RecordBatch.from_arrays([pa.array([grams[order].tobytes()], pa.binary()), pa.array([level[order].tobytes()], pa.binary())], ["grams", "level"])
+
+    table = often.orderBy(F.desc("n"), "a").limit(COMMON).repartition(1).mapInArrow(packed, "grams binary, level binary").first()
+    common = spark.sparkContext.broadcast((np.frombuffer(bytes(table.grams), np.uint64), np.frombuffer(bytes(table.level), np.int8)) if table else (np.zeros(0, np.uint64), np.zeros(0, np.int8)))
     blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = docs.mapInArrow(_cells(words, blocks, common, number, of), "block int, cells binary").repartition("block")
     found = saved(cells.mapInArrow(_product(number, of), "kind byte, a long, b long, n long, column binary"), "jaccard-found")
@@ -288,12 +296,16 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, number: int = NUMBER, of
         if more.limit(1).count():
             named = _labelled(nodes, links.unionAll(more))
     out = rows.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("label")).alias("component_id"), F.col("hash").alias("text_hash"))
+    # one row of a group stays: the first by doc_id and text; a row without doc_id is in no group
+    stays = F.col("doc_id").isNull() | (F.col("chief") & (F.col("doc_id") == F.col("rep")) & (F.col("hash") == F.col("first_hash")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("label")).alias("component_id"), F.col("hash").alias("text_hash"), stays.alias("stays"))
 
 
 def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, rep, label (smallest doc_id of its component)."""
+    """node, rep and first_hash (its first row), label (smallest doc_id of its component), chief (whether it is the first node there)."""
     group = saved(components(links).select(F.col("id").alias("node"), F.col("component").alias("root")), "jaccard-roots")
     tied = group.unionAll(group.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "rep"), "node")
-    least = tied.groupBy("root").agg(F.min("rep").alias("label"))
-    return saved(nodes.select("node", "rep").join(tied.join(least, "root").select("node", "label"), "node", "left").select("node", "rep", F.coalesce("label", "rep").alias("label")), "jaccard-labels")
+    least = tied.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("least"))
+    said = tied.join(least, "root").select("node", F.col("least.rep").alias("label"), (F.col("least.node") == F.col("node")).alias("chief"))
+    whole = nodes.select("node", "rep", F.col("hash").alias("first_hash")).join(said, "node", "left")
+    return saved(whole.select("node", "rep", "first_hash", F.coalesce("label", "rep").alias("label"), F.coalesce("chief", F.lit(True)).alias("chief")), "jaccard-labels")

@@ -15,6 +15,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
@@ -160,22 +161,28 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
         p = posterior(m.votes().astype(np.int64), share, rate)
         return pa.RecordBatch.from_arrays([pa.array(spot), pa.array([r.astype(np.float16).tobytes() for r in m.x], pa.binary()), pa.array(p)], ["spot", "x", "p"])
 
+    def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y, n = np.empty((train_rows, WIDTH), np.float32), np.empty(train_rows), 0
+        for b in batches:
+            for raw, p in zip(b.column("x"), b.column("p").to_pylist()):
+                x[n], y[n] = np.frombuffer(raw.as_buffer(), np.float16), p
+                n += 1
+        w = train(x[:n], y[:n]) if n else np.zeros(WIDTH + 1, np.float32)
+        del x
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["n", "w"])
+
     placed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 60)).alias("spot"), "text")
     part = min(1.0, 1.1 * train_rows / total)
     while True:
         picked = placed.where(F.col("spot") < int(part * (1 << 60)) + 1)
-        sample = arrow_map(picked, features, "spot long, x binary, p double", rows=AT_ONCE).dropDuplicates(["spot"]).orderBy("spot").limit(train_rows).collect()
-        if part >= 1.0 or len(sample) >= train_rows // 2:
+        sample = arrow_map(picked, features, "spot long, x binary, p double", rows=AT_ONCE).dropDuplicates(["spot"]).orderBy("spot").limit(train_rows)
+        # the sample, bounded by train_rows, meets in one task; the driver gets the weights
+        got = sample.repartition(1).sortWithinPartitions("spot").mapInArrow(scorer, "n long, w binary").first()
+        if part >= 1.0 or got.n >= train_rows // 2:
             break
         part = min(1.0, 8 * part)  # many rows repeat: look further
-    x, y = np.empty((len(sample), WIDTH), np.float32), np.array([r.p for r in sample])
-    for n in range(len(sample)):
-        x[n] = np.frombuffer(sample[n].x, np.float16)
-        sample[n] = None  # the driver holds the sample once
-    model = {"share": share, "rate": rate, "w": train(x, y)}
-    del x
-    release()
-    return model
+    return {"share": share, "rate": rate, "w": np.frombuffer(bytes(got.w), np.float32)}
 
 
 def _judged(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:

@@ -58,7 +58,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_groups
 
-    return jaccard_groups(_docs(spark, sf_dir)).drop("text_hash")
+    return jaccard_groups(_docs(spark, sf_dir)).drop("text_hash", "stays")
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,12 +31,12 @@ except ImportError:  # before Python 3.11
 
 #: Alternatives of one stretch of an expression that are still told apart.
 MOST = 24
-#: Stands for a missing doc_id where candidates are looked up.
-NO_ID = -(2**62)
 #: Trigrams in one word of a document's mask.
 BITS = 62
 #: Matches that are put in line together.
 RUN = 64
+#: Characters in a piece of a text from which masked text is put together.
+PIECE = 256
 
 
 @dataclass(frozen=True)
@@ -156,23 +156,29 @@ def _answer(q: Query, place: dict[str, int]) -> Column:
     return out
 
 
+def row_key() -> Column:
+    """What a row's postings and its text meet by: doc_id and text, so rows without doc_id spread. Rows that share it by
+    chance share their candidates, which the expressions then tell apart."""
+    return F.xxhash64("doc_id", "text")
+
+
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """The inverted index for some trigrams: trigram number, doc_id."""
+    """The inverted index for some trigrams: trigram number, row key."""
     wanted = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(g).alias("g")) for n, g in enumerate(grams)])
     inside = F.transform(F.array(F.lower("text")), lambda low: F.transform(F.filter(wanted, lambda w: F.contains(low, w.g)), lambda w: w.n))
-    return docs.select("doc_id", F.explode(inside[0]).alias("gram"))
+    return docs.select(row_key().alias("key"), F.explode(inside[0]).alias("gram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """doc_id and a flag per rule that has a query, for documents that satisfy one."""
+    """Row key and a flag per rule that has a query, for documents that satisfy one."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != ALL}
     grams = sorted(set().union(*map(_grams, queries.values())))
     place = {g: n for n, g in enumerate(grams)}
     # postings of a document come together: map-side sums of distinct bits, then one row per document
     words = [F.bit_or(F.when(F.floor(F.col("gram") / BITS) == w, F.expr(f"shiftleft(1L, gram % {BITS})")).otherwise(F.lit(0).cast("long"))).alias(f"mask{w}") for w in range(-(-len(grams) // BITS))]
-    masks = postings(docs, grams).groupBy("doc_id").agg(*words)
+    masks = postings(docs, grams).groupBy("key").agg(*words)
     flags = [_answer(q, place).alias(f"may_{k}") for k, q in queries.items()]
-    out = masks.select("doc_id", *flags)
+    out = masks.select("key", *flags)
     some = F.lit(False)
     for k in queries:
         some = some | F.col(f"may_{k}")
@@ -229,11 +235,9 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, carry:
     """One row per input row: doc_id, text, spans (array of start, place of the rule, end, kind) by start, then rule;
     carry: a column of docs that goes along as `carried`."""
     plain = documents(docs)
-    known = candidates(plain.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), rules)
+    known = candidates(plain, rules).withColumnRenamed("key", "_key")
     whole = plain if carry is None else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), carry.alias("carried"))
-    # which texts may match is only narrowed by doc_id, so rows that share one, or have none, share their candidates
-    known = known.withColumnRenamed("doc_id", "_id")
-    joined = whole.join(known, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_id"), "left")
+    joined = whole.join(known, row_key() == F.col("_key"), "left")
     found = []
     for n, r in enumerate(rules):
         if f"may_{r.kind}" in known.columns:
@@ -256,13 +260,25 @@ def secret_digests(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Da
 
 def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, carry: Column | None = None) -> DataFrame:
     """doc_id, text with every span replaced by its kind in brackets, n_spans. Overlapping spans are replaced as one, by the first's kind."""
-    def piece(at: Column, s: Column) -> Column:
-        kept = F.concat(F.substring(F.col("text"), (at + 1).cast("int"), (s["start"] - at).cast("int")), F.lit("["), s["kind"], F.lit("]"))
-        return F.when(s["start"] < at, F.lit("")).otherwise(kept)
+    let = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  # value is worked out once
 
-    pieces = scanned(F.col("spans"), F.lit(0).cast("long"), lambda at, s: F.greatest(at, s["end"]), piece, "string")
-    rest = F.substring(F.col("text"), (F.array_max(F.transform("spans", lambda s: s["end"])) + 1).cast("int"), F.length("text"))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    def stretch(pieces: Column, start: Column, end: Column) -> Column:
+        """The characters from start to before end, from the pieces they lie in; the text is never gone through again."""
+        i, j = F.floor(start / PIECE), F.floor((end - 1) / PIECE)
+        inside = F.substring(pieces[i], (start - i * PIECE + 1).cast("int"), (end - start).cast("int"))
+        head = F.substring(pieces[i], (start - i * PIECE + 1).cast("int"), F.lit(PIECE))
+        between = F.array_join(F.slice(pieces, (i + 2).cast("int"), F.greatest(F.lit(0), j - i - 1).cast("int")), "")
+        tail = F.substring(pieces[j], F.lit(1), (end - j * PIECE).cast("int"))
+        return F.when(end <= start, F.lit("")).when(i == j, inside).otherwise(F.concat(head, between, tail))
+
+    def masked(pieces: Column) -> Column:
+        piece = lambda at, s: F.when(s["start"] < at, F.lit("")).otherwise(F.concat(stretch(pieces, at, s["start"]), F.lit("["), s["kind"], F.lit("]")))
+        done = scanned(F.col("spans"), F.lit(0).cast("long"), lambda at, s: F.greatest(at, s["end"]), piece, "string")
+        rest = stretch(pieces, F.array_max(F.transform("spans", lambda s: s["end"])), F.length("text").cast("long"))
+        return F.concat(F.array_join(done, ""), rest)
+
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(let(pieces, masked))
     return scan_secrets(docs, rules, carry).select("doc_id", text.alias("text"), *([] if carry is None else ["carried"]), F.size("spans").cast("long").alias("n_spans"))
 
 

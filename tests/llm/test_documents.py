@@ -149,7 +149,7 @@ def test_pipeline_stages(spark):
 
 
 def test_one_query_per_operator():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
     _ = F
 
 

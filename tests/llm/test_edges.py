@@ -138,4 +138,4 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, key string")
     for one in (exact_dedup, bpe_digests, repeat_removal, shard_documents, jaccard_groups, secret_digests, judge_quality, pack_documents, mask_secrets):
         assert one(none).count() == 0, one
-    assert len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 13
