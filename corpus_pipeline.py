@@ -4,7 +4,8 @@ quality keeps what the classifier keeps; exact and near keep one document of eac
 every span found; packing cuts and packs what is left. All but the last return the columns of documents.
 
 Decisions reach their rows by doc_id and text together, so a null or repeated doc_id neither loses a clean row nor
-keeps a rejected one. Rows without doc_id are dropped as copies only of rows with one or of each other's whole text.
+keeps a rejected one. Of rows that repeat doc_id and text one stays, of copies without any doc_id too; rows without
+doc_id are near copies of nothing. run() removes the tables of a stage once its result is written.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linequarry.llm.common import saved
+from linequarry.llm.common import removed, saved, tables
 from linequarry.llm.exact import exact_dedup, text_digest
 from linequarry.llm.jaccard import jaccard_groups
 from linequarry.llm.packing import pack_documents
@@ -25,9 +26,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _staying(docs: DataFrame, decided: DataFrame, mark: str, of_text) -> DataFrame:
-    """The rows of docs whose doc_id (nulls alike) and mark of the text are among those decided."""
-    some = decided.select(F.col("doc_id").alias("_id"), F.col(mark).alias("_mark")).distinct()
-    return docs.join(some, docs["doc_id"].cast("long").eqNullSafe(some["_id"]) & (of_text(F.coalesce(docs["text"], F.lit(""))) == some["_mark"]), "left_semi")
+    """One row of docs for each doc_id (nulls alike) and mark of the text that are among those decided.
+
+    Rows that repeat both fold within their tasks first, so none of them, however many, fills a task; the join then
+    finds its rows where the folding has put them.
+    """
+    key = lambda doc_id, of: {"_id": F.coalesce(doc_id.cast("long"), F.lit(0)), "_none": doc_id.isNull(), "_mark": of}
+    some = decided.select(*[c.alias(n) for n, c in key(F.col("doc_id"), F.col(mark)).items()]).distinct()
+    names = ["_id", "_none", "_mark"]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("_row"), *[c.alias(n) for n, c in key(docs["doc_id"], of_text(F.coalesce(docs["text"], F.lit("")))).items()])
+    return keyed.groupBy(*names).agg(F.first("_row").alias("_row")).join(some, names, "left_semi").select("_row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +44,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _staying(docs, jaccard_groups(docs).where("doc_id <=> component_id"), "text_hash", F.xxhash64)
+    return _staying(docs, jaccard_groups(docs).where("stays"), "text_hash", F.xxhash64)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +68,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        there = tables()
+        result = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        used = [t for t in tables() if t not in there and t != result._linequarry_path]  # nothing reads them from here on
+        removed(spark, used + ([docs._linequarry_path] if hasattr(docs, "_linequarry_path") else []))
+        docs = result
     return STAGES[-1][1](spark, docs, sf_dir)
