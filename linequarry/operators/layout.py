@@ -1,7 +1,7 @@
 """Page layout around a match: line blocks by spatial neighbourhood, the nearest line, and the context of a target.
 
-Blocks are connected components of a page's lines, so they are found per page with numpy over sorted partitions; a page
-holds a bounded number of lines. Only pages that have a target are looked at.
+Blocks are connected components of a page's lines, found by a sweep in numpy over sorted partitions; neighbours, hulls
+and candidates are windows and aggregates over lines and blocks. Only pages that have a target are looked at.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -19,11 +19,10 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.geometry import gap
 from ..sources.corpus import PAGE_HEIGHT, PAGE_WIDTH
+from .numbering import written
 
 #: neighbours' least overlap, largest gap in medians, most lines looked at, most candidate blocks.
 OVERLAP, GAP_MEDIANS, MOST_LINES, MOST_BLOCKS = 0.28, 2.6, 256, 64
-#: Bytes of contexts, about, that a Python worker holds before it hands them on.
-HELD_BYTES = 4 << 20
 #: Orientations, the confidence below which one is unsure, the most an unsure and a sure context can have.
 MODES, SURE, UNSURE_MOST, SURE_MOST = ("auto", "horizontal", "vertical"), 0.65, 0.55, 0.95
 
@@ -50,30 +49,70 @@ def nearest_k(boxed: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     return both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def close_pairs(low: np.ndarray, high: np.ndarray, apart: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of intervals that are no further apart than that, in the order of their beginnings, one neighbour at a time."""
+    order = np.argsort(low, kind="stable")
+    start, reach = low[order], high[order] + apart
+    i = np.arange(len(order))
+    for k in range(1, len(order)):
+        i = i[i < len(order) - k]
+        i = i[start[i + k] <= reach[i]]  # beginnings ascend: who doesn't reach the k-th next reaches none after it
+        if not len(i):
+            return
+        yield order[i], order[i + k]
+
+
+def _many(low: np.ndarray, high: np.ndarray, apart: float) -> int:
+    """How many pairs close_pairs gives."""
+    start = np.sort(low)
+    return int((np.searchsorted(start, np.sort(high + apart), side="right")).sum()) - len(low) * (len(low) + 1) // 2
+
+
+def _joined(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Smallest member of each one's component."""
+    label = np.arange(n)
+
+    def up(x: np.ndarray) -> np.ndarray:
+        while ((y := label[x]) != x).any():
+            x = y
+        return x
+
+    for a, b in links:
+        while True:
+            x, y = up(a), up(b)
+            if (x == y).all():
+                break
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+    return up(label)
+
+
 def blocks(boxes: np.ndarray, vertical: bool, least: float = 1.0) -> np.ndarray:
     """Block number (smallest line number) of each line: lines that overlap across the reading direction and lie close along it.
 
-    least: the median size counts as this at least.
+    least: the median size counts as this at least. A sweep looks at pairs that are close along, or that overlap across,
+    whichever are fewer; equal boxes are one. Memory is linear in the lines.
     """
-    n = len(boxes)
-    if not n:
+    if not len(boxes):
         return np.zeros(0, np.int64)
-    x0, y0, x1, y1 = boxes.T
+    some, first, back = np.unique(boxes, axis=0, return_index=True, return_inverse=True)
+    x0, y0, x1, y1 = some.T
     across, along = ((y0, y1), (x0, x1)) if vertical else ((x0, x1), (y0, y1))
-    size = along[1] - along[0]
-    limit = GAP_MEDIANS * max(float(np.median(size)), least)
-    shared = np.minimum(across[1][:, None], across[1]) - np.maximum(across[0][:, None], across[0])
-    shorter = np.minimum((across[1] - across[0])[:, None], across[1] - across[0])
-    apart = np.maximum(along[0][:, None], along[0]) - np.minimum(along[1][:, None], along[1])
-    linked = (np.maximum(shared, 0) >= OVERLAP * np.maximum(shorter, 1e-9)) & (np.maximum(apart, 0) <= limit)
-    label = np.arange(n)
-    while True:  # the smallest label among neighbours, until nothing changes
-        new = np.where(linked, label[None, :], n).min(axis=1)
-        new = np.minimum(new, label)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+    side = boxes[:, 2] - boxes[:, 0] if vertical else boxes[:, 3] - boxes[:, 1]
+    limit = GAP_MEDIANS * max(float(np.median(side)), least)
+
+    def linked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        by_along = _many(*along, limit) <= _many(*across, 0.0)
+        for i, j in close_pairs(*along, limit) if by_along else close_pairs(*across, 0.0):
+            shared = np.maximum(np.minimum(across[1][i], across[1][j]) - np.maximum(across[0][i], across[0][j]), 0)
+            shorter = np.maximum(np.minimum(across[1][i] - across[0][i], across[1][j] - across[0][j]), 1e-9)
+            apart = np.maximum(np.maximum(along[0][i], along[0][j]) - np.minimum(along[1][i], along[1][j]), 0)
+            yes = (shared >= OVERLAP * shorter) & (apart <= limit)
+            yield i[yes], j[yes]
+
+    root = _joined(len(some), linked())[back.reshape(-1)]
+    lowest = np.full(len(some), len(boxes))
+    np.minimum.at(lowest, root, np.arange(len(boxes)))
+    return lowest[root]
 
 
 def page_blocks(boxed: DataFrame) -> DataFrame:
@@ -111,11 +150,55 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
-_CONTEXT = (
-    "doc_id long, page_no int, line_no int, start int, end int, status string, reason string, orientation string, confidence double, block int, previous string, next string, plain_text string, "
-    f"box {_BOX}, normalised_box {_BOX}, block_box {_BOX}, normalised_block_box {_BOX}, items array<struct<line_no:int,role:string,text:string,box:{_BOX},normalised_box:{_BOX}>>, n_blocks int, "
-    f"candidate_blocks array<struct<id:string,line_count:int,contains_target:boolean,box:{_BOX},normalised_box:{_BOX}>>"
-)
+_SIDES = ("x0", "y0", "x1", "y1")
+_PAGE = ["doc_id", "page_no"]
+_TARGET = [*_PAGE, "line_no", "start", "end", "mode", "override"]
+_SCENE = [*_PAGE, "scene"]
+
+
+def _scenes(lined: DataFrame, goals: DataFrame) -> DataFrame:
+    """The lines that a target may stand among, each with its block: _SCENE, upright, place, line_no, raw_text, box, middle, block.
+
+    A page has up to four scenes that all its targets share, by mode and orientation. Where more than MOST_LINES lines
+    would take part, the target has a scene of its own: itself and the nearest others.
+    """
+    fits = (F.col("any_way")) | (F.col("is_upright") == F.col("upright"))
+    shared = goals.where("shared").select(*_SCENE, "any_way", "upright").distinct().join(lined, _PAGE).where(fits).withColumn("place", F.col("line_no").cast("long"))
+    own = goals.where("NOT shared").select(*_SCENE, "any_way", "upright", F.col("line_no").alias("goal"), F.col("mx").alias("gx"), F.col("my").alias("gy")).distinct().join(lined, _PAGE).where(fits)
+    near = Window.partitionBy(*_SCENE).orderBy((F.col("line_no") == F.col("goal")).desc(), F.hypot(F.col("mx") - F.col("gx"), F.col("my") - F.col("gy")), "line_no")
+    own = own.withColumn("place", F.row_number().over(near).cast("long")).where(F.col("place") <= MOST_LINES)
+    columns = [*_SCENE, "upright", "place", "line_no", "raw_text", *_SIDES, "mx", "my"]
+    rows = shared.select(*columns).unionByName(own.select(*columns))
+    kinds = ", ".join(f"{n} {k}" for n, k in rows.dtypes)
+    return rows.repartition(*_SCENE).sortWithinPartitions(*_SCENE, "place").mapInArrow(_by_scene, f"{kinds}, block long")
+
+
+def _by_scene(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds block (the least place in it) to the lines of scenes that come one after the other."""
+
+    def done(rows: pa.Table) -> pa.RecordBatch:
+        box = np.stack([rows.column(c).to_numpy() for c in _SIDES], axis=1)
+        place = rows.column("place").to_numpy()
+        label = blocks(box, bool(rows.column("upright")[0].as_py()))
+        return pa.RecordBatch.from_arrays([*rows.combine_chunks().to_batches()[0].columns, pa.array(place[label])], [*rows.column_names, "block"])
+
+    held: list[pa.Table] = []
+    for b in batches:
+        rows = pa.Table.from_batches([b])
+        if not rows.num_rows:
+            continue
+        key = list(zip(*(rows.column(c).to_pylist() for c in _SCENE)))
+        cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
+        if held and tuple(held[0].column(c)[0].as_py() for c in _SCENE) != key[0]:
+            yield done(pa.concat_tables(held))
+            held = []
+        for i, j in zip(cuts, cuts[1:]):
+            if i:
+                yield done(pa.concat_tables(held))
+                held = []
+            held.append(rows.slice(i, j - i))
+    if held:
+        yield done(pa.concat_tables(held))
 
 
 def layout_contexts(boxed: DataFrame, targets: DataFrame, width: float = PAGE_WIDTH, height: float = PAGE_HEIGHT) -> DataFrame:
@@ -124,120 +207,172 @@ def layout_contexts(boxed: DataFrame, targets: DataFrame, width: float = PAGE_WI
     targets may have layout_mode (auto where null) and block_override (x0, y0, x1, y1; none where null). In mode auto
     only lines of the target's orientation count. A target is uncertain, and then stands alone, if its orientation is
     unsure or no other line is in its block. Of a page's lines the MOST_LINES nearest are looked at, of its blocks the
-    MOST_BLOCKS that rank first are listed: the target's own, then by distance; n_blocks counts all.
+    MOST_BLOCKS that rank first are listed: the target's own, then by distance; n_blocks counts all. Lines without text
+    or with an empty or non-finite box take no part; a target on such a line, with another mode or with a range outside
+    its line is an error. Targets that repeat are answered each for itself.
     """
-    given = lambda c, other: F.coalesce(F.col(c), other) if c in targets.columns else other
-    override = F.col("block_override").cast("array<double>") if "block_override" in targets.columns else F.lit(None).cast("array<double>")
-    wanted = targets.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("line_no", "start", "end", given("layout_mode", F.lit("auto")).alias("mode"), override.alias("override"))).alias("targets"))
-    lined = boxed.join(wanted.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_semi")
-    pages = lined.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "raw_text", "x0", "y0", "x1", "y1"))).alias("lines"))
-    rows = pages.join(wanted, ["doc_id", "page_no"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_no").cast("int").alias("page_no"), "lines", "targets")
+    c, boxes_of = F.col, lambda some: F.struct(*[some[k].alias(n) for k, n in enumerate(_SIDES)])
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) != float("inf"))
+    given = lambda name, other: F.coalesce(c(name), other) if name in targets.columns else other
+    rect = c("block_override").cast("array<double>") if "block_override" in targets.columns else F.lit(None).cast("array<double>")
+    lined = boxed.select(c("doc_id").cast("long").alias("doc_id"), c("page_no").cast("int").alias("page_no"), c("line_no").cast("int").alias("line_no"), "raw_text", *_SIDES)
+    sound = (F.length("raw_text") > 0) & (c("x1") > c("x0")) & (c("y1") > c("y0"))
+    for n in _SIDES:
+        sound = sound & finite(c(n))
+    w, h = c("x1") - c("x0"), c("y1") - c("y0")
+    ratio = F.when(h >= w, h / F.greatest(w, F.lit(1.0))).otherwise(w / F.greatest(h, F.lit(1.0)))
+    lined = lined.where(sound).withColumns({"mx": (c("x0") + c("x1")) / 2, "my": (c("y0") + c("y1")) / 2, "is_upright": h >= w, "sure": F.least(F.lit(1.0), 0.45 + (ratio - 1.0) / 3.0)})
+
+    asked = targets.select(c("doc_id").cast("long").alias("doc_id"), c("page_no").cast("int").alias("page_no"), c("line_no").cast("int").alias("line_no"), c("start").cast("int").alias("start"), c("end").cast("int").alias("end"), given("layout_mode", F.lit("auto")).alias("mode"), F.coalesce(rect, F.array().cast("array<double>")).alias("override"))
+    asked = asked.groupBy(*_TARGET).agg(F.count("*").alias("copies"))
+    # pages, goals and scenes are read several times below: each is worked out once
+    pages = written(lined.join(asked.select(*_PAGE).distinct(), _PAGE, "left_semi"), "layout-pages")
+    counts = pages.groupBy(*_PAGE).agg(F.count_if("is_upright").alias("n_upright"), F.count_if(~c("is_upright")).alias("n_flat"))
+    wrong = F.when(~c("mode").isin(*MODES), F.raise_error(F.lit("layout_mode must be auto, horizontal or vertical"))).when(c("raw_text").isNull() | ~F.coalesce((c("start") >= 0) & (c("start") < c("end")) & (c("end") <= F.length("raw_text")), F.lit(False)), F.raise_error(F.lit("a target needs a line with a box and a range inside its text")))
+    goals = asked.join(pages, [*_PAGE, "line_no"], "left").join(counts, _PAGE, "left")
+    goals = goals.withColumn("any_way", F.when(wrong.isNull(), c("mode") != "auto"))
+    goals = goals.withColumns({"upright": F.when(c("any_way"), c("mode") == "vertical").otherwise(c("is_upright")), "sure": F.when(c("any_way"), 1.0).otherwise(c("sure"))})
+    fitting = F.when(c("any_way"), c("n_upright") + c("n_flat")).when(c("upright"), c("n_upright")).otherwise(c("n_flat"))
+    goals = goals.withColumn("shared", fitting <= MOST_LINES)
+    goals = goals.withColumn("scene", F.concat_ws(" ", c("any_way").cast("string"), c("upright").cast("string"), F.when(~c("shared"), c("line_no").cast("string"))))
+
+    goals = written(goals, "layout-goals")
+    scenes = written(_scenes(pages, goals), "layout-scenes")
+    before_in_block = [F.when(c("upright"), -c("mx")).otherwise(c("my")), F.when(c("upright"), c("my")).otherwise(c("mx")), c("place")]
+    line = F.struct("line_no", "raw_text", *_SIDES)
+    hull = lambda over=None: F.struct(*[(f(n) if over is None else f(n).over(over)).alias(n) for n, f in zip(_SIDES, (F.min, F.min, F.max, F.max))])
+
+    def around(rows: DataFrame, scope: list[str]) -> DataFrame:
+        """The neighbours of every line among the lines of its scope, and what the scope holds."""
+        whole, ordered = Window.partitionBy(*scope), Window.partitionBy(*scope).orderBy(*before_in_block)
+        return rows.withColumns({"before": F.lag(line).over(ordered), "after": F.lead(line).over(ordered), "n_own": F.count("*").over(whole), "own_box": hull(whole), "lowest": F.min("line_no").over(whole)})
+
+    found = ["before", "after", "n_own", "own_box", "lowest"]
+    placed = goals.join(around(scenes, [*_SCENE, "block"]).select(*_SCENE, "line_no", "block", *found), [*_SCENE, "line_no"])
+    o, any_rect = c("override"), "block_override" in targets.columns
+    chosen = (F.size(o) == 4) & F.forall(o, finite) & (F.get(o, 2) > F.get(o, 0)) & (F.get(o, 3) > F.get(o, 1))
+    placed = placed.withColumn("chosen", F.coalesce(chosen, F.lit(False)))
+    inside = c("mx").between(F.get("rect", 0), F.get("rect", 2)) & c("my").between(F.get("rect", 1), F.get("rect", 3))
+    asked_for = placed.where("chosen" if any_rect else "false").select(*_SCENE, *[c(n).alias(f"_{n}") for n in _TARGET], o.alias("rect"), c("line_no").alias("goal"))
+    in_rect = scenes.join(asked_for, _SCENE).where((c("line_no") == c("goal")) | inside)
+    in_rect = around(in_rect, [f"_{n}" for n in _TARGET]).where("line_no = goal").select(*[c(f"_{n}").alias(n) for n in _TARGET], *found)
+    rest = [n for n in placed.columns if n not in (*found, *_TARGET)]
+    by_block = placed.where("NOT chosen").select(*_TARGET, *rest, *found) if any_rect else placed
+    placed = by_block.unionByName(placed.where("chosen").drop(*found).join(in_rect, _TARGET).select(*_TARGET, *rest, *found)) if any_rect else placed.select(*_TARGET, *rest, *found)
+
+    whole = scenes.groupBy(*_SCENE, "block").agg(F.count("*").cast("int").alias("n"), hull().alias("hull"))
+    whole = whole.withColumn("k", F.row_number().over(Window.partitionBy(*_SCENE).orderBy("block")))  # a scene's blocks: MOST_LINES at most, or a page's
+    listed = placed.select(*_TARGET, "scene", c("block").alias("own"), "mx", "my").join(whole, _SCENE)
+    far = F.hypot((c("hull.x0") + c("hull.x1")) / 2 - c("mx"), (c("hull.y0") + c("hull.y1")) / 2 - c("my"))
+    entry = F.struct((c("block") != c("own")).alias("other"), far.alias("far"), "k", "n", "hull")
+    ranked = listed.groupBy(*_TARGET).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, MOST_BLOCKS).alias("blocks"), F.count("*").cast("int").alias("n_blocks"))
+
+    size = {"x0": width, "x1": width, "y0": height, "y1": height}
+    share = lambda box: F.struct(*[F.greatest(F.lit(0.0), F.least(F.lit(1.0), box[n] / max(1.0, size[n]))).alias(n) for n in _SIDES])
+    plain = lambda box: F.struct(*[box[n].alias(n) for n in _SIDES])
+    joined = placed.join(ranked, _TARGET)
+    reason = F.when((c("mode") == "auto") & (c("sure") < SURE), "orientation_uncertain").when(c("n_own") == 1, "block_uncertain")
+    joined = joined.withColumn("reason", reason).withColumns({n: F.when(c("reason").isNull(), c(n)) for n in ("before", "after")})
+    item = lambda x, role: F.struct(x["line_no"].alias("line_no"), F.lit(role).alias("role"), x["raw_text"].alias("text"), plain(x).alias("box"), share(x).alias("normalised_box"))
+    joined = joined.withColumn("goal_line", line)
+    items = F.array_compact(F.array(F.when(c("before").isNotNull(), item(c("before"), "context")), item(c("goal_line"), "target"), F.when(c("after").isNotNull(), item(c("after"), "context"))))
+    joined = joined.withColumn("items", items)
+    over = F.struct(*[f(c(f"items.box.{n}")).alias(n) for n, f in zip(_SIDES, (F.array_min, F.array_min, F.array_max, F.array_max))])
+    joined = joined.withColumn("box", over)
+    candidates = F.transform("blocks", lambda b: F.struct(F.concat(F.lit("block-"), b["k"].cast("string")).alias("id"), b["n"].alias("line_count"), (~b["other"]).alias("contains_target"), b["hull"].alias("box"), share(b["hull"]).alias("normalised_box")))
+    out = joined.select(
+        *_PAGE, "line_no", "start", "end", F.when(c("reason").isNull(), "ready").otherwise("uncertain").alias("status"), "reason", F.when(c("upright"), "vertical").otherwise("horizontal").alias("orientation"),
+        F.round(F.least("sure", F.when(c("reason").isNull(), SURE_MOST).otherwise(UNSURE_MOST)), 4).alias("confidence"), c("lowest").alias("block"), c("before.raw_text").alias("previous"), c("after.raw_text").alias("next"),
+        F.array_join(F.transform("items", lambda i: i["text"]), "\n").alias("plain_text"), "box", share(c("box")).alias("normalised_box"), c("own_box").alias("block_box"), share(c("own_box")).alias("normalised_block_box"), "items", "n_blocks",
+        candidates.alias("candidate_blocks"), F.explode(F.sequence(F.lit(1).cast("long"), c("copies"))).alias("_copy"),
+    )
+    return out.drop("_copy")
+
+
+def _islands(rows: DataFrame, scope: list[str], value: str, gap: float, name: str) -> DataFrame:
+    """Adds name: a number per scope that changes where the value leaps by more than gap, so that what lies that far apart is told apart.
+
+    Ranges of (scope, value) are gone through apart; a row per scope and range says how many islands lie before it and
+    whether its first goes on with the last one before.
+    """
+    columns = [*rows.columns, name]
+    key = [*scope, value]
+    names = [*rows.columns, "_range", "_island"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = [], 0
+        here, last, at, island = TaskContext.get().partitionId(), None, 0.0, 0
         for b in batches:
-            for at in range(b.num_rows):
-                p = b.slice(at, 1).to_pylist()[0]
-                for c in page_contexts(p["lines"], p["targets"], width, height):
-                    out.append({"doc_id": p["doc_id"], "page_no": p["page_no"]} | c)
-                    held += 4000 + 3 * len(c["plain_text"])
-                    if held > HELD_BYTES:
-                        yield pa.RecordBatch.from_pylist(out, kinds)
-                        out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_pylist(out, kinds)
-
-    kinds = to_arrow_schema(_parse_datatype_string(_CONTEXT))
-    return rows.mapInArrow(run, _CONTEXT)
-
-
-def line_orientation(box: tuple) -> tuple[str, float]:
-    """(orientation, confidence) of a line; a side counts as 1 at least."""
-    w, h = box[2] - box[0], box[3] - box[1]
-    kind, ratio = ("vertical", h / max(w, 1.0)) if h >= w else ("horizontal", w / max(h, 1.0))
-    return kind, min(1.0, 0.45 + (ratio - 1.0) / 3.0)
-
-
-def page_contexts(lined: list[dict], targets: list[dict], width: float, height: float) -> Iterator[dict]:
-    """The contexts of a page's targets. lined: line_no, raw_text, x0..y1 in line order."""
-    lined = [x for x in lined if x["raw_text"] and all(math.isfinite(x[c]) for c in ("x0", "y0", "x1", "y1")) and x["x1"] > x["x0"] and x["y1"] > x["y0"]]
-    boxes = [(x["x0"], x["y0"], x["x1"], x["y1"]) for x in lined]
-    place = {x["line_no"]: i for i, x in enumerate(lined)}
-    middle = [((b[0] + b[2]) / 2, (b[1] + b[3]) / 2) for b in boxes]
-    kinds = [line_orientation(b) for b in boxes]
-    known: dict[tuple, list[list[int]]] = {}
-    named = lambda b: dict(zip(("x0", "y0", "x1", "y1"), b))
-    share = lambda b: named(max(0.0, min(1.0, v / max(1.0, s))) for v, s in zip(b, (width, height, width, height)))
-
-    def union(some: list[int]) -> tuple:
-        return tuple(f(boxes[i][k] for i in some) for k, f in enumerate((min, min, max, max)))
-
-    def one(t: dict) -> dict:
-        mode, goal = t["mode"], place.get(t["line_no"])
-        if mode not in MODES:
-            raise ValueError("layout_mode must be auto, horizontal or vertical")
-        if goal is None or not 0 <= t["start"] < t["end"] <= len(lined[goal]["raw_text"]):
-            raise ValueError("a target needs a line with a box and a range inside its text")
-        kind, sure = kinds[goal] if mode == "auto" else (mode, 1.0)
-        from_goal = lambda p: math.hypot(p[0] - middle[goal][0], p[1] - middle[goal][1])
-        fitting = [i for i in range(len(lined)) if mode != "auto" or kinds[i][0] == kind]
-        whole = len(fitting) <= MOST_LINES
-        if not whole:
-            fitting = [goal, *sorted((i for i in fitting if i != goal), key=lambda i: from_goal(middle[i]))[: MOST_LINES - 1]]
-        found = known.get((mode, kind)) if whole else None
-        if found is None:
-            groups: dict[int, list[int]] = {}
-            for i, label in zip(fitting, blocks(np.array([boxes[i] for i in fitting]), kind == "vertical").tolist()):
-                groups.setdefault(label, []).append(i)
-            found = list(groups.values())
-            if whole:
-                known[mode, kind] = found
-        own = next(g for g in found if goal in g)
-        pool = [{"id": f"block-{k}", "line_count": len(g), "contains_target": g is own, "box": union(g)} for k, g in enumerate(found, 1)]
-        pool.sort(key=lambda c: (not c["contains_target"], from_goal(((c["box"][0] + c["box"][2]) / 2, (c["box"][1] + c["box"][3]) / 2))))
-        candidates = [c | {"box": named(c["box"]), "normalised_box": share(c["box"])} for c in pool[:MOST_BLOCKS]]
-        o = t["override"]
-        if o and all(math.isfinite(v) for v in o) and o[2] > o[0] and o[3] > o[1]:
-            own = [i for i in fitting if i == goal or (o[0] <= middle[i][0] <= o[2] and o[1] <= middle[i][1] <= o[3])]
-        order = sorted(own, key=lambda i: (-middle[i][0], middle[i][1]) if kind == "vertical" else (middle[i][1], middle[i][0]))
-        at = order.index(goal)
-        reason = "orientation_uncertain" if mode == "auto" and sure < SURE else "block_uncertain" if len(own) == 1 else None
-        chosen = [goal] if reason else order[max(0, at - 1) : at + 2]
-        text = lambda k: lined[order[k]]["raw_text"] if not reason and 0 <= k < len(order) else None
-        items = [{"line_no": lined[i]["line_no"], "role": "target" if i == goal else "context", "text": lined[i]["raw_text"], "box": named(boxes[i]), "normalised_box": share(boxes[i])} for i in chosen]
-        return {
-            "line_no": t["line_no"], "start": t["start"], "end": t["end"], "status": "uncertain" if reason else "ready", "reason": reason, "orientation": kind, "confidence": round(min(sure, UNSURE_MOST if reason else SURE_MOST), 4),
-            "block": min(lined[i]["line_no"] for i in own), "previous": text(at - 1), "next": text(at + 1), "plain_text": "\n".join(i["text"] for i in items), "box": named(union(chosen)), "normalised_box": share(union(chosen)),
-            "block_box": named(union(own)), "normalised_block_box": share(union(own)), "items": items, "n_blocks": len(found), "candidate_blocks": candidates,
-        }
-
-    return map(one, targets)
+            out = []
+            for k, v in zip(zip(*(b.column(c).to_pylist() for c in scope)), b.column(value).to_pylist()):
+                island = 0 if k != last else island + (v - at > gap)
+                last, at = k, v
+                out.append(island)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([here] * len(out), pa.int32()), pa.array(out, pa.int64())], names)
+
+    schema = ", ".join([f"`{n}` {k}" for n, k in rows.dtypes] + ["_range int", "_island long"])
+    cut = written(rows.repartitionByRange(*key, F.monotonically_increasing_id()).sortWithinPartitions(*key).mapInArrow(run, schema), "islands")
+    ranges = cut.groupBy(*scope, "_range").agg((F.max("_island") + 1).alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    w = Window.partitionBy(*scope).orderBy("_range")
+    goes_on = F.coalesce((F.col("_low") - F.max("_high").over(w.rowsBetween(Window.unboundedPreceding, -1)) <= gap).cast("long"), F.lit(0))
+    ranges = ranges.withColumn("_on", goes_on)
+    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("_on").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ranges = ranges.select(*scope, "_range", before.alias("_before"))
+    return cut.join(ranges, [*scope, "_range"]).withColumn(name, F.col("_before") + F.col("_island")).select(*columns)
 
 
 def greedy_merge(found: DataFrame, keys: list[str], near: float = 8.0, overlap: float = 0.8) -> DataFrame:
     """Near-duplicate occurrences merged one after the other into the first representative that fits; order matters.
 
     found: keys, ordinal, source, x0, y0, x1, y1. A text-layer row replaces a representative that is not one. Returns
-    the representatives with the sorted union of their sources.
+    the representatives with the sorted union of their sources. Null keys, ordinals or boxes take no part.
+
+    Rows whose middles lie further apart than near never meet, so each key is cut into islands first, by x and then by
+    y; an island is gone through in order by one task, which holds its representatives in a grid and looks only at the
+    cells around a row. Text layers only ever move a representative to the box of another row of its island.
     """
-    from functools import partial
-
-    return found.groupBy(*keys).applyInPandas(partial(_merge, keys=keys, near=near, overlap=overlap), ", ".join(f"{k} {found.schema[k].dataType.simpleString()}" for k in keys) + ", ordinal long, sources string, n long")
-
-
-def _merge(group: pd.DataFrame, keys: list[str], near: float, overlap: float) -> pd.DataFrame:
-    kept: list[dict] = []
-    for row in group.sort_values("ordinal").to_dict("records"):
-        for rep in kept:
-            apart = abs((rep["x0"] + rep["x1"] - row["x0"] - row["x1"]) / 2) + abs((rep["y0"] + rep["y1"] - row["y0"] - row["y1"]) / 2)
-            shared = max(0.0, min(rep["y1"], row["y1"]) - max(rep["y0"], row["y0"]))
-            shorter = max(min(rep["y1"] - rep["y0"], row["y1"] - row["y0"]), 1e-9)
-            if apart <= near and shared / shorter >= overlap:
-                rep["sources"].add(row["source"])
-                rep["n"] += 1
-                if row["source"].endswith("text_layer") and not rep["source"].endswith("text_layer"):
-                    rep.update({k: row[k] for k in ("ordinal", "source", "x0", "y0", "x1", "y1")})
-                break
-        else:
-            kept.append(row | {"sources": {row["source"]}, "n": 1})
-    return pd.DataFrame([{k: r[k] for k in keys} | {"ordinal": r["ordinal"], "sources": ",".join(sorted(r["sources"])), "n": r["n"]} for r in kept])
+    used = found.select(*keys, "ordinal", "source", *_SIDES).dropna()
+    used = used.withColumns({"_mx": (F.col("x0") + F.col("x1")) / 2, "_my": (F.col("y0") + F.col("y1")) / 2})
+    island = _islands(_islands(used, keys, "_mx", near, "_ix"), [*keys, "_ix"], "_my", near, "_iy")
+    scope = [*keys, "_ix", "_iy"]
+    kinds = ", ".join(f"`{k}` {found.schema[k].dataType.simpleString()}" for k in keys) + ", ordinal long, sources string, n long"
+    target = to_arrow_schema(_parse_datatype_string(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, grid, kept = None, {}, []
+
+        def out() -> pa.RecordBatch:
+            rows = [dict(zip(keys, now)) | {"ordinal": r["ordinal"], "sources": ",".join(sorted(r["sources"])), "n": r["n"]} for r in kept]
+            return pa.RecordBatch.from_pylist(rows, target)
+
+        for b in batches:
+            for row in b.to_pylist():
+                key = tuple(row[k] for k in scope)
+                if key != now:
+                    if kept:
+                        yield out()
+                    now, grid, kept = key, {}, []
+                _merge(row, grid, kept, near, overlap)
+        if kept:
+            yield out()
+
+    return island.repartition(*scope).sortWithinPartitions(*scope, "ordinal").mapInArrow(run, kinds)
+
+
+def _merge(row: dict, grid: dict, kept: list[dict], near: float, overlap: float) -> None:
+    """Put one row to the first representative that fits, or among them; grid: cell of near by near, its representatives' places."""
+    cell = lambda r: (math.floor(r["_mx"] / near), math.floor(r["_my"] / near))
+    x, y = cell(row)
+    for k in sorted(k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for k in grid.get((x + dx, y + dy), ())):
+        rep = kept[k]
+        shared = max(0.0, min(rep["y1"], row["y1"]) - max(rep["y0"], row["y0"]))
+        shorter = max(min(rep["y1"] - rep["y0"], row["y1"] - row["y0"]), 1e-9)
+        if abs(rep["_mx"] - row["_mx"]) + abs(rep["_my"] - row["_my"]) <= near and shared / shorter >= overlap:
+            rep["sources"].add(row["source"])
+            rep["n"] += 1
+            if row["source"].endswith("text_layer") and not rep["source"].endswith("text_layer"):
+                grid[cell(rep)].discard(k)
+                rep.update({c: row[c] for c in ("ordinal", "source", "_mx", "_my", *_SIDES)})
+                grid.setdefault((x, y), set()).add(k)
+            return
+    grid.setdefault((x, y), set()).add(len(kept))
+    kept.append(row | {"sources": {row["source"]}, "n": 1})

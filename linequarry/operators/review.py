@@ -13,13 +13,13 @@ from ..sources.corpus import lines, with_boxes
 BLOCK = 4096
 
 
-def numbered_in(rows: DataFrame, scope: str, name: str, within: str, group: str = "doc_id") -> DataFrame:
+def numbered_in(rows: DataFrame, scope: str, name: str, within: str, group: str = "doc_id", counts: DataFrame | None = None) -> DataFrame:
     """Numbers from 1 over a scope in order of its groups, given a row's number within its group.
 
     No task sorts a scope's rows: groups are counted, counts are added up over blocks of groups and inside a block, and
-    the sum goes back to the rows. rows: scope, group (whole number), within.
+    the sum goes back to the rows. rows: scope, group (whole number), within; counts: scope, group, _n where known.
     """
-    counts = rows.groupBy(scope, group).agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col(group) / BLOCK))
+    counts = (rows.groupBy(scope, group).agg(F.count("*").alias("_n")) if counts is None else counts).withColumn("_block", F.floor(F.col(group) / BLOCK))
     past = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = counts.groupBy(scope, "_block").agg(F.sum("_n").alias("_n")).select(scope, "_block", past(Window.partitionBy(scope).orderBy("_block")).alias("_before"))
     inside = counts.select(scope, group, "_block", past(Window.partitionBy(scope, "_block").orderBy(group)).alias("_inside"))
@@ -27,18 +27,28 @@ def numbered_in(rows: DataFrame, scope: str, name: str, within: str, group: str
     return rows.join(offsets, [scope, group]).withColumn(name, F.col("_offset") + F.col(within)).drop("_offset")
 
 
-def occurrences(docs: DataFrame, term: str, radius: int = 15) -> DataFrame:
-    """Located matches of a literal term with context, numbered within page, document and task. No window spans a task's rows."""
+def matches(docs: DataFrame, term: str, radius: int = 15) -> DataFrame:
+    """Located matches of a literal term with context, without numbers: one pass over the text."""
     lined = with_boxes(lines(docs))
     hits = lined.withColumn("start", F.explode(match_starts(F.col("raw_text"), term))).withColumn("end", F.col("start") + len(term))
-    hits = hits.withColumns(context(F.col("raw_text"), F.col("start"), F.col("end"), radius))
-    hits = hits.withColumns(
+    return hits.withColumns(context(F.col("raw_text"), F.col("start"), F.col("end"), radius))
+
+
+def occurrences(docs: DataFrame, term: str, radius: int = 15) -> DataFrame:
+    """Matches numbered within page, document and task. No window spans a task's rows.
+
+    What documents hold is counted on whole texts (a term without line feed matches in them as often as in their
+    lines), so the lines, boxes and contexts are made once, for the rows themselves.
+    """
+    hits = matches(docs, term, radius).withColumns(
         {
             "page_occurrence_index": F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("line_no", "start")),
             "document_occurrence_index": F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "start")),
         }
     )
-    return numbered_in(hits, "task_id", "global_sequence", "document_occurrence_index")
+    held = F.size(match_starts(F.coalesce("text", F.lit("")), term)) if "\n" not in term else F.lit(0)
+    counts = docs.select(F.col("source").alias("task_id"), "doc_id", held.alias("_n")).where("_n > 0").groupBy("task_id", "doc_id").agg(F.sum("_n").alias("_n"))
+    return numbered_in(hits, "task_id", "global_sequence", "document_occurrence_index", counts=counts)
 
 
 def overlay(found: DataFrame, reviewed: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,10 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .numbering import counted_out, numbered
+
 
 def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
@@ -20,31 +25,39 @@ def newest(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> Dat
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
 
 
-def append_numbered(old: DataFrame | None, new: DataFrame, business_key: list[str], order: list[Column], scope: str = "task_id", number: str = "global_sequence") -> DataFrame:
+def append_numbered(old: DataFrame | None, new: DataFrame, business_key: list[str], order: list[str], scope: str = "task_id", number: str = "global_sequence") -> DataFrame:
     """old and those of new whose business key isn't there, numbered on from the scope's highest number; ignored rows use none."""
     fresh = new.dropDuplicates(business_key)
     if old is not None:
-        fresh = fresh.join(old, business_key, "left_anti").join(old.groupBy(scope).agg(F.max(number).alias("_top")), scope, "left")
-    else:
-        fresh = fresh.withColumn("_top", F.lit(0))
-    place = F.row_number().over(Window.partitionBy(scope).orderBy(*order))
-    fresh = fresh.withColumn(number, F.coalesce("_top", F.lit(0)) + place).drop("_top")
-    return fresh if old is None else old.unionByName(fresh)
-
-
-def fill_gaps(rows: DataFrame, scope: str, number: str, order: list[Column]) -> DataFrame:
-    """Keep the valid numbers of a scope (1 to its row count, first holder) and give the free ones, in order, to the other rows."""
-    w = Window.partitionBy(scope)
-    counted = rows.withColumn("_n", F.count("*").over(w))
-    valid = F.col(number).between(1, F.col("_n")) & (F.row_number().over(Window.partitionBy(scope, number).orderBy(*order)) == 1)
-    counted = counted.withColumn("_keep", F.when(F.coalesce(valid, F.lit(False)), F.col(number)))
-    kept = counted.where("_keep is not null")
+        fresh = fresh.join(old, business_key, "left_anti")
+    fresh = numbered(fresh, [scope], order, number)
+    if old is None:
+        return fresh
+    top = old.groupBy(scope).agg(F.max(number).alias("_top"))
+    fresh = fresh.join(top, scope, "left").withColumn(number, F.coalesce("_top", F.lit(0)) + F.col(number)).drop("_top")
+    return old.unionByName(fresh)
+
+
+def added(before: DataFrame | None, after: DataFrame) -> int:
+    """How many rows an append has added."""
+    return after.count() - (before.count() if before is not None else 0)
+
+
+def fill_gaps(rows: DataFrame, scope: str, number: str, order: list[str]) -> DataFrame:
+    """Keep the valid numbers of a scope (1 to its row count, first holder) and give the free ones, in order, to the other rows.
+
+    order names columns that tell the rows of a scope apart.
+    """
     sizes = rows.groupBy(scope).agg(F.count("*").alias("_n"))
-    free = sizes.select(scope, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_free")).join(kept.select(scope, F.col("_keep").alias("_free")), [scope, "_free"], "left_anti")
-    free = free.withColumn("_r", F.row_number().over(Window.partitionBy(scope).orderBy("_free")))
-    rest = counted.where("_keep is null").withColumn("_r", F.row_number().over(Window.partitionBy(scope).orderBy(*order)))
-    given = rest.join(free, [scope, "_r"]).withColumn(number, F.col("_free").cast("int"))
-    return kept.withColumn(number, F.col("_keep").cast("int")).select(*rows.columns).unionByName(given.select(*rows.columns))
+    counted = rows.join(sizes, scope)
+    held = counted.where(F.col(number).between(1, F.col("_n"))).groupBy(scope, number).agg(F.min(F.struct(*order)).alias("_first"))
+    mine = F.struct(*order)
+    kept = rows.withColumn("_first", mine).join(held, [scope, number, "_first"], "left_semi").drop("_first")
+    rest = rows.withColumn("_first", mine).join(held.select(scope, "_first"), [scope, "_first"], "left_anti").drop("_first")
+    free = counted_out(sizes, [scope], "_n", "_free").join(held.select(scope, F.col(number).cast("long").alias("_free")), [scope, "_free"], "left_anti")
+    free = numbered(free, [scope], ["_free"], "_r")
+    given = numbered(rest, [scope], order, "_r").join(free, [scope, "_r"]).withColumn(number, F.col("_free").cast("int"))
+    return kept.withColumn(number, F.col(number).cast("int")).select(*rows.columns).unionByName(given.select(*rows.columns))
 
 
 def latest_reviews(log: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -77,7 +90,8 @@ def apply_decisions(current: DataFrame, changes: DataFrame, known: DataFrame, le
     if wrong.m or wrong.d:
         raise BatchRefused(f"{wrong.m} missing, {wrong.d} named twice")
     after = current.join(changes, key, "left_anti").unionByName(changes.select(key, "decision"))
-    row = current.sparkSession.createDataFrame([(operation_id, digest)], "operation_id string, request_hash string").withColumn("created_at", F.current_timestamp())
+    now = current.sparkSession.sql("SELECT current_timestamp() AS t").first().t  # taken once: the ledger says the same whenever it is read
+    row = current.sparkSession.createDataFrame([(operation_id, digest, now)], "operation_id string, request_hash string, created_at timestamp")
     grown = ledger.unionByName(row)
     return after, grown.orderBy(F.desc("created_at"), F.desc("operation_id")).limit(keep)
 
@@ -104,8 +118,8 @@ def page_violations(lined: DataFrame, longest: int = 600) -> DataFrame:
 def appended_events(known: DataFrame, fresh: DataFrame, order: str) -> DataFrame:
     """fresh numbered on from each task's last sequence."""
     top = known.groupBy("task_id").agg(F.max("sequence").alias("_top"))
-    place = F.row_number().over(Window.partitionBy("task_id").orderBy(order))
-    return fresh.join(top, "task_id", "left").select("task_id", (F.coalesce("_top", F.lit(0)) + place).cast("long").alias("sequence"), "kind")
+    placed = numbered(fresh, ["task_id"], [order], "_place")
+    return placed.join(top, "task_id", "left").select("task_id", (F.coalesce("_top", F.lit(0)) + F.col("_place")).cast("long").alias("sequence"), "kind")
 
 
 def replaced(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame:
@@ -113,10 +127,21 @@ def replaced(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame:
     return new.unionByName(old.join(new.select(*scope).distinct(), scope, "left_anti"))
 
 
+class AlreadyCommitted(ValueError):
+    """A key that must be new is in the manifest."""
+
+
+class Moved(ValueError):
+    """The manifest went on since the state a batch was worked out from."""
+
+
 class Committed:
-    """Batches of several tables that appear all at once: data under batch folders, then one manifest entry.
+    """Batches of several tables that appear all at once: data under folders of one attempt each, then one manifest entry.
 
-    Readers see only the batches of the manifest; a batch that was never committed is an orphan.
+    An entry is created under the next free number, which the file system gives to one writer only; what names it is
+    the key of the batch, and of several entries with one key the first counts. Readers see only the folders that the
+    manifest names: an attempt that died before its entry is an orphan, one that died in it left an empty entry, which
+    nobody reads.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -133,49 +158,109 @@ class Committed:
     def _fs(self):
         return self._path(self.root).getFileSystem(self._conf())
 
-    def _entries(self) -> dict[int, str]:
-        """Batches by their number; the number is the manifest file's name."""
-        found = {}
+    def _entries(self) -> tuple[int, dict[str, dict]]:
+        """The next free number, and the manifest's entries by key in order."""
+        found, top = {}, -1
         for f in self._fs().listStatus(self._path(f"{self.root}/manifest")):
             name = f.getPath().getName()
-            if name.isdigit() and f.getLen():
+            if not name.isdigit():
+                continue
+            top = max(top, int(name))
+            if f.getLen():
                 stream = self._fs().open(f.getPath())
                 try:
-                    found[int(name)] = json.loads(bytes(stream.readAllBytes()).decode("utf-8"))["batch"]
+                    found[int(name)] = json.loads(bytes(stream.readAllBytes()).decode("utf-8"))
                 finally:
                     stream.close()
-        return dict(sorted(found.items()))
+        by_key: dict[str, dict] = {}
+        for _, entry in sorted(found.items()):
+            by_key.setdefault(entry["batch"], entry)
+        return top + 1, by_key
 
     def batches(self) -> list[str]:
-        return list(self._entries().values())
+        return list(self._entries()[1])
 
-    def commit(self, tables: dict[str, DataFrame], key: str | None = None) -> str:
-        """Write all tables and make them visible; a key that is committed already is left as it is.
+    def commit(self, tables: dict[str, DataFrame], key: str | None = None, new: bool = False, between=None, seen: int | None = None) -> str:
+        """Write all tables and make them visible; a key that is committed already is left as it is, or refused if it must be new.
 
-        The entry is written aside and takes the next free number by a rename, which fails where another writer was
-        first; then the number after it is tried.
+        between: called when the data is there and the entry is not (where a writer may be lost). seen: the next
+        number when the state was read that the tables were worked out from; Moved if another has it by now.
         """
         batch = key or uuid.uuid4().hex
         if batch in self.batches():
+            if new:
+                raise AlreadyCommitted(batch)
             return batch
+        attempt = f"{batch}-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
-        fs, aside = self._fs(), self._path(f"{self.root}/.{uuid.uuid4().hex}.tmp")
-        stream = fs.create(aside)
-        stream.write(bytearray(json.dumps({"batch": batch, "tables": sorted(tables)}).encode("utf-8")))
-        stream.close()
+            df.write.parquet(f"{self.root}/{name}/batch={attempt}")
+        if between is not None:
+            between()
+        entry = json.dumps({"batch": batch, "attempt": attempt, "tables": sorted(tables)}).encode("utf-8")
         while True:
-            known = self._entries()
-            if batch in known.values():  # another writer committed the same key meanwhile
-                fs.delete(aside, False)
-                return batch
-            number = max(known, default=-1) + 1
-            target = self._path(f"{self.root}/manifest/{number:012d}")
-            if not fs.exists(target) and fs.rename(aside, target):
+            number, known = self._entries()
+            if batch in known:  # another writer committed the same key meanwhile
+                if new:
+                    raise AlreadyCommitted(batch)
                 return batch
+            if seen is not None and number != seen:
+                raise Moved(batch)
+            try:
+                stream = self._fs().create(self._path(f"{self.root}/manifest/{number:012d}"), False)
+            except Py4JJavaError as e:
+                if not self._fs().exists(self._path(f"{self.root}/manifest/{number:012d}")):
+                    raise e
+                continue  # the number went to another writer
+            try:
+                stream.write(bytearray(entry))
+            finally:
+                stream.close()
+            if self._entries()[1][batch]["attempt"] != attempt and new:
+                raise AlreadyCommitted(batch)
+            return batch
 
     def read(self, name: str, batches: list[str] | None = None) -> DataFrame | None:
         """A table as of the manifest, or as of a list of batches taken earlier (a snapshot)."""
-        chosen = self.batches() if batches is None else batches
-        paths = [p for b in chosen if self._fs().exists(self._path(p := f"{self.root}/{name}/batch={b}"))]
+        known = self._entries()[1]
+        chosen = [known[b] for b in (known if batches is None else batches)]
+        paths = [f"{self.root}/{name}/batch={e['attempt']}" for e in chosen if name in e["tables"]]
         return self.spark.read.parquet(*paths) if paths else None
+
+    def pin(self) -> Snapshot:
+        """The state now: later commits do not show in it."""
+        number, known = self._entries()
+        return Snapshot(self, list(known), number)
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """One state of a store."""
+
+    store: Committed
+    batches: list[str]
+    number: int = 0
+
+    def read(self, name: str) -> DataFrame | None:
+        return self.store.read(name, self.batches)
+
+    def totals(self, name: str, pages: list[str]) -> dict[str, int]:
+        """Rows of a table and its distinct pages."""
+        df = self.read(name)
+        if df is None:
+            return {"total": 0, "pages": 0}
+        row = df.agg(F.count("*").alias("n"), F.count_distinct(F.struct(*pages)).alias("p")).first()
+        return {"total": row.n, "pages": row.p}
+
+    def in_batches(self, name: str, order: list[str], size: int = 500) -> Iterator[list]:
+        """A table's rows in order, so many at a time: the sort runs on the cluster, the driver holds one batch and one partition."""
+        df = self.read(name)
+        if df is None:
+            return
+        held = []
+        for row in df.orderBy(*order).toLocalIterator(prefetchPartitions=True):
+            held.append(row)
+            if len(held) == size:
+                yield held
+                held = []
+        if held:
+            yield held

@@ -135,14 +135,15 @@ def e_page_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{SQL_FOUND} SELECT task_id, count(*) AS total, count(*) FILTER (decision = 'confirmed') AS confirmed, count(*) FILTER (decision = 'needs_review') AS needs_review,
 count(*) FILTER (decision = 'rejected') AS rejected, count(*) FILTER (decision IS NULL) AS unreviewed FROM found GROUP BY 1""")
 def f_review_summary(spark: SparkSession, d: str) -> DataFrame:
-    return R.review_summary(_found(spark, d), ["task_id"])
+    found = R.overlay(R.matches(table(spark, d, "documents"), TERM), reviews(table(spark, d, "labels")), ["doc_id"])
+    return R.review_summary(found, ["task_id"])
 
 
 @query(f"""WITH {SQL_HITS}, w AS (SELECT source AS task_id, count(*) AS documents, sum(n_chars)::BIGINT AS characters FROM documents GROUP BY 1),
 h AS (SELECT task_id, count(*) AS occurrences, count(DISTINCT doc_id) AS documents_hit, count(DISTINCT (doc_id, page_no)) AS pages_hit, max(page_no) AS last_page, count(*) FILTER (confidence < 0.7::DOUBLE) AS unsure FROM hits GROUP BY 1)
 SELECT w.task_id, documents, characters, coalesce(occurrences, 0) AS occurrences, coalesce(documents_hit, 0) AS documents_hit, coalesce(pages_hit, 0) AS pages_hit, last_page, coalesce(unsure, 0) AS unsure FROM w LEFT JOIN h ON w.task_id = h.task_id""")
 def f_report_stats(spark: SparkSession, d: str) -> DataFrame:
-    return R.report_stats(table(spark, d, "documents"), _hits(spark, d))
+    return R.report_stats(table(spark, d, "documents"), R.matches(table(spark, d, "documents"), TERM))
 
 
 @query("""SELECT l_orderkey % 1000 AS path, max(l_linenumber) AS page_count, sum(l_quantity)::BIGINT AS found, count(*) FILTER (l_returnflag = 'R') AS failed, min(l_shipdate) AS started, max(l_shipdate) AS finished FROM lineitem GROUP BY 1""")
@@ -229,7 +230,7 @@ f AS (SELECT *, CASE WHEN num BETWEEN 1 AND n AND k = 1 THEN num END AS keep FRO
 SELECT task_id, id, keep AS num FROM f WHERE keep IS NOT NULL UNION ALL SELECT rest.task_id, id, v FROM rest JOIN free ON free.task_id = rest.task_id AND free.r = rest.r""")
 def g_backfill_gaps(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_orderkey") % 7 + 1).cast("int")).alias("num"))
-    return T.fill_gaps(rows, "task_id", "num", [F.col("id")])
+    return T.fill_gaps(rows, "task_id", "num", ["id"])
 
 
 @query("""SELECT conv_id, turn, previous, next, coalesce(np, -1) AS next_pending FROM (SELECT conv_id, turn, lag(text) OVER w AS previous, lead(text) OVER w AS next, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS np FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""")

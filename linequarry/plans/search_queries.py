@@ -137,7 +137,7 @@ def l_backfill_occurrences(spark: SparkSession, d: str) -> DataFrame:
     """Every match, where those of other than odd lines of every fifth document have their rows already."""
     from ..operators.store import append_numbered
 
-    key, order = ["task_id", "doc_id", "line_no", "start"], [F.col("doc_id"), F.col("line_no"), F.col("start")]
+    key, order = ["task_id", "doc_id", "line_no", "start"], ["doc_id", "line_no", "start"]
     found = R.occurrences(table(spark, d, "documents"), "ring").select(*key)
     old = append_numbered(None, found.where("doc_id % 5 <> 0 or line_no % 2 = 0"), key, order)
     return append_numbered(old, found, key, order)

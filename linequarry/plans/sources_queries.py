@@ -107,8 +107,8 @@ SELECT task_id, bkey, global_sequence FROM old UNION ALL
 SELECT new.task_id, bkey, coalesce(top, 0) + row_number() OVER (PARTITION BY new.task_id ORDER BY bkey) FROM new LEFT JOIN m ON new.task_id = m.task_id""")
 def b_insert_ignore_sequence(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("bkey"))
-    old = T.append_numbered(None, orders.where("bkey % 3 = 0"), ["task_id", "bkey"], [F.col("bkey")])
-    return T.append_numbered(old, orders.where("bkey % 2 = 0"), ["task_id", "bkey"], [F.col("bkey")])
+    old = T.append_numbered(None, orders.where("bkey % 3 = 0"), ["task_id", "bkey"], ["bkey"])
+    return T.append_numbered(old, orders.where("bkey % 2 = 0"), ["task_id", "bkey"], ["bkey"])
 
 
 @query("""WITH c AS (SELECT user_id AS task_id, event_id % 50 AS occurrence_id, event_id AS op, event_id % 3 <> 0 AS sets_decision, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS decision, event_id % 2 = 0 AS sets_note, 'n' || event_id AS note FROM events)

@@ -40,8 +40,8 @@ def test_layers_best_hit_and_unmapped(spark):
 
 
 def test_numbers_are_never_used_up_by_duplicates(spark):
-    first = T.append_numbered(None, spark.createDataFrame([("t", "p5"), ("t", "p5")], "task_id string, k string"), ["task_id", "k"], [F.col("k")])
-    both = T.append_numbered(first, spark.createDataFrame([("t", "p5"), ("t", "p1")], "task_id string, k string"), ["task_id", "k"], [F.col("k")])
+    first = T.append_numbered(None, spark.createDataFrame([("t", "p5"), ("t", "p5")], "task_id string, k string"), ["task_id", "k"], ["k"])
+    both = T.append_numbered(first, spark.createDataFrame([("t", "p5"), ("t", "p1")], "task_id string, k string"), ["task_id", "k"], ["k"])
     assert sorted((r.k, r.global_sequence) for r in both.collect()) == [("p1", 2), ("p5", 1)]
 
 
@@ -50,7 +50,7 @@ def test_gaps_are_filled_whatever_the_order(spark):
     wanted = {0: 2, 1: 3, 2: 4, 3: 5, 4: 6, 5: 1}
     for seed in range(2):
         random.Random(seed).shuffle(rows)
-        got = T.fill_gaps(spark.createDataFrame(rows, "task_id string, id int, num int"), "task_id", "num", [F.col("id")]).collect()
+        got = T.fill_gaps(spark.createDataFrame(rows, "task_id string, id int, num int"), "task_id", "num", ["id"]).collect()
         assert {r.id: r.num for r in got} == wanted
 
 
