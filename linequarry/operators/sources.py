@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,10 +27,12 @@ def file_format(path):
     return F.try_element_at(known, suffix(path))
 
 
-def scan_folder(spark: SparkSession, folder: str, include: Iterable[str] | None = None) -> DataFrame:
-    """Files of the known formats below a folder, any depth: path, length, modificationTime, content; in path order when collected sorted."""
+def scan_folder(spark: SparkSession, folder: str, include: Iterable[str] | None = None, skip: Iterable[str] = ()) -> DataFrame:
+    """Files of the known formats below a folder, any depth, but not below those in skip (workspace, output): path, length, modificationTime, content; in path order when collected sorted."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     found = found.where(file_format(F.col("path")).isNotNull())
+    for s in skip:
+        found = found.where(~F.startswith(F.regexp_replace("path", "^file:/+", "/"), F.lit(re.sub("^file:/+", "/", str(s)).rstrip("/") + "/")))
     return found if include is None else found.join(spark.createDataFrame([(p,) for p in include], "path string"), "path", "left_semi")
 
 
@@ -47,20 +49,6 @@ def frozen_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(paths)), "ordinal int, path string")
 
 
-def walk(folder: str) -> list[tuple[str, int, float, int, int]]:
-    """(relative path, bytes, mtime, device, inode) of plain files, links left out, case-folded order; driver side."""
-    out, todo = [], [folder]
-    while todo:
-        with os.scandir(todo.pop()) as entries:
-            some = sorted(entries, key=lambda e: e.name.casefold(), reverse=True)
-        todo += [e.path for e in some if e.is_dir(follow_symlinks=False)]
-        for e in reversed(some):
-            if e.is_file(follow_symlinks=False):
-                s = e.stat(follow_symlinks=False)
-                out.append((os.path.relpath(e.path, folder), s.st_size, s.st_mtime, s.st_dev, s.st_ino))
-    return out
-
-
 def page_ordinals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages (task_id, page) by place in the task, and those already processed (all but every seventh document)."""
     placed = docs.select("doc_id", F.col("source").alias("task_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page"))
