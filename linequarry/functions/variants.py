@@ -6,9 +6,10 @@ table, also for rows that change a text's length.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("simplified", "traditional", "taiwan", "hong_kong")
@@ -117,22 +118,78 @@ def convert_column(text: Column, table: VariantTable = LATIN) -> Column:
     return out
 
 
+def by_character(text: Column, chars: dict[str, str]) -> Column:
+    """Single characters converted all at once; what becomes several characters waits as a private one."""
+    long = {c: chr(0xF0000 + n) for n, c in enumerate(sorted(c for c in chars if len(chars[c]) != 1))}
+    out = F.translate(text, "".join(chars), "".join(long.get(c, chars[c]) for c in chars)) if chars else text
+    for c, mark in long.items():
+        out = F.replace(out, F.lit(mark), F.lit(chars[c]))
+    return out
+
+
+def _kind_of(table: VariantTable, kind: str) -> tuple[dict[str, str], dict[str, str]]:
+    """Phrases and characters of a regional kind."""
+    return table.phrases.get(kind, table.phrases.get("traditional", {})), table.to_kind.get(kind, table.to_kind.get("traditional", {}))
+
+
 def form_column(text: Column, kind: str, table: VariantTable = LATIN) -> Column:
-    """One form of a column. The regional ones start from the simplified form: phrases first, the longest before
-    shorter ones, then single characters; a phrase that was converted is not converted again."""
+    """One form of a column. The regional ones start from the simplified form: at each place the longest phrase that
+    fits, then single characters. The text is cut into phrases and what lies between them in one pass."""
     simple = convert_column(text, table)
     if kind == "simplified":
         return simple
-    phrases, chars = table.phrases.get(kind, table.phrases.get("traditional", {})), table.to_kind.get(kind, table.to_kind.get("traditional", {}))
-    held = {p: chr(0xF0000 + n) for n, p in enumerate(sorted(phrases, key=lambda p: (-len(p), p)))}  # private characters stand for converted phrases
-    out = simple
-    for p, mark in held.items():
-        out = F.replace(out, F.lit(p), F.lit(mark))
-    single = {a: b for a, b in chars.items() if len(a) == len(b) == 1}
-    out = F.translate(out, "".join(single), "".join(single.values())) if single else out
-    for p, mark in held.items():
-        out = F.replace(out, F.lit(mark), F.lit(phrases[p]))
-    return out
+    phrases, chars = _kind_of(table, kind)
+    phrases = {p: v for p, v in phrases.items() if len(p) > 1}
+    if not phrases:
+        return by_character(simple, chars)
+    ways = "|".join(re.sub(r"([^\w\s])", r"\\\1", p) for p in sorted(phrases, key=lambda p: (-len(p), p)))
+    pieces = F.regexp_extract_all(simple, F.lit(f"(?s)(?:{ways})|(?:(?!{ways}).)+"), F.lit(0))
+    told = F.create_map(*[F.lit(x) for p in phrases.items() for x in p])
+    whole = F.array_join(F.transform(pieces, lambda t: F.when(t.isin(*phrases), F.element_at(told, t)).otherwise(by_character(t, chars))), "")
+    held = F.lit(False)
+    for p in phrases:
+        held = held | F.contains(simple, F.lit(p))
+    return F.when(held, whole).otherwise(by_character(simple, chars))
+
+
+def same_family(a: Column, b: Column, table: VariantTable = LATIN) -> Column:
+    """Whether two characters differ and have one simplified form."""
+    return (a != b) & (convert_column(a, table) == convert_column(b, table))
+
+
+def phrase_evidence(text: Column, table: VariantTable = LATIN) -> Column:
+    """Regional kind -> (phrase_form, character_form), for the kinds in which the whole text becomes something else than
+    its characters one by one; none for texts of one character."""
+    simple = convert_column(text, table)
+    both = []
+    for kind in KINDS[1:]:
+        both += [F.lit(kind), F.struct(form_column(text, kind, table).alias("phrase_form"), by_character(simple, _kind_of(table, kind)[1]).alias("character_form"))]
+    return F.map_filter(F.create_map(*both), lambda _, f: (F.length(text) > 1) & (f["phrase_form"] != f["character_form"]))
+
+
+def variant_rows(spark: SparkSession, table: VariantTable = LATIN) -> DataFrame:
+    """The variant graph as a table: simple, variants (the regional preferred ones first, then the rest in order), and
+    regions, the kinds that prefer each variant. Its size is that of the conversion table."""
+    edges = [(s, v) for v, s in table.to_simple.items() if v != s] + [(s, v) for chars in table.to_kind.values() for s, v in chars.items() if v != s]
+    preferred = [(s, n, k, v) for n, k in enumerate(KINDS[1:]) for s, v in table.to_kind.get(k, {}).items() if v != s]
+    all_ = spark.createDataFrame(edges, "simple string, variant string").groupBy("simple").agg(F.array_sort(F.collect_set("variant")).alias("all"))
+    first = spark.createDataFrame(preferred, "simple string, place int, kind string, variant string").groupBy("simple").agg(F.array_sort(F.collect_list(F.struct("place", "kind", "variant"))).alias("first"))
+    both = all_.join(first, "simple", "left").withColumn("first", F.coalesce("first", F.array().cast("array<struct<place:int,kind:string,variant:string>>")))
+    ordered = F.array_distinct(F.concat("first.variant", "all"))
+    regions = F.transform(ordered, lambda v: F.transform(F.filter("first", lambda f: f["variant"] == v), lambda f: f["kind"]))
+    return both.select("simple", ordered.alias("variants"), regions.alias("regions"))
+
+
+def query_graphs(queries: DataFrame, table: VariantTable = LATIN) -> DataFrame:
+    """What a search needs to know of each query: query, forms, evidence, status, and for single characters their variants
+    with the kinds that prefer them (`reverse` where none does)."""
+    q = F.col("query")
+    forms = F.struct(q.alias("original"), *[form_column(q, k, table).alias(k) for k in KINDS])
+    told = queries.select("query", forms.alias("forms"), phrase_evidence(q, table).alias("evidence"), F.when(F.length(q) == 1, convert_column(q, table)).alias("simple"))
+    known = told.join(variant_rows(queries.sparkSession, table), "simple", "left")
+    of = F.zip_with("variants", "regions", lambda v, r: F.struct(v.alias("text"), F.when(F.size(r) == 0, F.array(F.lit("reverse"))).otherwise(r).alias("regions")))
+    status = F.when(F.size("evidence") > 0, "phrase_confirmed").otherwise("glyph_only_unconfirmed")
+    return known.select("query", "forms", "evidence", status.alias("status"), F.coalesce(of, F.array().cast("array<struct<text:string,regions:array<string>>>")).alias("variants"))
 
 
 def classify_column(text: Column, table: VariantTable) -> Column:

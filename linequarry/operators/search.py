@@ -89,6 +89,18 @@ def layered_search(lined: DataFrame, query: str, table: VariantTable = LATIN) ->
     return hit.select(*lined.columns, "hit.layer", "hit.kind", "hit.priority", "hit.start", "hit.end", F.col("hit.istart").alias("index_start"), F.col("hit.iend").alias("index_end"), F.element_at(told, F.col("hit.layer")).alias("verification"))
 
 
+def placed_hits(hits: DataFrame, query: str, table: VariantTable = LATIN) -> DataFrame:
+    """hits of layered_search with the span at which they are shown: their own (mapping exact_length), else the first
+    place where the text that matched stands in the line as read (first_find), else none."""
+    forms = {"raw": query, "resolved": query} | {k: table.forms(query)[k] for k in FORMS}
+    matched = F.element_at(F.create_map(*[F.lit(x) for p in forms.items() for x in p]), F.col("kind"))
+    at = F.when(F.col("kind").isin(*forms), F.instr(F.col("raw_text"), matched)).otherwise(0)
+    mapping = F.when(F.col("start").isNotNull(), "exact_length").when(at > 0, "first_find")
+    placed = hits.withColumn("mapping", mapping)
+    first = F.col("mapping") == "first_find"
+    return placed.withColumns({"start": F.when(first, at - 1).otherwise(F.col("start")), "end": F.when(first, at - 1 + F.length(matched)).otherwise(F.col("end"))})
+
+
 def scan_spans(text: Column, terms: list[str], scope: str = "both", table: VariantTable = LATIN) -> Column:
     """Different spans (start, end), in order, at which a term or one of its forms stands in the text or in the form of
     the same kind. Forms of another length than the text are left out, and so are spans whose own glyphs are out of scope."""
