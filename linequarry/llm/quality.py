@@ -3,7 +3,8 @@
 Overlapping heuristic labellers vote on every document: each knows one sign of good or of bad text and otherwise
 does not vote. How often each combination of votes occurs in the whole corpus is all that expectation-maximisation
 needs to estimate, without any true label, how reliable each labeller is and how likely each combination means a good
-document. These posteriors label a bounded sample (at most TRAIN_ROWS distinct rows, picked by a hash of doc_id and
+document. Characters are classed by Unicode category, so signs, capitals and stops count alike in all scripts; only the
+list of frequent words knows its languages. These posteriors label a bounded sample (at most TRAIN_ROWS distinct rows, picked by a hash of doc_id and
 text however the table is laid out), on which a linear scorer over hashed character-class trigrams and repetition
 marks is trained; the scorer judges every document, each by its own row.
 
@@ -14,6 +15,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from operator import eq
@@ -43,12 +45,12 @@ BAD_SIGNS = 8
 
 
 def _class_table() -> np.ndarray:
-    """Character class of each Latin-1 code."""
-    kind = np.full(256, 13, np.uint8)
-    for c in range(256):
-        s = chr(c)
-        kind[c] = 0 if s.islower() else 1 if s.isupper() else 2 if s.isdigit() else 3 if s in " \t" else 4 if s in "\r\n" else 13
-    for n, some in enumerate((".", ",", "!", "?", "|", "#$%&*@~^", "'\"()[]{}<>", "-_/\\:;+=`"), 5):
+    """Character class of each code point of the basic plane, by Unicode category; signs that the labellers ask for have their own."""
+    of = {"Ll": 0, "Lm": 0, "Lo": 0, "Mn": 0, "Mc": 0, "Lu": 1, "Lt": 1, "Nd": 2, "Nl": 2, "No": 2, "Zs": 3, "Zl": 4, "Zp": 4, "Pd": 12, "Pc": 12, "Ps": 11, "Pe": 11, "Pi": 11, "Pf": 11, "Po": 12}
+    kind = np.array([of.get(unicodedata.category(chr(c)), 13) for c in range(0x10000)], np.uint8)
+    kind[128:256] = [0 if chr(c).islower() else 1 if chr(c).isupper() else 2 if chr(c).isdigit() else 13 for c in range(128, 256)]
+    kind[[ord("\t"), ord("\r"), ord("\n")]] = 3, 4, 4
+    for n, some in enumerate((".。｡।", ",，、،", "!！", "?？؟", "|", "#$%&*@~^", "'\"()[]{}<>", "-_/\\:;+=`"), 5):
         for s in some:
             kind[ord(s)] = n
     return kind
@@ -63,14 +65,18 @@ class Marks:
     """What labellers and scorer see of some documents: class counts, trigram features and word statistics."""
 
     def __init__(self, texts: list[str], features: bool):
-        raws = [t.encode("latin-1", "replace") for t in texts]
-        sizes = np.array([len(r) for r in raws], np.int64)
+        raws = [t.encode("utf-32-le", "replace") for t in texts]
+        sizes = np.array([len(r) // 4 for r in raws], np.int64)
         of = np.repeat(np.arange(len(raws)), sizes)
-        kinds = _KIND[np.frombuffer(b"".join(raws), np.uint8)]
+        points = np.frombuffer(b"".join(raws), "<u4")
+        kinds = _KIND[np.minimum(points, 0xFFFF)]  # beyond the basic plane: as its last code point, neither letter nor sign
+        kinds[(points >= 0x20000) & (points < 0x40000)] = 0  # ideographs
+        # scripts that put no space between words: two characters count as a word
+        dense = np.bincount(of[(points >= 0x0E00) & (points < 0x0EE0) | (points >= 0x3040) & (points < 0xA000) | (points >= 0x20000) & (points < 0x40000)], minlength=len(raws)) // 2
         self.n = np.maximum(sizes, 1)
         self.by_class = np.bincount(of * _CLASSES + kinds, minlength=len(raws) * _CLASSES).reshape(-1, _CLASSES)
         words = [t.split() for t in texts]
-        self.words = np.array([len(w) for w in words])
+        self.words = np.maximum(np.array([len(w) for w in words], np.int64), dense)
         some = np.maximum(self.words, 1)
         self.again = np.array([sum(map(eq, w, w[1:])) for w in words]) / some
         self.distinct = np.array([len(set(w)) for w in words]) / some
