@@ -5,9 +5,11 @@ each followed by the end id 0, and written as shards, one file per range of that
 spread over as many ranges as they need. A file holds one or more segments of bounded length; a segment
 is a wavelet matrix: one bit plane per bit of the ids, most significant first, each plane in the stable order left
 by the planes above it, with the ones counted before every block of bits. Access, counting and finding occurrences
-read that one file; whole segments decode plane by plane.
+read that one file; whole segments decode plane by plane. Over a whole shard file lookups go to the segments that
+hold the answer: places by where segments begin, tokens by how often earlier segments of the file hold them.
 
 Null text counts as empty and gives the end id alone; an empty table gives no file and no row. Other columns are ignored.
+Of lookups, repeated ones are answered once, and those beyond a shard's end (or of a null shard, token or place) give no row.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, documents, saved, ship
@@ -122,7 +124,17 @@ class WaveletMatrix:
         return i
 
     def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.rank(token, self.n))]
+        """All places of token, ascending: its run in the last order, carried up plane by plane at once."""
+        if token >> self.bits:
+            return []
+        at = np.arange(*self._span(token, self.n))
+        for k in range(self.bits - 1, -1, -1):
+            want = token >> (self.bits - 1 - k) & 1
+            if not len(at):
+                return []
+            held = np.flatnonzero(np.unpackbits(self.planes[k], count=self.n) == want)
+            at = held[at - int(self.zeros[k]) if want else at]
+        return at.tolist()
 
 
 _SEGMENT = "shard int, segment int, before long, n_ids long, unnamed int, bits int, doc_ids binary, counts binary, planes binary, zeros binary, ranks binary"
@@ -199,3 +211,100 @@ def read_shards(files: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return arrow_map(files, one, "doc_id long, start long, n_tokens long, ids_crc32 long", rows=1, keep=True)
+
+
+#: Lookups that meet a segment in one task; more are answered in several tasks, each with the segment.
+ASKS = 100_000
+_ANSWER = "shard int, segment int, token int, arg long, answer long"
+
+
+def _answers(files: DataFrame, asks: DataFrame, how: str) -> DataFrame:
+    """Ask segments. asks: shard, segment, token, arg. how: count, rank, select, access (arg a place or number within the
+    segment) or occurrences (a row per place)."""
+    here = ["shard", "segment"]
+    asks = asks.select(*here, F.col("token").cast("int").alias("token"), F.col("arg").cast("long").alias("arg")).distinct()
+    parts = asks.groupBy(*here).agg(F.ceil(F.count("*") / F.lit(ASKS)).cast("int").alias("_parts"))
+    dealt = asks.join(parts, here).withColumn("_part", F.pmod(F.xxhash64("token", "arg"), "_parts").cast("int")).drop("_parts")
+    held = files.join(parts, here).withColumn("_of", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    held = held.withColumnsRenamed({"shard": "_shard", "segment": "_segment"})
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = right.to_pylist()[0]
+        w = opened(row)
+        tokens, args = left.column("token").to_pylist(), left.column("arg").to_pylist()
+        if how == "occurrences":
+            found = [w.occurrences(t) for t in tokens]
+            tokens, args = [t for t, f in zip(tokens, found) for _ in f], [k for f in found for k in range(len(f))]
+            out = [p for f in found for p in f]
+        elif how == "access":
+            out = [w.access(i) for i in args]
+        elif how == "select":
+            out = [w.select(t, k) for t, k in zip(tokens, args)]
+        else:
+            out = [w.rank(t, w.n if how == "count" else i) for t, i in zip(tokens, args)]
+        columns = [pa.array([row["_" + c]] * len(out), pa.int32()) for c in here]
+        return pa.Table.from_arrays([*columns, pa.array(tokens, pa.int32()), pa.array(args, pa.int64()), pa.array(out, pa.int64())], ["shard", "segment", "token", "arg", "answer"])
+
+    return dealt.groupBy(*here, "_part").cogroup(held.groupBy("_shard", "_segment", "_of")).applyInArrow(run, _ANSWER)
+
+
+def _bounds(files: DataFrame) -> DataFrame:
+    """Where segments begin in their shard, as one array a shard (16 bytes for each 500,000 ids or longer document)."""
+    return files.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("before", "segment", "n_ids"))).alias("_at"))
+
+
+def _placed(files: DataFrame, asks: DataFrame, place: str) -> DataFrame:
+    """Adds segment and arg, the place within it, to asks about places of a shard."""
+    mine = F.filter("_at", lambda s: (s["before"] <= F.col(place)) & (F.col(place) < s["before"] + s["n_ids"]))
+    inside = asks.join(_bounds(files), "shard").withColumn("_s", F.get(mine, F.lit(0)))
+    return inside.where("_s is not null").withColumn("segment", F.col("_s.segment")).withColumn("arg", F.col(place) - F.col("_s.before")).drop("_at", "_s")
+
+
+def token_segments(files: DataFrame, tokens: DataFrame) -> DataFrame:
+    """tokens (shard, token): for each segment of the shard how often it holds the token, and how often earlier ones do.
+
+    shard, segment, before (place where the segment begins in its shard), token, n, earlier. A window covers the
+    segments of one shard for one token.
+    """
+    asks = tokens.select("shard", "token").where("token is not null").distinct().join(files.select("shard", "segment"), "shard")
+    counts = _answers(files, asks.withColumn("arg", F.lit(0)), "count")
+    earlier = F.coalesce(F.sum("answer").over(Window.partitionBy("shard", "token").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = files.select("shard", "segment", "before")
+    return counts.withColumn("earlier", earlier).join(begun, ["shard", "segment"]).select("shard", "segment", "before", "token", F.col("answer").alias("n"), "earlier")
+
+
+def ids_at(files: DataFrame, asks: DataFrame) -> DataFrame:
+    """asks (shard, place): the id that stands there. shard, place, token."""
+    placed = saved(_placed(files, asks.select("shard", "place").distinct(), "place"), "wavelet-asks")
+    got = _answers(files, placed.withColumn("token", F.lit(0)), "access").select("shard", "segment", "arg", "answer")
+    return placed.join(got, ["shard", "segment", "arg"]).select("shard", "place", F.col("answer").cast("int").alias("token"))
+
+
+def ranks(files: DataFrame, asks: DataFrame) -> DataFrame:
+    """asks (shard, token, end): how often token stands before place end of the shard (from 0 to its length). Adds rank."""
+    asks = asks.select("shard", F.col("token").cast("int").alias("token"), F.col("end").cast("long").alias("end")).where("token is not null and end >= 0").distinct()
+    lengths = files.groupBy("shard").agg(F.sum("n_ids").alias("_n"))
+    asks = asks.join(lengths, "shard").where("end <= _n").drop("_n")
+    last = F.greatest(F.col("end") - 1, F.lit(0))  # place `end` itself may be where the shard ends
+    placed = _placed(files, asks.withColumn("_last", last), "_last").withColumn("arg", F.col("arg") + F.col("end") - F.col("_last")).drop("_last")
+    placed = saved(placed, "wavelet-asks")
+    got = _answers(files, placed, "rank").select("shard", "segment", "token", "arg", "answer")
+    before = token_segments(files, placed.select("shard", "token")).select("shard", "segment", "token", "earlier")
+    return placed.join(got, ["shard", "segment", "token", "arg"]).join(before, ["shard", "segment", "token"]).select("shard", "token", "end", (F.col("answer") + F.col("earlier")).alias("rank"))
+
+
+def nth_places(files: DataFrame, asks: DataFrame) -> DataFrame:
+    """asks (shard, token, nth, from 0): the place of the nth token in the shard; no row where it has fewer. Adds place."""
+    asks = asks.select("shard", F.col("token").cast("int").alias("token"), F.col("nth").cast("long").alias("nth")).distinct()
+    held = asks.join(token_segments(files, asks), ["shard", "token"]).where("earlier <= nth and nth < earlier + n")
+    held = saved(held.withColumn("arg", F.col("nth") - F.col("earlier")), "wavelet-asks")
+    got = _answers(files, held, "select").select("shard", "segment", "token", "arg", "answer")
+    return held.join(got, ["shard", "segment", "token", "arg"]).select("shard", "token", "nth", (F.col("before") + F.col("answer")).alias("place"))
+
+
+def token_places(files: DataFrame, tokens: list[int]) -> DataFrame:
+    """Every occurrence of the given ids in all shards. shard, token, nth (from 0 within the shard), place."""
+    asks = files.select("shard").distinct().withColumn("token", F.explode(F.array(*map(F.lit, tokens)).cast("array<int>")))
+    held = saved(token_segments(files, asks).where("n > 0"), "wavelet-asks")
+    got = _answers(files, held.withColumn("arg", F.lit(0)), "occurrences").withColumnRenamed("arg", "_k")
+    return got.join(held, ["shard", "segment", "token"]).select("shard", "token", (F.col("earlier") + F.col("_k")).alias("nth"), (F.col("before") + F.col("answer")).alias("place"))

@@ -11,7 +11,10 @@ from tokenizers import Tokenizer
 from linequarry.llm.bpe import BacktrackingBPE, bpe_digests, bpe_round_trip
 from linequarry.llm.packing import best_fit, pack_documents
 from linequarry.llm.tokens import ChunkEncoder
-from linequarry.llm.wavelet import WaveletMatrix, opened, read_shards, write_shards
+from pyspark.sql import functions as F
+
+from linequarry.llm import wavelet
+from linequarry.llm.wavelet import WaveletMatrix, ids_at, nth_places, opened, ranks, read_shards, token_places, token_segments, write_shards
 
 from .rows import no_docs, odd_docs
 
@@ -128,6 +131,37 @@ def test_shards(spark, lib):
     assert read_shards(write_shards(no_docs(spark))).count() == 0
 
 
+def test_lookups_over_shard_files_of_several_segments(spark, lib, monkeypatch):
+    """Access, rank, select and occurrences over whole shard files, against the ids in plain lists."""
+    monkeypatch.setattr(wavelet, "SEGMENT", 300)
+    monkeypatch.setattr(wavelet, "ASKS", 40)
+    texts = ["the cat sat on the mat and the dog", None, "", "a dog and a cat " * 40, "none of these"] * 25
+    files = write_shards(spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string").repartition(3))
+    plain = {}
+    for r in sorted(files.collect(), key=lambda r: (r.shard, r.segment)):
+        plain.setdefault(r.shard, []).extend(opened(r.asDict()).ids().tolist())
+    every = [i for t in texts for i in [*lib.encode(t or "", add_special_tokens=False).ids, 0]]
+    assert [i for s in sorted(plain) for i in plain[s]] == every and files.groupBy("shard").count().where("count > 3").count() > 0
+    common = sorted(set(every), key=every.count)[-4:]
+    tokens = [*common, 0, 49_999]
+    got = sorted(map(tuple, token_places(files, tokens).collect()))
+    want = sorted((s, t, k, p) for s, ids in plain.items() for t in set(tokens) for k, p in enumerate([p for p, i in enumerate(ids) if i == t]))
+    assert got == want
+    asks = [(s, p) for s, ids in plain.items() for p in [*range(0, len(ids), 53), len(ids) - 1, len(ids), -1, None]] + [(99, 0), (None, 1)]
+    found = ids_at(files, spark.createDataFrame(asks + asks, "shard int, place long")).collect()
+    assert sorted(map(tuple, found)) == sorted((s, p, plain[s][p]) for s, p in asks if s in plain and p is not None and 0 <= p < len(plain[s]))
+    asks = [(s, t, e) for s, ids in plain.items() for t in tokens for e in [*range(0, len(ids), 211), len(ids), len(ids) + 1, None]]
+    found = ranks(files, spark.createDataFrame(asks + asks, "shard int, token int, end long")).collect()
+    assert sorted(map(tuple, found)) == sorted((s, t, e, plain[s][:e].count(t)) for s, t, e in set(asks) if e is not None and e <= len(plain[s]))
+    asks = [(s, t, k) for s, ids in plain.items() for t in tokens for k in [*range(0, ids.count(t) + 2, 17), ids.count(t) - 1, ids.count(t), -1]] + [(0, None, 1), (0, 5, None)]
+    found = nth_places(files, spark.createDataFrame(asks, "shard int, token int, nth long")).collect()
+    held = {(s, t): [p for p, i in enumerate(ids) if i == t] for s, ids in plain.items() for t in tokens}
+    assert sorted(map(tuple, found)) == sorted((s, t, k, held[s, t][k]) for s, t, k in set(asks) if (s, t) in held and k is not None and 0 <= k < len(held[s, t]))
+    counts = token_segments(files, spark.createDataFrame([(s, t) for s in plain for t in common], "shard int, token int")).groupBy("shard", "token").agg(F.sum("n").alias("n")).collect()
+    assert {(r.shard, r.token): r.n for r in counts} == {(s, t): ids.count(t) for s, ids in plain.items() for t in common}
+    assert token_places(write_shards(no_docs(spark)), [0]).count() == 0
+
+
 def test_chunks_that_are_forgotten_are_found_anew():
     import random
 
