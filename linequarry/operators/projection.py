@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box_hash, clamped
+from ..functions.geometry import box_hash, clamped, part_of_box
 from ..functions.text import base_name, code_points
 
 _BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
@@ -25,6 +25,55 @@ def decoded(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return rows.select(*[(F.from_json(F.col(c), kinds[c]).alias(c) if c in kinds else F.col(c)) for c in rows.columns])
 
 
+#: The nested columns of a stored line, without the `_json` that their stored names end in. Boxes are four corners.
+LINE_KINDS = {
+    "bbox": "array<array<double>>",
+    "word_boxes": "array<array<array<double>>>",
+    "word_text": "array<string>",
+    "word_confidences": "array<double>",
+    "isolated_top_k": "array<struct<text:string,confidence:double>>",
+    "script_reconciliations": "array<struct<index:int,source:string,resolved:string>>",
+    "correction_provenance": "struct<method:string,confidence:double>",
+}
+
+
+def decoded_lines(rows: DataFrame, kinds: dict[str, str] = LINE_KINDS) -> DataFrame:
+    """Adds to stored lines (columns named *_json) the nested values under the plain names. Null and empty text is null.
+
+    Text that is no JSON is null too, and `undecodable` lists the columns where that is so: one bad line does not end
+    a read of all of them.
+    """
+    stored = {c: F.nullif(F.col(f"{c}_json"), F.lit("")) for c in kinds}
+    bad = F.filter(F.array(*[F.when(t.isNotNull() & F.try_parse_json(t).isNull(), F.lit(c)) for c, t in stored.items()]), lambda c: c.isNotNull())
+    return rows.withColumns({**{c: F.from_json(t, kinds[c]) for c, t in stored.items()}, "undecodable": bad})
+
+
+def session_hits(hits: DataFrame, lined: DataFrame, sources: DataFrame) -> DataFrame:
+    """Hits of a session with their line, the path of its source and the place of the match on the page, in shares.
+
+    hits: task_id, doc_id, line_no, start, end, layer_priority; lined: doc_id, line_no, source_id, page_no, line_index,
+    raw_text, x0, y0, x1, y1, page_width, page_height; sources: task_id, source_id, display_path. A hit without line
+    does not appear, a source without path goes by its id. Without a page size or a box a hit takes the whole page.
+    """
+    both = hits.join(lined, ["doc_id", "line_no"]).join(sources, ["task_id", "source_id"], "left")
+    part = part_of_box(F.length("raw_text"), F.col("start"), F.col("end"), *[F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    sized = (F.col("page_width") > 0) & (F.col("page_height") > 0) & F.col("x0").isNotNull() & (F.length("raw_text") > 0)
+    share = lambda value, side, other: F.when(sized, clamped(value / F.nullif(F.col(side), F.lit(0.0)))).otherwise(F.lit(other))
+    return both.withColumns(
+        {
+            "display_path": F.coalesce("display_path", "source_id"),
+            "normalized_x0": share(part["mx0"], "page_width", 0.0),
+            "normalized_y0": share(part["my0"], "page_height", 0.0),
+            "normalized_x1": share(part["mx1"], "page_width", 1.0),
+            "normalized_y1": share(part["my1"], "page_height", 1.0),
+        }
+    )
+
+
+#: The order of a session's hits; nulls come first.
+SESSION_ORDER = ["layer_priority", "source_id", "page_no", "line_index", "start", "doc_id", "line_no"]
+
+
 def with_context(rows: DataFrame, kind: str = "status string, orientation string, plain_text string") -> DataFrame:
     """layout_context read from its JSON, only where it was stored in the current version."""
     return rows.withColumn("layout_context", F.when(F.col("layout_context_version") == CONTEXT_VERSION, F.from_json("layout_context_json", kind)))
