@@ -40,12 +40,14 @@ LINE_KINDS = {
 def decoded_lines(rows: DataFrame, kinds: dict[str, str] = LINE_KINDS) -> DataFrame:
     """Adds to stored lines (columns named *_json) the nested values under the plain names. Null and empty text is null.
 
-    Text that is no JSON is null too, and `undecodable` lists the columns where that is so: one bad line does not end
-    a read of all of them.
+    Text that is no JSON of that kind is null too, and `undecodable` lists the columns where that is so: one bad line
+    does not end a read of all of them. Each text is parsed once.
     """
-    stored = {c: F.nullif(F.col(f"{c}_json"), F.lit("")) for c in kinds}
-    bad = F.filter(F.array(*[F.when(t.isNotNull() & F.try_parse_json(t).isNull(), F.lit(c)) for c, t in stored.items()]), lambda c: c.isNotNull())
-    return rows.withColumns({**{c: F.from_json(t, kinds[c]) for c, t in stored.items()}, "undecodable": bad})
+    stored = {c: F.nullif(F.nullif(F.col(f"{c}_json"), F.lit("")), F.lit("null")) for c in kinds}
+    # a single object reads as a list of one, and as null where it is broken
+    values = {c: F.get(F.from_json(t, f"array<{kinds[c]}>"), F.lit(0)) if kinds[c].startswith("struct") else F.from_json(t, kinds[c]) for c, t in stored.items()}
+    bad = F.array_compact(F.array(*[F.when(t.isNotNull() & F.col(c).isNull(), F.lit(c)) for c, t in stored.items()]))
+    return rows.withColumns(values).withColumn("undecodable", bad)
 
 
 def session_hits(hits: DataFrame, lined: DataFrame, sources: DataFrame) -> DataFrame:
