@@ -85,20 +85,27 @@ def task_resume_states(processed: DataFrame, checkpoints: DataFrame, with_pages:
 
     processed: task_id, source_id, page_no; checkpoints: task_id, source_id, worker_generation. A source of either is
     listed, one without name is not; without pages it starts at 1, without checkpoint its generation is 0. The first
-    missing page is found by joining every page's successor against the pages: no window spans a source.
-    with_pages adds the pages themselves, as many as the source has.
+    missing page is a page's successor that no row holds: one grouping by page, no window over a source, one pass over
+    the pages. with_pages adds the pages themselves, as many as the source has.
     """
     key = ["task_id", "source_id"]
     known = (F.col("source_id") != "") & F.col("task_id").isNotNull()
-    pages = processed.where(known & (F.col("page_no") > 0)).select(*key, F.col("page_no").cast("long").alias("page_no")).distinct()
-    generations = checkpoints.where(known).groupBy(*key).agg(F.max("worker_generation").cast("long").alias("worker_generation"))
-    sources = processed.where(known).select(*key).unionByName(generations.select(*key)).distinct()
-    follow = sources.withColumn("page_no", F.lit(1).cast("long")).unionByName(pages.withColumn("page_no", F.col("page_no") + 1))
-    missing = follow.join(pages, [*key, "page_no"], "left_anti").groupBy(*key).agg(F.min("page_no").alias("next_page"))
-    listed = [F.array_sort(F.collect_list("page_no")).alias("processed_page_ids")] if with_pages else []
-    done = pages.groupBy(*key).agg(F.count("*").alias("done"), F.max("page_no").alias("last_completed_page"), *listed)
-    out = missing.join(done, key, "left").join(generations, key, "left").fillna(0, ["done", "last_completed_page", "worker_generation"])
-    return out.withColumn("processed_page_ids", F.coalesce("processed_page_ids", F.array().cast("array<bigint>"))) if with_pages else out
+    page, none = F.col("page_no").cast("long"), F.lit(None).cast("long")
+    seen = lambda at, held: F.struct(at.alias("page"), F.lit(held).alias("held"))
+    first = seen(F.lit(1).cast("long"), False)
+    marks = F.when(page > 0, F.array(seen(page, True), seen(page + 1, False), first)).otherwise(F.array(first))
+    done = processed.where(known).select(*key, F.inline(marks)).withColumn("generation", none)
+    begun = checkpoints.where(known).select(*key, F.inline(F.array(first)), F.col("worker_generation").cast("long").alias("generation"))
+    pages = done.unionByName(begun).groupBy(*key, "page").agg(F.bool_or("held").alias("held"), F.max("generation").alias("generation"))
+    whole = F.when(F.col("held"), F.col("page"))
+    listed = [F.array_sort(F.collect_list(whole)).alias("processed_page_ids")] if with_pages else []
+    return pages.groupBy(*key).agg(
+        F.count(whole).alias("done"),
+        F.coalesce(F.max(whole), F.lit(0)).alias("last_completed_page"),
+        F.min(F.when(~F.col("held"), F.col("page"))).alias("next_page"),
+        F.coalesce(F.max("generation"), F.lit(0)).alias("worker_generation"),
+        *listed,
+    )
 
 
 def is_stale(version: int) -> Column:

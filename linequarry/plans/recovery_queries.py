@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import projection as P
 from ..operators import recovery as Y
 from ..operators import review as R
-from ..sources.corpus import SQL_LINES, lines, reviews, table, with_boxes
+from ..sources.corpus import SQL_LINES, lines, table, with_boxes
 from .contract_queries import _SQL_JOB, _jobs
 from .registry import query
-from .review_queries import SQL_FOUND, SQL_HITS, _found, _hits
+from .review_queries import SQL_FOUND, SQL_HITS, TERM, _found
 
 #: A task is held if anything was bought in it; cleanup jobs are users with errors, pending if the last error is dear.
 _SQL_HELD = "held AS (SELECT DISTINCT user_id AS task_id FROM events WHERE event_type = 'purchase' AND value >= 20)"
@@ -54,7 +54,7 @@ def l_resume_states(spark: SparkSession, d: str) -> DataFrame:
     """Pages with a hit are done; a source's generation grows with each event that names it."""
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("task_id"), F.concat(F.lit("doc-"), "doc_id").alias("source_id"))
     named = table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("doc_id")).agg(F.count("*").alias("worker_generation"))
-    done = _hits(spark, d).select("task_id", "source_id", "page_no")
+    done = R.matches(table(spark, d, "documents"), TERM).select("task_id", "source_id", "page_no")
     states = Y.task_resume_states(done, docs.join(named, "doc_id"), with_pages=True)
     return states.select("task_id", "source_id", "done", "last_completed_page", "next_page", "worker_generation", F.array_join(F.col("processed_page_ids").cast("array<string>"), ",").alias("pages"))
 
@@ -118,7 +118,7 @@ def e_session_hits(spark: SparkSession, d: str) -> DataFrame:
     """A page of a task's hits joined to their lines and to the paths of the sources that have one."""
     docs = table(spark, d, "documents").where("source = 'src3'")
     layer = F.when((F.col("matched") == "ena") & (F.col("confidence") >= 0.8), 0).otherwise(1)
-    hits = R.matches(docs, "ena").select("task_id", "doc_id", "line_no", "start", "end", layer.alias("layer_priority"))
+    hits = R.matches(docs, TERM).select("task_id", "doc_id", "line_no", "start", "end", layer.alias("layer_priority"))
     wide = lambda n: F.when(F.col("lang") == "en", n).otherwise(0.0)
     lined = with_boxes(lines(docs)).select("doc_id", "line_no", "source_id", "page_no", "line_index", "raw_text", "x0", "y0", "x1", "y1", wide(1200.0).alias("page_width"), wide(1600.0).alias("page_height"))
     path = F.when(F.col("toxic") == 1, None).otherwise(F.concat(F.lit("q"), "quality", F.lit("/"), "doc_id"))
