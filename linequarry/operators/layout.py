@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,12 +20,14 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.geometry import gap
 from ..sources.corpus import PAGE_HEIGHT, PAGE_WIDTH
-from .numbering import written
+from .numbering import _changes, written
 
 #: neighbours' least overlap, largest gap in medians, most lines looked at, most candidate blocks.
 OVERLAP, GAP_MEDIANS, MOST_LINES, MOST_BLOCKS = 0.28, 2.6, 256, 64
 #: Orientations, the confidence below which one is unsure, the most an unsure and a sure context can have.
 MODES, SURE, UNSURE_MOST, SURE_MOST = ("auto", "horizontal", "vertical"), 0.65, 0.55, 0.95
+#: Classes of keys whose rows are counted before a merge, rows of a class up to which its keys go whole to a task.
+CLASSES, WHOLE = 65_536, 200_000
 
 
 def median_cross_size(boxed: DataFrame) -> DataFrame:
@@ -320,21 +323,32 @@ def _islands(rows: DataFrame, scope: list[str], value: str, gap: float, name: st
     return cut.join(ranges, [*scope, "_range"]).withColumn(name, F.col("_before") + F.col("_island")).select(*columns)
 
 
-def greedy_merge(found: DataFrame, keys: list[str], near: float = 8.0, overlap: float = 0.8) -> DataFrame:
+def greedy_merge(found: DataFrame, keys: list[str], near: float = 8.0, overlap: float = 0.8, whole: int = WHOLE) -> DataFrame:
     """Near-duplicate occurrences merged one after the other into the first representative that fits; order matters.
 
     found: keys, ordinal, source, x0, y0, x1, y1. A text-layer row replaces a representative that is not one. Returns
     the representatives with the sorted union of their sources. Null keys, ordinals or boxes take no part.
 
-    Rows whose middles lie further apart than near never meet, so each key is cut into islands first, by x and then by
-    y; an island is gone through in order by one task, which holds its representatives in a grid and looks only at the
-    cells around a row. Text layers only ever move a representative to the box of another row of its island.
+    Rows whose middles lie further apart than near never meet. Keys go whole to a task, which cuts them into islands by
+    x and then by y, decides islands of one or two rows all at once and goes through the others in order. Classes of
+    keys with more than `whole` rows are cut into islands across tasks first.
     """
+    kinds = ", ".join(f"`{k}` {found.schema[k].dataType.simpleString()}" for k in keys) + ", ordinal long, sources string, n long"
     used = found.select(*keys, "ordinal", "source", *_SIDES).dropna()
+    used = written(used.withColumn("_class", F.pmod(F.xxhash64(*keys), F.lit(CLASSES)).cast("int")), "merge-rows")
+    large = [r._class for r in used.groupBy("_class").agg(F.count("*").alias("_n")).where(F.col("_n") > whole).select("_class").collect()]  # CLASSES at most
+    few = used.where(~F.col("_class").isin(large)) if large else used
+    out = few.drop("_class").repartition(*keys).sortWithinPartitions(*keys, "ordinal").mapInArrow(_whole_keys(keys, kinds, near, overlap), kinds)
+    return out.unionAll(_by_islands(used.where(F.col("_class").isin(large)).drop("_class"), keys, kinds, near, overlap)) if large else out
+
+
+def _by_islands(used: DataFrame, keys: list[str], kinds: str, near: float, overlap: float) -> DataFrame:
+    """greedy_merge for keys that no task can hold: an island is gone through in order by one task, which holds its
+    representatives in a grid and looks only at the cells around a row. Text layers only ever move a representative to
+    the box of another row of its island."""
     used = used.withColumns({"_mx": (F.col("x0") + F.col("x1")) / 2, "_my": (F.col("y0") + F.col("y1")) / 2})
     island = _islands(_islands(used, keys, "_mx", near, "_ix"), [*keys, "_ix"], "_my", near, "_iy")
     scope = [*keys, "_ix", "_iy"]
-    kinds = ", ".join(f"`{k}` {found.schema[k].dataType.simpleString()}" for k in keys) + ", ordinal long, sources string, n long"
     target = to_arrow_schema(_parse_datatype_string(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,6 +372,76 @@ def greedy_merge(found: DataFrame, keys: list[str], near: float = 8.0, overlap:
     return island.repartition(*scope).sortWithinPartitions(*scope, "ordinal").mapInArrow(run, kinds)
 
 
+def _apart(group: np.ndarray, value: np.ndarray, gap: float) -> np.ndarray:
+    """Numbers that tell apart groups, and within one what lies more than gap apart."""
+    order = np.lexsort((value, group))
+    v, g = value[order], group[order]
+    with np.errstate(invalid="ignore"):
+        leap = (g[1:] != g[:-1]) | (v[1:] - v[:-1] > gap)
+    out = np.zeros(len(order), np.int64)
+    out[order[1:]] = np.cumsum(leap)
+    return out
+
+
+def _whole_keys(keys: list[str], kinds: str, near: float, overlap: float):
+    """Merges keys that come one after the other, each in order; a key cut by the end of a batch waits for the rest."""
+    target = to_arrow_schema(_parse_datatype_string(kinds))
+
+    def changes(rows: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(rows.num_rows, bool)
+        for k in keys:
+            new[1:] |= _changes(rows.column(k))
+        return new
+
+    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        x0, y0, x1, y1 = (rows.column(c).to_numpy() for c in _SIDES)
+        mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+        island = _apart(_apart(np.cumsum(changes(rows)), mx, near), my, near)
+        order = np.argsort(island, kind="stable")
+        begin = np.flatnonzero(np.append(True, np.diff(island[order]) != 0))
+        size = np.diff(np.append(begin, len(order)))
+        source = rows.column("source").to_pylist()
+        layer = np.asarray(pc.ends_with(rows.column("source"), "text_layer"))
+        a, b = order[begin[size == 2]], order[begin[size == 2] + 1]
+        with np.errstate(invalid="ignore"):
+            shared = np.maximum(np.minimum(y1[a], y1[b]) - np.maximum(y0[a], y0[b]), 0.0)
+            shorter = np.maximum(np.minimum(y1[a] - y0[a], y1[b] - y0[b]), 1e-9)
+            fits = (np.abs(mx[a] - mx[b]) + np.abs(my[a] - my[b]) <= near) & (shared / shorter >= overlap)
+        both = np.where(layer[b] & ~layer[a], b, a)[fits]
+        place = [*order[begin[size == 1]].tolist(), *a[~fits].tolist(), *b[~fits].tolist()]
+        sources, n = [source[k] for k in place], [1] * len(place)
+        place += both.tolist()
+        sources += [source[i] if source[i] == source[j] else ",".join(sorted((source[i], source[j]))) for i, j in zip(a[fits].tolist(), b[fits].tolist())]
+        n += [2] * len(both)
+        for at, many in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
+            grid, kept = {}, []
+            for j in order[at : at + many].tolist():
+                _merge({"ordinal": j, "source": source[j], "_mx": float(mx[j]), "_my": float(my[j]), "x0": x0[j], "y0": float(y0[j]), "x1": x1[j], "y1": float(y1[j])}, grid, kept, near, overlap)
+            place += [r["ordinal"] for r in kept]
+            sources += [",".join(sorted(r["sources"])) for r in kept]
+            n += [r["n"] for r in kept]
+        at = pa.array(place, pa.int64())
+        return pa.RecordBatch.from_arrays([*[rows.column(k).take(at) for k in keys], rows.column("ordinal").take(at).cast(pa.int64()), pa.array(sources, pa.string()), pa.array(n, pa.int64())], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = changes(b)
+            new[0] = bool(held) and any(held[-1].column(k)[-1] != b.column(k)[0] for k in keys)
+            last = int(np.flatnonzero(new)[-1]) if new.any() else None
+            if last is not None:
+                yield done([*held, b.slice(0, last)])
+                held, b = [], b.slice(last)
+            held.append(b)
+        if held:
+            yield done(held)
+
+    return run
+
+
 def _merge(row: dict, grid: dict, kept: list[dict], near: float, overlap: float) -> None:
     """Put one row to the first representative that fits, or among them; grid: cell of near by near, its representatives' places."""
     cell = lambda r: (math.floor(r["_mx"] / near), math.floor(r["_my"] / near))

@@ -103,7 +103,7 @@ def l_occurrence_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def l_greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    hits = R.occurrences(table(spark, d, "documents"), "ing")
+    hits = R.matches(table(spark, d, "documents").where("source IS NOT NULL"), "ing")
     spot = F.pmod(F.col("start"), F.lit(3))
     rows = hits.select("doc_id", "page_no", F.col("matched").alias("text"), F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("line_no", "start")).cast("long").alias("ordinal"), F.when(spot == 0, "pdf_text_layer").otherwise("pdf_ocr").alias("source"), (F.col("x0") + 2 * F.col("start")).alias("x0"), "y0", (F.col("x0") + 2 * F.col("start") + 6).alias("x1"), "y1")
     return L.greedy_merge(rows, ["doc_id", "page_no", "text"])

@@ -158,3 +158,39 @@ def test_contexts_against_plain_version(spark):
         assert (c.status, c.reason, c.orientation, c.block, c.previous, c.next, c.n_blocks, [(b.line_count, b.contains_target, *b.box) for b in c.candidate_blocks]) == plain_context(lined[p], k, mode or "auto", o)
         assert c.plain_text == "\n".join(x for x in (c.previous, f"line {k}", c.next) if x is not None) and [x.role for x in c.items].count("target") == 1
     assert {c.reason for c in got.values()} == {None, "orientation_uncertain", "block_uncertain"}
+
+
+def test_merge_by_whole_keys_and_by_islands(spark, monkeypatch):
+    import random
+
+    from linequarry.operators import layout as L
+
+    r = random.Random(11)
+    box = lambda: ((x := float(r.randint(0, 200))), (y := float(r.choice([0, 3, 40]))), x + 6, y + 10)
+    rows = [(f"g{k % 400}" if k % 2 else "big", k, r.choice(["pdf_ocr", "pdf_text_layer"]), *box()) for k in range(3000)] + [(None, 1, "pdf_ocr", 0.0, 0.0, 1.0, 1.0)]
+    want = []
+    for g in sorted({x[0] for x in rows if x[0]}):
+        kept = []
+        for row in (x for x in rows if x[0] == g):
+            _plainly(row, kept)
+        want += [(g, k["ordinal"], ",".join(sorted(k["sources"])), k["n"]) for k in kept]
+    df = spark.createDataFrame(rows, "file string, ordinal long, source string, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    for whole in (100, 0):
+        assert sorted(tuple(x) for x in L.greedy_merge(df, ["file"], whole=whole).collect()) == sorted(want)
+    # keys that a task can hold are not cut into islands across tasks
+    monkeypatch.setattr(L, "_islands", None)
+    assert sorted(tuple(x) for x in L.greedy_merge(df, ["file"]).collect()) == sorted(want)
+
+
+def _plainly(row, kept):
+    """One row against all representatives, without a grid."""
+    _, ordinal, source, x0, y0, x1, y1 = row
+    for rep in kept:
+        apart = abs(rep["_mx"] - (x0 + x1) / 2) + abs(rep["_my"] - (y0 + y1) / 2)
+        if apart <= 8 and (min(y1, rep["y1"]) - max(y0, rep["y0"])) / min(y1 - y0, rep["y1"] - rep["y0"]) >= 0.8:
+            rep["sources"].add(source)
+            rep["n"] += 1
+            if source == "pdf_text_layer" != rep["source"]:
+                rep.update(ordinal=ordinal, source=source, _mx=(x0 + x1) / 2, _my=(y0 + y1) / 2, y0=y0, y1=y1)
+            return
+    kept.append({"ordinal": ordinal, "source": source, "_mx": (x0 + x1) / 2, "_my": (y0 + y1) / 2, "y0": y0, "y1": y1, "sources": {source}, "n": 1})
