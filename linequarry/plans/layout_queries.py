@@ -97,8 +97,9 @@ def l_occurrence_merge(spark: SparkSession, d: str) -> DataFrame:
     keys = ["doc_id", "page_no", "start", "end", "codepoints", "before", "after"]
     both = []
     for n, (source, aside) in enumerate((("pdf_ocr", F.lit(0.0)), ("pdf_text_layer", (F.col("line_no") % 13).cast("double")))):
-        both.append(hits.select(*[k for k in keys if k != "codepoints"], code_points(F.col("matched")).alias("codepoints"), (F.col("line_no").cast("long") * 2 + n).alias("ordinal"), F.lit(source).alias("source"), (left + aside).alias("x0"), "y0", (left + aside + wide).alias("x1"), "y1"))
-    return L.greedy_merge(both[0].unionAll(both[1]), keys)
+        both.append(F.struct((F.col("line_no").cast("long") * 2 + n).alias("ordinal"), F.lit(source).alias("source"), (left + aside).alias("x0"), (left + aside + wide).alias("x1")))
+    hits = hits.withColumn("codepoints", code_points(F.col("matched"))).select(*keys, "y0", "y1", F.explode(F.array(*both)).alias("f"))
+    return L.greedy_merge(hits.select(*keys, "f.ordinal", "f.source", "f.x0", "y0", "f.x1", "y1"), keys)
 
 
 @query()
