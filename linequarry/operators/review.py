@@ -157,7 +157,7 @@ def violations(rows: DataFrame, pages: DataFrame) -> DataFrame:
 
     A text's family is its simplified form; one of the terms must share it. Stored code points that are null are not compared.
     """
-    from ..functions.text import code_points
+    from ..functions.text import code_points_of_lines
     from ..functions.variants import convert_column
 
     known = pages.select("page_id", F.lit(True).alias("_known")).distinct()
@@ -167,12 +167,12 @@ def violations(rows: DataFrame, pages: DataFrame) -> DataFrame:
     # what looks at a row alone comes first, so that no text is shuffled
     alone = F.array_compact(
         F.array(
-            code(F.col("code_points") != code_points(F.col("text")), "code_points"),
+            code(F.col("code_points") != code_points_of_lines(F.col("text")), "code_points"),
             code(inside("x0") | inside("y0") | inside("x1") | inside("y1"), "box_outside"),
             code((F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0")), "box_empty"),
         )
     )
-    own = rows.select("id", "page_id", alone.alias("_alone"), F.exists("terms", lambda t: convert_column(t) == family).alias("_family"))
+    own = rows.select("id", "page_id", alone.alias("_alone"), F.exists("terms", lambda t: (t == F.col("text")) | (convert_column(t) == family)).alias("_family"))
     twice = code(F.count("*").over(Window.partitionBy("id")) > 1, "duplicate_id")
     rest = F.array(code(F.col("_known").isNull(), "page_missing"), code(~F.col("_family"), "family"))
     rules = F.concat(F.array_compact(F.array(twice)), F.col("_alone"), F.array_compact(rest))

@@ -79,7 +79,7 @@ def d_validation_rules(spark: SparkSession, d: str) -> DataFrame:
     """Every line: the stored code points are those of the resolved text (every seventh line resolves è to é), every eleventh line was found in capitals."""
     boxed = with_boxes(lines(table(spark, d, "documents")))
     text, every = F.col("raw_text"), lambda n: F.col("line_no") % n == 0
-    stored = X.code_points(F.when(every(7), F.replace(text, F.lit("è"), F.lit("é"))).otherwise(text))
+    stored = X.code_points_of_lines(F.when(every(7), F.replace(text, F.lit("è"), F.lit("é"))).otherwise(text))
     terms = F.array(F.when(every(11), F.upper(text)).otherwise(text))
     rows = boxed.select(F.col("doc_id").alias("id"), F.concat(F.lit("p"), F.col("doc_id") % 40).alias("page_id"), text.alias("text"), terms.alias("terms"), stored.alias("code_points"), *[(F.col(c) / s).alias(c) for c, s in (("x0", 1200.0), ("y0", 1600.0), ("x1", 1200.0), ("y1", 1600.0))])
     pages = spark.range(30).select(F.concat(F.lit("p"), "id").alias("page_id"))

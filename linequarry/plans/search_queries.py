@@ -54,7 +54,7 @@ def i_overlapping_matches(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SQL_LINES} SELECT doc_id, line_no, array_to_string(list_transform(string_split(raw_text, ''), lambda c: printf('U+%04X', unicode(c))), ' ') AS cps FROM lines")
 def i_codepoint_sequence(spark: SparkSession, d: str) -> DataFrame:
-    return lines(table(spark, d, "documents")).select("doc_id", "line_no", X.code_points(F.col("raw_text")).alias("cps"))
+    return lines(table(spark, d, "documents")).select("doc_id", "line_no", X.code_points_of_lines(F.col("raw_text")).alias("cps"))
 
 
 @query(f"""WITH {SQL_LINES}, f AS (SELECT doc_id, line_no, raw_text, {_FOLD % 'raw_text'} AS folded FROM lines) SELECT doc_id, line_no, folded, folded <> raw_text AS has_variant, length(folded) = length(raw_text) AS mappable FROM f""")
