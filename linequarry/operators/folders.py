@@ -97,6 +97,33 @@ def listing(spark: SparkSession, folder: str, skip: tuple[str, ...] = ()) -> Dat
     return out
 
 
+def contents(spark: SparkSession, folder: str) -> DataFrame:
+    """path and content of every file below a folder, found and read in tasks: the driver lists none of them."""
+    root = plain_path(folder).rstrip("/")
+    files = listing(spark, folder)
+    wrong = files.where("kind = 'error'").select("rel").first()
+    if wrong is not None:
+        raise OSError(f"parts of {root} can't be read: {wrong.rel}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[str, bytes]] = []
+        size = 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in ((0, pa.string()), (1, pa.binary()))], ["path", "content"])
+        for b in batches:
+            for rel in b.column("rel").to_pylist():
+                with open(os.path.join(root, rel), "rb") as f:
+                    out.append((f"{root}/{rel}", f.read()))
+                size += len(out[-1][1])
+                if len(out) >= _AT_ONCE or size >= 1 << 24:
+                    yield batch()
+                    out, size = [], 0
+        if out:
+            yield batch()
+
+    spread = 4 * spark.sparkContext.defaultParallelism  # a given number: rows are few bytes, the files behind them are not
+    return files.where("kind = 'file'").select("rel").repartition(spread, "rel").mapInArrow(run, "path string, content binary")
+
+
 def walked(spark: SparkSession, folder: str, skip: tuple[str, ...] = (), include: list[str] | None = None) -> DataFrame:
     """The files of a walk with what is wrong with each: ordinal, path (below the folder) and the columns and states of checked_files."""
     files = numbered(listing(spark, folder, skip).where("kind = 'file'"), [], ["key"], "ordinal").withColumnRenamed("rel", "path")

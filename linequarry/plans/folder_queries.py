@@ -79,8 +79,7 @@ def a_image_headers(spark: SparkSession, d: str) -> DataFrame:
     suffix = F.element_at(F.array(*[F.lit(x) for x in (".png", ".jpg", ".tif", ".tiff", ".png", ".png", ".jpeg")]), (k + 1).cast("int"))
     folder = _folder(spark, "images")
     _laid_out(table(spark, d, "documents").select(F.concat(F.lit("i"), (F.col("doc_id") % 50).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), suffix).alias("rel"), F.unhex(raw).alias("content")), folder)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{folder}").select("path", "content")
-    return D.image_headers(files).select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("doc_id"), "actual", "frames", "width", "height", "flaw", "problem")
+    return D.image_headers(D.contents(spark, folder)).select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("doc_id"), "actual", "frames", "width", "height", "flaw", "problem")
 
 
 @query("""SELECT source, count(*) AS rows, sum(n_chars)::BIGINT AS characters, true AS refused, 1::BIGINT AS snapshots FROM documents WHERE source IS NOT NULL GROUP BY 1""")

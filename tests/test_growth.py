@@ -22,3 +22,8 @@ def test_code_points_of_lines(spark, monkeypatch):
         for r in df.select("t", X.code_points_of_lines(F.col("t")).alias("c")).collect():
             assert r.c == (None if r.t is None else " ".join(f"U+{ord(c):04X}" for c in r.t))
     assert "regexp_replace" not in _plan(QUERIES["d_validation_rules"](spark, TABLES))
+
+
+def test_image_headers_are_read_in_tasks(spark):
+    got = QUERIES["a_image_headers"](spark, TABLES)
+    assert len(got.inputFiles()) < 100 < got.count()
