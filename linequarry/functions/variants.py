@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 KINDS = ("simplified", "traditional", "taiwan", "hong_kong")
 _HAN = r"^[\p{IsHan}〇]$"
 
@@ -118,8 +120,17 @@ def convert_column(text: Column, table: VariantTable = LATIN) -> Column:
     return out
 
 
+#: Most characters that are replaced one after the other instead of looked up one by one.
+_FEW = 8
+
+
 def by_character(text: Column, chars: dict[str, str]) -> Column:
-    """Single characters converted all at once; what becomes several characters waits as a private one."""
+    """Single characters converted all at once; what becomes several characters waits as a private one. A few that no
+    conversion makes are replaced one after the other, which is faster."""
+    if len(chars) <= _FEW and not any(c in v for v in chars.values() for c in chars):
+        for c, v in chars.items():
+            text = F.replace(text, F.lit(c), F.lit(v))
+        return text
     long = {c: chr(0xF0000 + n) for n, c in enumerate(sorted(c for c in chars if len(chars[c]) != 1))}
     out = F.translate(text, "".join(chars), "".join(long.get(c, chars[c]) for c in chars)) if chars else text
     for c, mark in long.items():
@@ -132,24 +143,59 @@ def _kind_of(table: VariantTable, kind: str) -> tuple[dict[str, str], dict[str,
     return table.phrases.get(kind, table.phrases.get("traditional", {})), table.to_kind.get(kind, table.to_kind.get("traditional", {}))
 
 
+def like_kind(table: VariantTable, kind: str) -> str:
+    """The first kind that converts every text as this one does."""
+    if kind == KINDS[0] or _kind_of(table, kind) == ({}, {}):
+        return KINDS[0]
+    return next(k for k in KINDS[1:] if _kind_of(table, k) == _kind_of(table, kind))
+
+
+#: Private characters: around a phrase, and in the places of phrases.
+_OPEN, _CLOSE, _PHRASE = chr(0xF2000), chr(0xF2001), 0xF1000
+
+
+def _form_of(simple: Column, phrases: dict[str, str], chars: dict[str, str]) -> Column:
+    """A regional form of a simplified text that holds phrases: these wait as private characters while the rest is
+    converted. A text that has such characters itself is cut into pieces instead."""
+    ways = "|".join(re.sub(r"([^\w\s])", r"\\\1", p) for p in sorted(phrases, key=lambda p: (-len(p), p)))
+    marks = {p: chr(_PHRASE + n) for n, p in enumerate(phrases)}
+    out = F.regexp_replace(simple, ways, f"{_OPEN}$0{_CLOSE}")
+    for p, mark in marks.items():
+        out = F.replace(out, F.lit(f"{_OPEN}{p}{_CLOSE}"), F.lit(mark))
+    out = by_character(out, chars)
+    for p, mark in marks.items():
+        out = F.replace(out, F.lit(mark), F.lit(phrases[p]))
+    pieces = F.regexp_extract_all(simple, F.lit(f"(?s)(?:{ways})|(?:(?!{ways}).)+"), F.lit(0))
+    told = F.create_map(*[F.lit(x) for p in phrases.items() for x in p])
+    cut = F.array_join(F.transform(pieces, lambda t: F.when(t.isin(*phrases), F.element_at(told, t)).otherwise(by_character(t, chars))), "")
+    own = F.lit(False)
+    for mark in (_OPEN, _CLOSE, *marks.values()):
+        own = own | F.contains(simple, F.lit(mark))
+    return F.when(own, cut).otherwise(out)
+
+
+def _holds(simple: Column, phrases: dict[str, str]) -> Column:
+    held = F.lit(False)
+    for p in phrases:
+        held = held | F.contains(simple, F.lit(p))
+    return held
+
+
+def _phrases(table: VariantTable, kind: str) -> dict[str, str]:
+    """Phrases of a kind that are longer than a character."""
+    return {p: v for p, v in _kind_of(table, kind)[0].items() if len(p) > 1}
+
+
 def form_column(text: Column, kind: str, table: VariantTable = LATIN) -> Column:
     """One form of a column. The regional ones start from the simplified form: at each place the longest phrase that
     fits, then single characters. The text is cut into phrases and what lies between them in one pass."""
     simple = convert_column(text, table)
     if kind == "simplified":
         return simple
-    phrases, chars = _kind_of(table, kind)
-    phrases = {p: v for p, v in phrases.items() if len(p) > 1}
+    phrases, chars = _phrases(table, kind), _kind_of(table, kind)[1]
     if not phrases:
         return by_character(simple, chars)
-    ways = "|".join(re.sub(r"([^\w\s])", r"\\\1", p) for p in sorted(phrases, key=lambda p: (-len(p), p)))
-    pieces = F.regexp_extract_all(simple, F.lit(f"(?s)(?:{ways})|(?:(?!{ways}).)+"), F.lit(0))
-    told = F.create_map(*[F.lit(x) for p in phrases.items() for x in p])
-    whole = F.array_join(F.transform(pieces, lambda t: F.when(t.isin(*phrases), F.element_at(told, t)).otherwise(by_character(t, chars))), "")
-    held = F.lit(False)
-    for p in phrases:
-        held = held | F.contains(simple, F.lit(p))
-    return F.when(held, whole).otherwise(by_character(simple, chars))
+    return let(simple, lambda s: F.when(_holds(s, phrases), _form_of(s, phrases, chars)).otherwise(by_character(s, chars)))
 
 
 def same_family(a: Column, b: Column, table: VariantTable = LATIN) -> Column:
@@ -160,11 +206,16 @@ def same_family(a: Column, b: Column, table: VariantTable = LATIN) -> Column:
 def phrase_evidence(text: Column, table: VariantTable = LATIN) -> Column:
     """Regional kind -> (phrase_form, character_form), for the kinds in which the whole text becomes something else than
     its characters one by one; none for texts of one character."""
-    simple = convert_column(text, table)
-    both = []
-    for kind in KINDS[1:]:
-        both += [F.lit(kind), F.struct(form_column(text, kind, table).alias("phrase_form"), by_character(simple, _kind_of(table, kind)[1]).alias("character_form"))]
-    return F.map_filter(F.create_map(*both), lambda _, f: (F.length(text) > 1) & (f["phrase_form"] != f["character_form"]))
+
+    def both(simple: Column) -> Column:
+        told = []
+        for kind in KINDS[1:]:
+            phrases, chars = _phrases(table, kind), _kind_of(table, kind)[1]
+            forms = F.struct(_form_of(simple, phrases, chars).alias("phrase_form"), by_character(simple, chars).alias("character_form")) if phrases else F.lit(None).cast("struct<phrase_form:string,character_form:string>")
+            told += [F.lit(kind), F.when(_holds(simple, phrases), forms)]
+        return F.create_map(*told)
+
+    return F.map_filter(let(convert_column(text, table), both), lambda _, f: (F.length(text) > 1) & f.isNotNull() & (f["phrase_form"] != f["character_form"]))
 
 
 def variant_rows(spark: SparkSession, table: VariantTable = LATIN) -> DataFrame:

@@ -27,3 +27,14 @@ def test_code_points_of_lines(spark, monkeypatch):
 def test_image_headers_are_read_in_tasks(spark):
     got = QUERIES["a_image_headers"](spark, TABLES)
     assert len(got.inputFiles()) < 100 < got.count()
+
+
+def test_phrase_evidence_of_odd_texts(spark):
+    from linequarry.plans.variant_queries import WORDS
+
+    df = spark.createDataFrame([(t,) for t in ODD], "t string")
+    told = df.select("t", V.phrase_evidence(F.col("t"), WORDS).alias("e"), *[V.form_column(F.col("t"), k, WORDS).alias(k) for k in V.KINDS])
+    for r in told.collect():
+        assert {k: f.phrase_form for k, f in r.e.items()} == WORDS.phrase_evidence(r.t)
+        assert {k: r[k] for k in V.KINDS} == {k: WORDS.forms(r.t)[k] for k in V.KINDS}
+    assert _plan(df.select(V.phrase_evidence(F.col("t"), WORDS).alias("e"))).count("translate(") == 1
