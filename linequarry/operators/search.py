@@ -6,12 +6,14 @@ until the very end.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.text import match_starts, spans
-from ..functions.variants import LATIN, VariantTable, classify_column, convert_column, form_column, in_scope
+from ..functions.variants import LATIN, VariantTable, classify_column, convert_column, form_column, in_scope, like_kind
 
 #: Layers and their priority (lower is stronger), verification of a hit by layer.
 LAYERS = {"raw_exact": 1, "context_resolved": 2, "variant_graph": 3, "ocr_top_k": 4}
@@ -74,13 +76,15 @@ def layered_search(lined: DataFrame, query: str, table: VariantTable = LATIN) ->
     """
     forms = table.forms(query)
     known = [c for c in lined.columns if c not in ("raw_text", "resolved_text")]
-    ready = lined.select(*known, "raw_text", "resolved_text", *[form_column(F.col("resolved_text"), k, table).alias(f"_{k}") for k in FORMS])
-    queries = {"raw": query, "resolved": query} | {k: forms[k] for k in FORMS}
-    columns = {"raw": "raw_text", "resolved": "resolved_text"} | {k: f"_{k}" for k in FORMS}
+    # kinds that convert alike find the same spans, of which the first kind's count
+    kinds = [k for k in FORMS if like_kind(table, k) == k]
+    ready = lined.select(*known, "raw_text", "resolved_text", *[form_column(F.col("resolved_text"), k, table).alias(f"_{k}") for k in kinds])
+    queries = {"raw": query, "resolved": query} | {k: forms[k] for k in kinds}
+    columns = {"raw": "raw_text", "resolved": "resolved_text"} | {k: f"_{k}" for k in kinds}
     raw = F.col("raw_text")
     maybe = candidate_filter(queries, columns)
     parts = [layer_hits(raw, raw, query, "raw_exact", "raw", 0), layer_hits(raw, F.col("resolved_text"), query, "context_resolved", "resolved", 1)]
-    parts += [layer_hits(raw, F.col(f"_{k}"), forms[k], "variant_graph", k, 2 + n) for n, k in enumerate(FORMS)]
+    parts += [layer_hits(raw, F.col(f"_{k}"), forms[k], "variant_graph", k, 2 + n) for n, k in enumerate(FORMS) if k in kinds]
     if "top_k" in lined.columns:
         parts.append(top_k_array(raw, F.col("top_k"), forms["simplified"], table))
         maybe = maybe | (F.length(raw) == 1)
@@ -105,13 +109,17 @@ def scan_spans(text: Column, terms: list[str], scope: str = "both", table: Varia
     """Different spans (start, end), in order, at which a term or one of its forms stands in the text or in the form of
     the same kind. Forms of another length than the text are left out, and so are spans whose own glyphs are out of scope."""
     none = F.array().cast("array<struct<start:int,end:int>>")
-    found = [none]
+    wanted: dict[str, list[str]] = {"original": terms}
     for term in terms:
-        forms = {"original": term} | {k: table.forms(term)[k] for k in FORMS}
-        for kind, query in forms.items():
-            indexed = text if kind == "original" else form_column(text, kind, table)
-            found.append(F.when(F.length(indexed) == F.length(text), spans(indexed, query)).otherwise(none))
-    every = F.array_sort(F.array_distinct(F.concat(*found)))
+        for kind in FORMS:
+            wanted.setdefault(like_kind(table, kind), []).append(table.forms(term)[kind])
+
+    def look(queries: list[str]) -> Callable[[Column], Column]:
+        return lambda indexed: F.when(F.length(indexed) == F.length(text), F.concat(none, *[spans(indexed, q) for q in dict.fromkeys(queries)])).otherwise(none)
+
+    # a form is made once and looked through for all its terms
+    found = [none, *[look(queries)(text) if kind == "original" else let(form_column(text, kind, table), look(queries)) for kind, queries in wanted.items()]]
+    every = F.sort_array(F.array_distinct(F.concat(*found)))
     return every if scope == "both" else F.filter(every, lambda h: in_scope(classify_column(F.substring(text, h["start"] + 1, h["end"] - h["start"]), table), scope))
 
 

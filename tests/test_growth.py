@@ -29,6 +29,13 @@ def test_image_headers_are_read_in_tasks(spark):
     assert len(got.inputFiles()) < 100 < got.count()
 
 
+def test_a_form_is_made_once(spark):
+    lined = spark.createDataFrame([(t, t) for t in ODD], "raw_text string, resolved_text string")
+    text = F.col("raw_text")
+    assert _plan(lined.select(S.scan_spans(text, ["éna", "na"]).alias("h"))).count("translate(") == 1
+    assert _plan(S.layered_search(lined, "ss")).count("translate(") <= 3
+
+
 def test_phrase_evidence_of_odd_texts(spark):
     from linequarry.plans.variant_queries import WORDS
 
