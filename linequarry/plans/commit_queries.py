@@ -29,9 +29,18 @@ def _lost() -> None:
     raise _Lost
 
 
-def _stream(spark: SparkSession, records: str, root: str, name: str) -> None:
-    """All page records below a folder through the sink, one file an epoch."""
-    source = spark.readStream.schema(P.RECORD).option("maxFilesPerTrigger", 1).parquet(records)
+def _filed(records: DataFrame, path: str) -> int:
+    """Records written as files of a bounded size, three at least; returns how many files a third of them are."""
+    records.hint("rebalance").write.parquet(f"{path}-balanced")
+    balanced = records.sparkSession.read.schema(P.RECORD).parquet(f"{path}-balanced")
+    many = len(balanced.inputFiles())
+    (balanced if many >= 3 else balanced.repartition(3)).write.parquet(path)
+    return -(-len(records.sparkSession.read.schema(P.RECORD).parquet(path).inputFiles()) // 3)
+
+
+def _stream(spark: SparkSession, records: str, root: str, name: str, files: int) -> None:
+    """All page records below a folder through the sink, so many files an epoch."""
+    source = spark.readStream.schema(P.RECORD).option("maxFilesPerTrigger", files).parquet(records)
     q = source.writeStream.foreachBatch(P.page_sink(root, name, TERM)).option("checkpointLocation", f"{scratch(spark)}/pages-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination()
 
@@ -41,14 +50,14 @@ count(*) AS last_event, count(*) AS pages_done FROM p GROUP BY 1""")
 def b_page_commits(spark: SparkSession, d: str) -> DataFrame:
     """All pages through the committing sink; one writer is lost before its entry, every epoch is replayed under its own and under another name."""
     base = f"{scratch(spark)}/pages-{uuid.uuid4().hex}"
-    P.page_records(table(spark, d, "documents")).repartition(3).write.parquet(f"{base}/records")
+    files = _filed(P.page_records(table(spark, d, "documents")), f"{base}/records")
     store, records = Committed(spark, f"{base}/store"), spark.read.parquet(f"{base}/records")
     try:
         P.commit_pages(store, records, "lost", TERM, between=_lost)
     except _Lost:
         pass
     for name in ("scan", "scan", "again"):
-        _stream(spark, f"{base}/records", f"{base}/store", name)
+        _stream(spark, f"{base}/records", f"{base}/store", name, files)
     state = store.pin()
     pages = state.read("pages").groupBy("task_id").agg(F.count("*").alias("pages"), F.sum("n_lines").cast("long").alias("lines"))
     hits = state.read("occurrences").groupBy("task_id").agg(F.count("*").alias("occurrences"), F.max("global_sequence").alias("last_sequence"), F.count_distinct("global_sequence").alias("numbers"))

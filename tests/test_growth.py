@@ -15,6 +15,23 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_page_records_are_cut_by_size(spark, monkeypatch):
+    from linequarry.operators import pages as P
+    from linequarry.plans import commit_queries as C
+
+    sinks = []
+    real = C._stream
+    monkeypatch.setattr(C, "_stream", lambda spark, records, *rest: (sinks.append(records), real(spark, records, *rest))[1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # stands for rows that fill the shuffle's partitions
+    try:
+        got = {r.task_id: r.pages for r in C.b_page_commits(spark, TABLES).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = P.page_records(spark.read.parquet(f"{TABLES}/documents.parquet")).groupBy("task_id").count()
+    assert got == {r.task_id: r["count"] for r in want.collect()}
+    assert len(spark.read.schema(P.RECORD).parquet(sinks[0]).inputFiles()) > 3
+
+
 def test_code_points_of_lines(spark, monkeypatch):
     df = spark.createDataFrame([(n, t) for n, t in enumerate([*ODD, None] * 3)], "n long, t string").repartition(2)
     for most in (1 << 20, 3):
