@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import variants as V
 from ..operators import layout as L
 from ..operators import search as S
+from ..operators.numbering import written
 from ..sources.corpus import SQL_LINES, lines, table, with_boxes
 from .registry import query
 
@@ -78,6 +79,7 @@ def e_hit_layout(spark: SparkSession, d: str) -> DataFrame:
     boxed = with_boxes(lines(table(spark, d, "documents")))
     hits = S.layered_search(boxed.select("doc_id", "page_no", "line_no", "raw_text", F.col("raw_text").alias("resolved_text")), "ss")
     placed = S.placed_hits(hits, "ss").select("doc_id", "page_no", "line_no", "layer", "index_start", "mapping", "start", "end")
+    placed = written(placed, "placed-hits")  # read twice: for the contexts and for the rows
     shown = placed.where("mapping IS NOT NULL").select("doc_id", "page_no", "line_no", "start", "end").distinct()
     contexts = L.layout_contexts(boxed, shown).select("doc_id", "line_no", "start", "orientation")
     return placed.join(contexts, ["doc_id", "line_no", "start"], "left").select("doc_id", "line_no", "layer", "index_start", "mapping", "start", "orientation")
